@@ -1,0 +1,4 @@
+"""Empty on purpose: every job of this library is a batch job over extracts.
+
+Nothing in the covered feature set has a stream, watermark or state.
+"""
