@@ -50,7 +50,7 @@ def exclusion_reasons(strict: bool = False) -> list[tuple[str, Column]]:
     not_rand = F.col("rand").isNull()
 
     def either(flag: str, pattern: str) -> Column:
-        yes, said = F.col(flag) == "Yes", has_text("describe", pattern)
+        yes, said = F.col(flag) == "Yes", has_text("details", pattern)
         return (yes | said) & not_rand if strict else yes | (said & not_rand)
 
     return [

@@ -36,25 +36,25 @@ def normal(rows, order):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def compare(df, con, sql: str) -> str:
-    """Empty when equal, else what differs."""
+def compare(df, con, sql: str) -> tuple[str, int]:
+    """What differs, empty when nothing does, and the row count."""
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     types = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in result.description}
     expected = result.fetchall()
     if sorted(names) != sorted(df.columns):
-        return f"columns {sorted(df.columns)} != {sorted(names)}"
+        return f"columns {sorted(df.columns)} != {sorted(names)}", 0
     if wrong := [(c, t, types[c]) for c, t in df.dtypes if types[c] != t]:
-        return f"types {wrong}"
+        return f"types {wrong}", 0
     got = [tuple(r) for r in df.collect()]
     if len(got) != len(expected):
-        return f"rows {len(got)} != {len(expected)}"
+        return f"rows {len(got)} != {len(expected)}", len(got)
     a = normal(got, [df.columns.index(c) for c in sorted(names)])
     b = normal(expected, [names.index(c) for c in sorted(names)])
     for x, y in zip(a, b):
         if x != y:
-            return f"values {x} != {y}"
-    return ""
+            return f"values {x} != {y}", len(got)
+    return "", len(got)
 
 
 def main(argv: list[str]) -> int:
@@ -69,8 +69,8 @@ def main(argv: list[str]) -> int:
         try:
             df = QUERIES[key](spark, folder)
             if key in CHECKS:
-                problem = compare(df, con, CHECKS[key])
-                rows = ""
+                problem, n = compare(df, con, CHECKS[key])
+                rows = f" rows={n}"
             else:
                 problem, rows = "", f" rows={df.count()} (no SQL)"
         except Exception as e:  # noqa: BLE001

@@ -52,7 +52,7 @@ LISTINGS = {
                CASE WHEN o_orderkey % 61 = 0 THEN 'Closure of enrolment'
                     WHEN o_orderkey % 67 = 0 THEN 'Consent withdrawal' END AS other,
                CASE WHEN o_orderkey % 59 = 0 THEN 'another vaccine given'
-                    WHEN o_orderkey % 53 = 0 THEN 'HIV care' END AS describe
+                    WHEN o_orderkey % 53 = 0 THEN 'HIV care' END AS details
         FROM {orders}""",
     "randomisation": """
         SELECT c_custkey AS subject,
@@ -241,7 +241,8 @@ LISTINGS = {
 
 
 def _needs(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    found = re.findall(r"\{(\w+)\}", sql)
+    return list(dict.fromkeys(n for n in found if n in TABLES or n in LISTINGS))
 
 
 class Listings:
@@ -275,7 +276,10 @@ def with_listings(body: str) -> str:
 
     for name in _needs(body):
         visit(name)
-    plain = lambda sql: re.sub(r"\{(\w+)\}", r"\1", sql)
+
+    def plain(sql: str) -> str:
+        return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES or m[1] in LISTINGS else m[0], sql)
+
     ctes = ",\n".join(f"{n} AS ({plain(LISTINGS[n])})" for n in order)
     body = plain(body).strip()
     if not ctes:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import operator_queries  # noqa: F401
+from workload import job_queries, operator_queries  # noqa: F401
 from workload.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
