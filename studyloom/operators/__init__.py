@@ -22,6 +22,7 @@ from studyloom.operators.joins import (
     exclude_pairs,
     full_outer,
     inline_table,
+    join_agg,
     join_ns,
     matching,
     split_by_pattern,
@@ -31,6 +32,7 @@ from studyloom.operators.reshape import (
     arrange,
     facets,
     first_per,
+    number_counts,
     number_within,
     presence_wide,
     to_long,
@@ -58,10 +60,12 @@ __all__ = [
     "first_per",
     "full_outer",
     "inline_table",
+    "join_agg",
     "join_ns",
     "last_before",
     "last_of_labels",
     "matching",
+    "number_counts",
     "number_within",
     "percent_text",
     "presence_wide",

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.operators.joins import join_ns
+from studyloom.operators.joins import join_agg
 
 Reasons = Sequence[tuple[str, Column]]
 
@@ -22,19 +22,21 @@ def reason_index(reasons: Reasons) -> Column:
     return F.coalesce(*[F.when(test, F.lit(i)) for i, (_, test) in enumerate(reasons, 1)])
 
 
-def subject_reasons(df: DataFrame, key: str, reasons: Reasons, **extra: Column) -> DataFrame:
-    """One row per subject: its earliest reason and any extra aggregates."""
-    return df.withColumn("__idx", reason_index(reasons)).groupBy(key).agg(
-        F.min("__idx").alias("first_reason"), *[a.alias(n) for n, a in extra.items()]
-    )
+def with_first_reason(df: DataFrame, key: str, reasons: Reasons, **extra: Column) -> DataFrame:
+    """Add to every row its own reason `__idx` and its subject's `first_reason`.
+
+    `extra` aggregates per subject are added too. The minimum is taken by a
+    partial aggregate and joined back, not by a window, so the rows of one
+    very large subject need not meet in one task.
+    """
+    rows = df.withColumn("__idx", reason_index(reasons))
+    return join_agg(rows, rows, key, {"first_reason": F.min("__idx"), **extra})
 
 
 def waterfall(df: DataFrame, key: str, reasons: Reasons) -> DataFrame:
     """Every row with `excluded` (its subject left) and `reason` (the row counts for it)."""
-    subjects = subject_reasons(df, key, reasons)
     names = F.lit([name for name, _ in reasons])
-    out = join_ns(df.withColumn("__idx", reason_index(reasons)), subjects, key, "left")
-    return out.withColumns(
+    return with_first_reason(df, key, reasons).withColumns(
         {
             "excluded": F.col("first_reason").isNotNull(),
             "reason": F.when(F.col("__idx") == F.col("first_reason"), names[F.col("__idx") - 1]),

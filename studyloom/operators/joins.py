@@ -1,14 +1,15 @@
 """Joins in which a missing key matches a missing key.
 
-Every join here is an equi join. No side is hinted for broadcast: Spark
-broadcasts a side only when its estimated or measured size is under the
-session threshold, and otherwise sort-merges, where adaptive execution can
-split a hot key because only inner, left, semi and anti joins are used.
+Every join here is an equi join. No side is hinted for broadcast except short
+parameter lists of checked length: Spark broadcasts a side only when its
+estimated or measured size is under the session threshold, and otherwise
+sort-merges, where adaptive execution can split a hot key because only inner,
+left, semi and anti joins are used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,9 +42,8 @@ def key_columns(df: DataFrame, keys: Sequence[str], null_safe: bool = True) -> l
     """Key expressions under which null equals null, usable in grouping and equality."""
     if not null_safe:
         return [df[k] for k in keys]
-    return [
-        part for k in keys for part in (F.coalesce(df[k], _filler(df.schema[k].dataType)), df[k].isNull())
-    ]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [part for k in keys for part in (F.coalesce(df[k], _filler(types[k])), df[k].isNull())]
 
 
 def join_ns(
@@ -64,30 +64,58 @@ def join_ns(
         raise ValueError(f"unsupported join type {how}")
     pairs = _pairs(on)
     right_keys = [r for _, r in pairs]
+    taken = set(left.columns)
     payload = [c for c in right.columns if c not in right_keys]
-    names = {c: f"{c}{suffix}" if c in left.columns else c for c in payload}
+    names = {c: f"{c}{suffix}" if c in taken else c for c in payload}
     if expect == "m:1":
-        # One row per key before the join; the count travels along, so an
-        # unmatched duplicate is never looked at.
-        right = right.groupBy(*right_keys).agg(
-            F.count(F.lit(1)).alias("__rows"), F.min(F.struct(*payload)).alias("__row")
-        )
-        values = [F.col(f"__row.`{c}`").alias(names[c]) for c in payload] + [F.col("__rows")]
-    elif expect is None:
-        values = [F.col(f"`{c}`").alias(names[c]) for c in payload]
-    else:
+        return _join_many_to_one(left, right, pairs, names, how, null_safe)
+    if expect is not None:
         raise ValueError(f"unsupported expectation {expect}")
-    right = right.select(*[F.col(f"`{r}`").alias(f"__k{i}") for i, r in enumerate(right_keys)], *values)
+    right = right.select(
+        *[F.col(f"`{r}`").alias(f"__k{i}") for i, r in enumerate(right_keys)],
+        *[F.col(f"`{c}`").alias(names[c]) for c in payload],
+    )
     same = [
         left[l].eqNullSafe(right[f"__k{i}"]) if null_safe else left[l] == right[f"__k{i}"]
         for i, (l, _) in enumerate(pairs)
     ]
-    out = left.join(right, reduce(Column.__and__, same), how).drop(*[f"__k{i}" for i in range(len(pairs))])
-    if expect == "m:1":
-        message = F.lit(f"more than one row matches on {', '.join(right_keys)}")
-        out = out.filter(F.when(F.col("__rows") > 1, F.raise_error(message).cast("boolean")).otherwise(True))
-        out = out.drop("__rows")
-    return out
+    return left.join(right, reduce(Column.__and__, same), how).drop(*[f"__k{i}" for i in range(len(pairs))])
+
+
+def join_agg(
+    left: DataFrame,
+    right: DataFrame,
+    on: Key | Sequence[Key],
+    aggregates: Mapping[str, Column],
+    how: str = "left",
+    null_safe: bool = True,
+) -> DataFrame:
+    """Join to an aggregate of `right` by the same keys.
+
+    The grouping runs on null-free stand-ins of the keys, so its result is
+    already partitioned the way the join needs it and is not shuffled again.
+    """
+    pairs = _pairs(on)
+    exprs = key_columns(right, [r for _, r in pairs], null_safe)
+    ids = [f"__k{i}" for i in range(len(exprs))]
+    grouped = right.groupBy(*[e.alias(i) for i, e in zip(ids, exprs)]).agg(
+        *[a.alias(name) for name, a in aggregates.items()]
+    )
+    mine = key_columns(left, [l for l, _ in pairs], null_safe)
+    same = [e == grouped[i] for i, e in zip(ids, mine)]
+    return left.join(grouped, reduce(Column.__and__, same), how).drop(*ids)
+
+
+def _join_many_to_one(
+    left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], names: dict[str, str], how: str, null_safe: bool
+) -> DataFrame:
+    # One row per key before the join; the count travels along, so an
+    # unmatched duplicate is never looked at.
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in names]))
+    out = join_agg(left, right, pairs, {"__rows": F.count(F.lit(1)), "__row": row}, how, null_safe)
+    message = F.lit(f"more than one row matches on {', '.join(r for _, r in pairs)}")
+    out = out.filter(F.when(F.col("__rows") > 1, F.raise_error(message).cast("boolean")).otherwise(True))
+    return out.withColumns({names[c]: F.col(f"__row.`{c}`") for c in names}).drop("__rows", "__row")
 
 
 def _filtering_join(
@@ -117,8 +145,8 @@ def full_outer(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     """All rows of both sides; null keys match nothing, as in SQL.
 
     Written as the left join plus the unmatched right rows, because a full
-    outer join cannot split a hot key while these two can; both read the same
-    shuffled inputs.
+    outer join cannot split a hot key while these two can. The right side is
+    shuffled once for both; only the distinct left keys are added.
     """
     payload = [c for c in left.columns if c not in on]
     kept = join_ns(left, right, on, "left", null_safe=False)

@@ -74,37 +74,63 @@ def number_within(
     key: str,
     order: Sequence[str],
     split: Sequence[Column],
+    names: Mapping[str, Column | None],
     prefix: str = "",
-    name: str = "case_number",
 ) -> DataFrame:
-    """Running number of each row within its key, as text with a prefix.
-
-    `split` are expressions that never decrease along `order` (such as the
-    date, then the hour). They cut one key into pieces that are numbered in
-    separate tasks; each piece then starts after the rows of the pieces
-    before it, and the window over pieces only sees one row per piece.
+    """Running numbers of the rows within their key, as text with a prefix.
+
+    `names` maps each new column to the rows it counts, None for all; rows
+    that are not counted get null. `split` are expressions that never
+    decrease along `order` (such as the date, then the hour). They cut one key
+    into pieces that are numbered in separate tasks; each piece then starts
+    after the rows of the pieces before it, and the window over pieces only
+    sees one row per piece.
     """
     cuts = [f"__s{i}" for i in range(len(split))]
-    pieces = df.withColumns(dict(zip(cuts, split)))
+    flags = {f"__c{i}": F.lit(True) if test is None else F.coalesce(test, F.lit(False)) for i, test in enumerate(names.values())}
+    pieces = df.withColumns({**dict(zip(cuts, split)), **flags})
     # Null-free stand-ins let the window and the join use one partitioning.
     exprs = key_columns(pieces, [key, *cuts])
     ids = [f"__p{i}" for i in range(len(exprs))]
     pieces = pieces.withColumns(dict(zip(ids, exprs)))
     by_key = Window.partitionBy(*ids[:2]).orderBy(*[F.asc_nulls_last(c) for c in cuts])
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
     before = (
         pieces.groupBy(*ids, *cuts)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__before", F.sum("__rows").over(by_key) - F.col("__rows"))
-        .select(*ids, "__before")
+        .agg(*[F.count_if(c).alias(f"{c}_rows") for c in flags])
+        .select(*ids, *[F.coalesce(F.sum(f"{c}_rows").over(earlier), F.lit(0)).alias(f"{c}_before") for c in flags])
     )
-    by_piece = Window.partitionBy(*ids).orderBy(*order_columns(order))
-    numbered = pieces.withColumn("__rn", F.row_number().over(by_piece))
-    number = F.col("__rn") + F.col("__before")
-    return (
-        numbered.join(before, ids)
-        .withColumn(name, F.concat(F.lit(prefix), number.cast("string")))
-        .drop("__rn", "__before", *cuts, *ids)
+    in_piece = Window.partitionBy(*ids).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = pieces.withColumns({f"{c}_here": F.count_if(c).over(in_piece) for c in flags})
+    numbers = {
+        name: F.when(F.col(c), F.concat(F.lit(prefix), (F.col(f"{c}_here") + F.col(f"{c}_before")).cast("string")))
+        for name, c in zip(names, flags)
+    }
+    scratch = [*cuts, *ids, *flags, *[f"{c}_here" for c in flags], *[f"{c}_before" for c in flags]]
+    return numbered.join(before, ids).withColumns(numbers).drop(*scratch)
+
+
+CHUNK = 10_000
+
+
+def number_counts(df: DataFrame, key: str, name: str = "number", weight: Column | None = None) -> DataFrame:
+    """How many keys reach each running number, as (number, n).
+
+    The same as numbering all rows and counting the numbers, but it only
+    needs the sizes of the keys: keys of one size are handled as one row, and
+    that row is spread over 1..size in chunks. `weight` says how many rows an
+    input row stands for.
+    """
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = df.groupBy(key).agg(rows.alias("__size"))
+    alike = sizes.groupBy("__size").agg(F.count(F.lit(1)).alias("__keys"))
+    last_chunk = F.floor((F.col("__size") - 1) / CHUNK).cast("int")
+    chunks = alike.withColumn("__chunk", F.explode(F.sequence(F.lit(0), last_chunk)))
+    first = F.col("__chunk").cast("long") * CHUNK + 1
+    numbers = chunks.select(
+        "__keys", F.explode(F.sequence(first, F.least(first + (CHUNK - 1), F.col("__size")))).alias(name)
     )
+    return numbers.groupBy(name).agg(F.sum("__keys").alias("n"))
 
 
 def union_fill(*frames: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from studyloom.functions import has_text, numeric_suffix, with_level
 from studyloom.operators.asof import last_of_labels
 from studyloom.operators.crosstab import add_total_row, share
 from studyloom.operators.joins import join_ns
-from studyloom.operators.reshape import Order, arrange, number_within
+from studyloom.operators.reshape import Order, arrange, number_counts, number_within
 
 
 def drug_records(medications: DataFrame, date_of_visit: DataFrame, drug_pattern: str = "lumef|Lumef") -> DataFrame:
@@ -55,15 +55,15 @@ def dose_shares(cases: DataFrame, vaccination: DataFrame, case_date: str, digits
 
 def share_table(rows: DataFrame, by: str, digits: int, weight: Column | None = None) -> DataFrame:
     """Share per dose in dose order; the total row sums the rounded percentages."""
+    rank = f"{by}_rank"
     shares = with_level(share(rows, by, digits, weight), by, CASE_DOSES)
-    return _percent_total(shares, by, f"{by}_rank", digits)
+    table = add_total_row(shares, by, ["n", "percentage"])
+    return _percent_text(arrange(table, rank, F.col(by) == "Total"), digits).drop(rank)
 
 
-def _percent_total(shares: DataFrame, by: str, rank: str, digits: int) -> DataFrame:
-    table = add_total_row(shares, by, ["n", "percentage"])
+def _percent_text(table: DataFrame, digits: int) -> DataFrame:
     text = F.regexp_replace(F.bround("percentage", digits).cast("string"), r"\.0$", "")
-    ordered = arrange(table.withColumn("percentage", F.concat(text, F.lit("%"))), rank, F.col(by) == "Total")
-    return ordered.drop(rank)
+    return table.withColumn("percentage", F.concat(text, F.lit("%")))
 
 
 def positive_films(films: DataFrame) -> DataFrame:
@@ -97,15 +97,23 @@ def numbered_cases(
 
     `case_number_all` counts every case, `case_number` only those after a dose.
     """
-    split = [F.col("sample_date"), F.col("episode")]
     placed = with_last_dose(positive_films(films), vaccination, "sample_date")
-    everything = number_within(placed, "subject", order, split, prefix, "case_number_all")
-    matched = everything.filter(F.col("last_dose").isNotNull())
-    return number_within(matched, "subject", order, split, prefix, "case_number")
+    matched = F.col("last_dose").isNotNull()
+    split = [F.col("sample_date"), F.col("episode"), F.col("first_entry")]
+    numbers = {"case_number_all": None, "case_number": matched}
+    return number_within(placed, "subject", order, split, numbers, prefix).filter(matched)
 
 
-def case_number_table(numbered: DataFrame, digits: int = 1, prefix: str = "MLR-") -> DataFrame:
-    """How many subjects reached each case number."""
-    shares = share(numbered, "case_number", digits)
-    ranked = shares.withColumn("case_number_rank", numeric_suffix("case_number", len(prefix) + 1))
-    return _percent_total(ranked, "case_number", "case_number_rank", digits)
+def case_number_table(films: DataFrame, vaccination: DataFrame, digits: int = 1, prefix: str = "MLR-") -> DataFrame:
+    """How many subjects reached each case number, cases before any dose left out.
+
+    Cases enter as counts per subject and day; no row is numbered for this.
+    """
+    days = positive_films(films).groupBy("subject", "sample_date").agg(F.count(F.lit(1)).alias("rows"))
+    matched = with_last_dose(days, vaccination, "sample_date").filter(F.col("last_dose").isNotNull())
+    counts = number_counts(matched, "subject", "place", weight=F.col("rows"))
+    shares = share(counts, "place", digits, weight=F.col("n"))
+    labelled = shares.withColumn("case_number", F.concat(F.lit(prefix), F.col("place").cast("string")))
+    table = add_total_row(labelled, "case_number", ["n", "percentage"])
+    ordered = arrange(table, numeric_suffix("case_number", len(prefix) + 1).asc_nulls_last())
+    return _percent_text(ordered, digits).drop("place")

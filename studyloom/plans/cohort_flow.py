@@ -18,7 +18,7 @@ from studyloom.fixed_values import (
     WITHDRAWAL_STATUSES,
 )
 from studyloom.functions import has_text, not_in
-from studyloom.operators.cohort import counts_long, reason_index, subject_reasons, with_label
+from studyloom.operators.cohort import counts_long, reason_index, with_first_reason, with_label
 from studyloom.operators.joins import join_ns
 from studyloom.operators.reshape import presence_wide
 
@@ -31,13 +31,16 @@ def analysis_base(
     test_subjects: Iterable[int] = (),
 ) -> DataFrame:
     """Eligibility rows with dose flags, follow-up status and randomisation number."""
-    doses = presence_wide(vaccination, ["subject"], "visit", DOSE_COLUMNS)
     base = eligibility
     if test_subjects := list(test_subjects):
         base = base.filter(not_in("subject", test_subjects))
-    base = join_ns(base, doses, "subject")
-    base = join_ns(base, participants, "subject")
-    return join_ns(base, randomisation.select("subject", "rand"), "subject")
+    # The per-subject tables meet first, so the row table is shuffled for one
+    # join only and a subject with very many rows can be split in it.
+    doses = presence_wide(vaccination, ["subject"], "visit", DOSE_COLUMNS)
+    facts = join_ns(base.select("subject").distinct(), doses, "subject")
+    facts = join_ns(facts, participants, "subject")
+    facts = join_ns(facts, randomisation.select("subject", "rand"), "subject")
+    return join_ns(base, facts, "subject")
 
 
 def exclusion_reasons(strict: bool = False) -> list[tuple[str, Column]]:
@@ -132,10 +135,9 @@ def required_eos(base: DataFrame, strict: bool = False) -> DataFrame:
     A row that belongs to several of the cohorts is listed once for each.
     """
     screened = base.filter(F.col("visit").isNotNull())
-    subjects = subject_reasons(
+    rows = with_first_reason(
         screened, "subject", exclusion_reasons(strict), enrolled=F.bool_or(F.col("dose_1").isNotNull())
     )
-    rows = join_ns(screened, subjects, "subject")
     gone = F.col("first_reason").isNotNull()
     status = F.col("current_status")
     tags = F.array_compact(

@@ -22,7 +22,7 @@ from studyloom.functions import months_complete, to_number
 from studyloom.operators.cohort import counts_long
 from studyloom.operators.crosstab import add_total_col, add_total_row, count_where
 from studyloom.operators.joins import anti, inline_table, join_ns
-from studyloom.operators.reshape import Order, first_per
+from studyloom.operators.reshape import Order, first_per, union_fill
 
 # Sample flag column of each sample type.
 SAMPLE_FLAGS = {"film": "dbs", "haematology": "hem", "chemistry": "bio"}
@@ -109,19 +109,25 @@ def results_matrix(
 ) -> DataFrame:
     """Expected, entered and pending results per period and sample type.
 
-    Samples and results are both reduced to one row per subject and visit
-    before they meet. A film sample counts once per film result it has.
+    Samples, film counts and panel flags are stacked and grouped once by
+    subject and visit, which does the work of two joins. A film sample counts
+    once per film result it has.
     """
     tests = _sample_tests(as_of)
     names = {pair: f"__{'_'.join(pair)}" for pair in tests}
-    samples = bloods.groupBy("subject", "visit").agg(*[F.count_if(t).alias(names[p]) for p, t in tests.items()])
-    joined = join_ns(samples, _films(films), ["subject", "visit"])
-    joined = join_ns(joined, _lab_panels(labs, lab_order), ["subject", "visit"])
-    found = {
-        "film": F.coalesce("film", F.lit(0)),
-        "haematology": F.coalesce(F.col("haematology").cast("long"), F.lit(0)),
-        "chemistry": F.coalesce(F.col("chemistry").cast("long"), F.lit(0)),
-    }
+    keys = ["subject", "visit"]
+    samples = bloods.select(*keys, *[F.coalesce(t, F.lit(False)).cast("long").alias(names[p]) for p, t in tests.items()])
+    results = [_films(films), _lab_panels(labs, lab_order)]
+    kinds = list(SAMPLE_FLAGS)
+    joined = (
+        union_fill(samples, *results)
+        .groupBy(*keys)
+        .agg(
+            *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names.values()],
+            *[F.coalesce(F.max(F.col(k).cast("long")), F.lit(0)).alias(k) for k in kinds],
+        )
+    )
+    found = {k: F.col(k) for k in kinds}
     measures = {
         "Expected": lambda n, hit: F.sum(n),
         "Entered": lambda n, hit: F.sum(n * hit),

@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution picks broadcast joins from measured sizes and splits hot
-# partitions of inner, left, semi and anti joins, so no job hints or salts them.
+# partitions of inner, left, semi and anti joins, also where a second join on
+# the same key follows and the split costs another shuffle.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Turn the settings on in a session made elsewhere."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(master: str | None = None, app_name: str = "studyloom", **extra: str) -> SparkSession:
     """Session with the settings above; `extra` uses `__` for the dots in a key."""
-    builder = SparkSession.builder.appName(app_name)
+    builder = SparkSession.builder.appName(app_name).config("spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
     for key, value in SETTINGS.items():

@@ -996,7 +996,7 @@ def numbered_cases(L):
     SELECT case_number, n, regexp_replace(CAST(p AS VARCHAR), '\\.0$', '') || '%' AS percentage FROM u""",
 )
 def case_number_table(L):
-    return cases.case_number_table(cases.numbered_cases(L.films, L.vaccination, CASE_ORDER))
+    return cases.case_number_table(L.films, L.vaccination)
 
 
 @query(

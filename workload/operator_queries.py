@@ -495,7 +495,8 @@ _NUMBERED = """
 def _numbered(L):
     rows = L.events.filter(F.col("event_type") == "purchase")
     split = [F.to_date("ts"), F.hour("ts")]
-    return op.number_within(rows, "user_id", ["ts", "event_id"], split, "MLR-").select(
+    numbers = {"case_number": None}
+    return op.number_within(rows, "user_id", ["ts", "event_id"], split, numbers, "MLR-").select(
         "event_id", "user_id", "case_number"
     )
 
@@ -513,8 +514,10 @@ def case_number(L):
         CAST(substr(case_number, 5) AS INTEGER) AS place FROM c""",
 )
 def case_number_distribution(L):
-    shares = op.share(_numbered(L), "case_number", 1).withColumn("place", fn.numeric_suffix("case_number", 5))
-    return op.arrange(shares, "place")
+    counts = op.number_counts(L.events.filter(F.col("event_type") == "purchase"), "user_id", "number")
+    label = F.concat(F.lit("MLR-"), F.col("number").cast("string"))
+    shares = op.share(counts.withColumn("case_number", label), "case_number", 1, weight=F.col("n"))
+    return op.arrange(shares.withColumn("place", fn.numeric_suffix("case_number", 5)), "place")
 
 
 # ----------------------------------------------------------------- reshape

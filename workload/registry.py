@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from studyloom.session import apply_settings
 from workload.listings import Listings, with_listings
 
 # As-of dates inside the order history and just after the event month.
@@ -23,7 +24,7 @@ def query(key: str, sql: str | None = None):
     def register(build: Callable[[Listings], DataFrame]):
         if key in QUERIES:
             raise ValueError(f"{key} is registered twice")
-        QUERIES[key] = lambda spark, folder: build(Listings(spark, folder))
+        QUERIES[key] = lambda spark, folder: build(Listings(apply_settings(spark), folder))
         if sql is not None:
             CHECKS[key] = with_listings(sql)
         return build
