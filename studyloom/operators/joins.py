@@ -38,10 +38,8 @@ def _filler(data_type: T.DataType) -> Column:
     return F.lit(0).cast(data_type)
 
 
-def key_columns(df: DataFrame, keys: Sequence[str], null_safe: bool = True) -> list[Column]:
-    """Key expressions under which null equals null, usable in grouping and equality."""
-    if not null_safe:
-        return [df[k] for k in keys]
+def key_columns(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Null-free stand-ins for the keys, two per key, for grouping and plain equality."""
     types = {f.name: f.dataType for f in df.schema.fields}
     return [part for k in keys for part in (F.coalesce(df[k], _filler(types[k])), df[k].isNull())]
 
@@ -92,18 +90,18 @@ def join_agg(
 ) -> DataFrame:
     """Join to an aggregate of `right` by the same keys.
 
-    The grouping runs on null-free stand-ins of the keys, so its result is
-    already partitioned the way the join needs it and is not shuffled again.
+    The aggregate is shuffled once more for the join, on the null-safe form of
+    the keys. That is one row per key, and only when both sides of a join come
+    straight from a shuffle can Spark split a hot key of the large side.
     """
     pairs = _pairs(on)
-    exprs = key_columns(right, [r for _, r in pairs], null_safe)
-    ids = [f"__k{i}" for i in range(len(exprs))]
-    grouped = right.groupBy(*[e.alias(i) for i, e in zip(ids, exprs)]).agg(
+    grouped = right.groupBy(*[F.col(f"`{r}`").alias(f"__k{i}") for i, (_, r) in enumerate(pairs)]).agg(
         *[a.alias(name) for name, a in aggregates.items()]
     )
-    mine = key_columns(left, [l for l, _ in pairs], null_safe)
-    same = [e == grouped[i] for i, e in zip(ids, mine)]
-    return left.join(grouped, reduce(Column.__and__, same), how).drop(*ids)
+    same = [left[l].eqNullSafe(grouped[f"__k{i}"]) for i, (l, _) in enumerate(pairs)]
+    if not null_safe:
+        same += [left[l].isNotNull() for l, _ in pairs]
+    return left.join(grouped, reduce(Column.__and__, same), how).drop(*[f"__k{i}" for i in range(len(pairs))])
 
 
 def _join_many_to_one(
@@ -122,12 +120,11 @@ def _filtering_join(
     df: DataFrame, other: DataFrame, on: Key | Sequence[Key], how: str, null_safe: bool
 ) -> DataFrame:
     pairs = _pairs(on)
-    exprs = key_columns(other, [r for _, r in pairs], null_safe)
-    # Distinct keys combine before the shuffle and already carry the
-    # partitioning the join asks for.
-    keys = other.select(*[e.alias(f"__k{i}") for i, e in enumerate(exprs)]).distinct()
-    mine = key_columns(df, [l for l, _ in pairs], null_safe)
-    same = [e == keys[f"__k{i}"] for i, e in enumerate(mine)]
+    # Repeated keys combine before the shuffle, whichever key they pile up on.
+    keys = other.select(*[F.col(f"`{r}`").alias(f"__k{i}") for i, (_, r) in enumerate(pairs)]).distinct()
+    same = [df[l].eqNullSafe(keys[f"__k{i}"]) for i, (l, _) in enumerate(pairs)]
+    if not null_safe:
+        same += [df[l].isNotNull() for l, _ in pairs]
     return df.join(keys, reduce(Column.__and__, same), how)
 
 

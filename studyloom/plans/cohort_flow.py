@@ -34,13 +34,12 @@ def analysis_base(
     base = eligibility
     if test_subjects := list(test_subjects):
         base = base.filter(not_in("subject", test_subjects))
-    # The per-subject tables meet first, so the row table is shuffled for one
-    # join only and a subject with very many rows can be split in it.
+    # All three joins share one shuffle of the row table. When a subject turns
+    # out to be hot the session settings let Spark split it join by join.
     doses = presence_wide(vaccination, ["subject"], "visit", DOSE_COLUMNS)
-    facts = join_ns(base.select("subject").distinct(), doses, "subject")
-    facts = join_ns(facts, participants, "subject")
-    facts = join_ns(facts, randomisation.select("subject", "rand"), "subject")
-    return join_ns(base, facts, "subject")
+    base = join_ns(base, doses, "subject")
+    base = join_ns(base, participants, "subject")
+    return join_ns(base, randomisation.select("subject", "rand"), "subject")
 
 
 def exclusion_reasons(strict: bool = False) -> list[tuple[str, Column]]:
