@@ -68,8 +68,8 @@ def waterfall_counts(df: DataFrame, key: str, reasons: Reasons) -> DataFrame:
 def counts_long(df: DataFrame, aggregates: Mapping[str, Column]) -> DataFrame:
     """One aggregate row turned into (cohort, n) rows."""
     row = df.agg(*[a.alias(n) for n, a in aggregates.items()])
-    pairs = F.array(*[F.struct(F.lit(n).alias("cohort"), F.col(f"`{n}`").alias("n")) for n in aggregates])
-    return row.select(F.inline(pairs))
+    pairs = ", ".join(f"'{n}', `{n}`" for n in aggregates)
+    return row.select(F.expr(f"stack({len(aggregates)}, {pairs})").alias("cohort", "n"))
 
 
 def with_label(counts: DataFrame, labels: Mapping[str, str]) -> DataFrame:

@@ -67,36 +67,43 @@ def exclusion_reasons(strict: bool = False) -> list[tuple[str, Column]]:
     ]
 
 
-def row_cohorts(arm_threshold: int) -> dict[str, Column]:
-    """Cohorts that are a plain test on a screened row."""
-    in_a, in_b = F.col("subject") <= arm_threshold, F.col("subject") > arm_threshold
-    status = F.col("current_status")
-    dosed = {i: F.col(c).isNotNull() for i, c in enumerate(DOSE_COLUMNS.values(), 1)}
-    active = status == ACTIVE
-    lost = status == LOST
-    withdrawn = status.isin(WITHDRAWAL_STATUSES)
-    v6, v7 = F.col("consent_v6"), F.col("consent_v7")
-    return {
-        "vacc1": dosed[1], "vac_grp_a": dosed[1] & in_a, "vac_grp_b": dosed[1] & in_b,
-        "enr": dosed[1], "group_a_enr": dosed[1] & in_a, "group_b_enr": dosed[1] & in_b, "recvac1": dosed[1],
-        "vacc2": dosed[2], "vac2_grp_a": dosed[2] & in_a, "vac2_grp_b": dosed[2] & in_b,
-        "vacc3": dosed[3], "vac3_grp_a": dosed[3] & in_a, "vac3_grp_b": dosed[3] & in_b,
-        "vacc4": dosed[4], "vac4_grp_a": dosed[4] & in_a, "vac4_grp_b": dosed[4] & in_b,
-        "vacc5": dosed[5], "vac5_grp_a": dosed[5] & in_a, "vac5_grp_b": dosed[5] & in_b,
-        "on_active_fu": active, "active_a": active & in_a, "active_b": active & in_b,
-        "pi_discretion": status == "Terminated due to PI discretion",
-        "consent_withdrawal": status == "Consent withdrawal",
-        "blood_volume": status == "Blood volume Issues",
-        "vac_error": status == "Terminated due to dosing error",
-        "fup_done": status == COMPLETED,
-        "ltfup": lost, "ltf_a": lost & in_a, "ltf_b": lost & in_b,
-        "sae_death": status == "SAE resulting to death",
-        "withdrawal": withdrawn, "withdrawal_a": withdrawn & in_a, "withdrawal_b": withdrawn & in_b,
-        "consent_v6_yes": v6 == "Yes", "v6_a": (v6 == "Yes") & in_a, "v6_b": (v6 == "Yes") & in_b,
-        "consent_v6_no": v6 == "No", "consent_v6_yet": v6.isNull() & active,
-        "consent_v7_yes": v7 == "Yes", "v7_a": (v7 == "Yes") & in_a, "v7_b": (v7 == "Yes") & in_b,
-        "consent_v7_no": v7 == "No", "consent_v7_yet": v7.isNull() & active,
+def row_cohorts(arm_threshold: int) -> dict[str, str]:
+    """Cohorts that are a plain SQL test on a screened row."""
+    arms = {"a": f"subject <= {int(arm_threshold)}", "b": f"subject > {int(arm_threshold)}"}
+    status = "current_status = '{}'".format
+    active, lost = status(ACTIVE), status(LOST)
+    withdrawn = f"current_status IN ({', '.join(repr(s) for s in WITHDRAWAL_STATUSES)})"
+    plain = {
+        "enr": "dose_1 IS NOT NULL",
+        "recvac1": "dose_1 IS NOT NULL",
+        "on_active_fu": active,
+        "pi_discretion": status("Terminated due to PI discretion"),
+        "consent_withdrawal": status("Consent withdrawal"),
+        "blood_volume": status("Blood volume Issues"),
+        "vac_error": status("Terminated due to dosing error"),
+        "fup_done": status(COMPLETED),
+        "ltfup": lost,
+        "sae_death": status("SAE resulting to death"),
+        "withdrawal": withdrawn,
+    }
+    by_arm = {
+        "vac_grp": "dose_1 IS NOT NULL", "group_{}_enr": "dose_1 IS NOT NULL", "active": active, "ltf": lost,
+        "withdrawal": withdrawn,
+    }
+    for i, column in enumerate(DOSE_COLUMNS.values(), 1):
+        plain[f"vacc{i}"] = f"{column} IS NOT NULL"
+        if i > 1:
+            by_arm[f"vac{i}_grp"] = f"{column} IS NOT NULL"
+    for v in ("v6", "v7"):
+        plain[f"consent_{v}_yes"] = by_arm[v] = f"consent_{v} = 'Yes'"
+        plain[f"consent_{v}_no"] = f"consent_{v} = 'No'"
+        plain[f"consent_{v}_yet"] = f"consent_{v} IS NULL AND {active}"
+    split = {
+        name.format(arm) if "{}" in name else f"{name}_{arm}": f"{test} AND {in_arm}"
+        for name, test in by_arm.items()
+        for arm, in_arm in arms.items()
     }
+    return plain | split
 
 
 def flow_counts(base: DataFrame, arm_threshold: int, strict: bool = False) -> DataFrame:
@@ -110,22 +117,21 @@ def flow_counts(base: DataFrame, arm_threshold: int, strict: bool = False) -> Da
     rows = base.withColumns({"__in": screened, "__idx": F.when(screened, reason_index(reasons))})
     cohorts = row_cohorts(arm_threshold)
     per_subject = rows.groupBy("subject").agg(
-        F.min("__idx").alias("__first"),
-        F.count(F.lit(1)).alias("full"),
-        F.count_if("__in").alias("screened"),
-        F.coalesce(F.bool_or(F.col("__in") & F.col("dose_1").isNotNull()), F.lit(False)).alias("__enrolled"),
-        *[F.count_if(F.col("__idx") == i).alias(name) for i, (name, _) in enumerate(reasons, 1)],
-        *[F.count_if(F.col("__in") & test).alias(name) for name, test in cohorts.items()],
+        F.expr("min(__idx)").alias("__first"),
+        F.expr("count(1)").alias("full"),
+        F.expr("count_if(__in)").alias("screened"),
+        F.expr("coalesce(bool_or(__in AND dose_1 IS NOT NULL), false)").alias("__enrolled"),
+        *[F.expr(f"count_if(__idx = {i})").alias(name) for i, (name, _) in enumerate(reasons, 1)],
+        *[F.expr(f"count_if(__in AND {test})").alias(name) for name, test in cohorts.items()],
     )
-    stays = F.col("__first").isNull()
-    sums = {"full": F.sum("full"), "screened": F.sum("screened")}
-    for i, (name, _) in enumerate(reasons, 1):
-        sums[name] = F.sum(F.when(F.col("__first") == i, F.col(name)))
-    sums["randomized"] = F.sum(F.when(stays, F.col("screened")))
-    sums["excluded"] = F.sum(F.when(~stays, F.col("screened")))
-    sums["rand_no_enr"] = F.sum(F.when(stays & ~F.col("__enrolled"), F.col("screened")))
-    sums |= {name: F.sum(name) for name in cohorts}
-    return with_label(counts_long(per_subject, {n: F.coalesce(s, F.lit(0)) for n, s in sums.items()}), COHORT_LABELS)
+    sums = {"full": "full", "screened": "screened"}
+    sums |= {name: f"CASE WHEN __first = {i} THEN {name} END" for i, (name, _) in enumerate(reasons, 1)}
+    sums["randomized"] = "CASE WHEN __first IS NULL THEN screened END"
+    sums["excluded"] = "CASE WHEN __first IS NOT NULL THEN screened END"
+    sums["rand_no_enr"] = "CASE WHEN __first IS NULL AND NOT __enrolled THEN screened END"
+    sums |= {name: name for name in cohorts}
+    totals = {name: F.expr(f"coalesce(sum({value}), 0)") for name, value in sums.items()}
+    return with_label(counts_long(per_subject, totals), COHORT_LABELS)
 
 
 def required_eos(base: DataFrame, strict: bool = False) -> DataFrame:

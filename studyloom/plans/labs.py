@@ -29,20 +29,19 @@ SAMPLE_FLAGS = {"film": "dbs", "haematology": "hem", "chemistry": "bio"}
 PANELS = {"haematology": HAEMATOLOGY_TESTS, "chemistry": CHEMISTRY_TESTS}
 
 
-def period_rules(as_of: date) -> dict[str, Column]:
-    """A sample row is recent when any of its three dates is; future dates pass too."""
-    def within(days: int) -> Column:
-        hit = F.lit(False)
-        for col in ("hem_date", "bio_date", "dbs_date"):
-            hit = hit | F.coalesce(F.datediff(F.lit(as_of), F.col(col)) < days, F.lit(False))
-        return hit
+def period_rules(as_of: date) -> dict[str, str]:
+    """SQL tests: a sample row is recent when any of its three dates is; future dates pass too."""
+    def within(days: int) -> str:
+        # The smallest distance decides; missing dates are skipped.
+        gaps = ", ".join(f"datediff(DATE'{as_of.isoformat()}', {c})" for c in ("hem_date", "bio_date", "dbs_date"))
+        return f"coalesce(least({gaps}) < {days}, false)"
 
-    return {"overall": F.lit(True), "month": within(30), "week": within(7)}
+    return {"overall": "true", "month": within(30), "week": within(7)}
 
 
 def _sample_tests(as_of: date) -> dict[tuple[str, str], Column]:
     return {
-        (period, kind): rule & (F.col(flag) == "Yes")
+        (period, kind): F.expr(f"coalesce({flag} = 'Yes', false) AND {rule}")
         for period, rule in period_rules(as_of).items()
         for kind, flag in SAMPLE_FLAGS.items()
     }
@@ -83,10 +82,9 @@ def complete_panel(
     has_result = F.col(result_col).isNotNull()
     flags = []
     for name, tests in panels.items():
-        complete = F.lit(True)
-        for t in tests:
-            complete = complete & F.coalesce(F.bool_or((F.col(test_col) == t) & has_result), F.lit(False))
-        flags.append(complete.alias(name))
+        # Repeats are gone, so a panel is complete when as many rows have a result as it has tests.
+        filled = F.count_if(F.col(test_col).isin(list(tests)) & has_result)
+        flags.append((filled == len(set(tests))).alias(name))
     return one_each.groupBy(*keys).agg(*flags)
 
 
@@ -116,7 +114,7 @@ def results_matrix(
     tests = _sample_tests(as_of)
     names = {pair: f"__{'_'.join(pair)}" for pair in tests}
     keys = ["subject", "visit"]
-    samples = bloods.select(*keys, *[F.coalesce(t, F.lit(False)).cast("long").alias(names[p]) for p, t in tests.items()])
+    samples = bloods.select(*keys, *[t.cast("long").alias(names[p]) for p, t in tests.items()])
     results = [_films(films), _lab_panels(labs, lab_order)]
     kinds = list(SAMPLE_FLAGS)
     joined = (

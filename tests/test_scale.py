@@ -39,19 +39,6 @@ def final_plan(df):
     return plan(df)
 
 
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
-@pytest.mark.parametrize("key", list(QUERIES))
-def test_no_cross_join_and_no_python(spark, conf, key):
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
-    text = plan(QUERIES[key](spark, FOLDER))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "CollectLimit", "collect_list", "collect_set"):
-        assert bad not in text
-    # A window cut to its first rows is trimmed before the shuffle. Others only
-    # see one row per piece or per day, or one piece of a key.
-    plain = len(re.findall(r"\bWindow \[", text)) - len(re.findall(r"WindowGroupLimit .*Final", text))
-    assert plain <= {"asof_share": 2, "asof_last_before": 1, "case_number": 2, "numbered_cases": 2}.get(key, 0)
-
-
 @pytest.fixture(scope="module")
 def facts(spark, tmp_path_factory):
     """One subject holds a third of the rows; read from files, as all inputs are."""

@@ -29,6 +29,7 @@ from studyloom.plans import (
     status,
 )
 from studyloom.operators.joins import split_by_team
+from studyloom.sources.listings import LISTINGS, conform
 from workload.registry import AS_OF, EVENTS_AS_OF, query
 
 DAY = "DATE '2001-01-01'"
@@ -1119,3 +1120,53 @@ def queries_still_open(L):
         opened.filter(F.col("query_type") == "Manual").select(*cols),
     ]
     return extract.still_in_snapshot(earlier, [today[0].unionByName(today[1]).distinct()])
+
+
+# ---------------------------------------------------------------- sources
+
+_RAW_DATES = {"iso": "yyyy-MM-dd", "slashed": "dd/MM/yyyy", "named": "dd-MMM-yyyy", "stamped": "dd-MMM-yyyy HH:mm"}
+
+
+def _raw(df, name: str, layouts: dict[str, str]):
+    """A typed listing turned back into the text columns of its file, blanks for missing values."""
+    listing = LISTINGS[name]
+    places = [f.source for f in listing.fields if isinstance(f.source, int)]
+    cells = {i: F.lit("") for i in range(1, max(places, default=0) + 1)}
+    named = []
+    for f in listing.fields:
+        if f.name not in df.columns:
+            value = F.lit("")
+        elif f.kind == "date":
+            value = F.date_format(f.name, _RAW_DATES[layouts[f.name]])
+        else:
+            value = F.col(f.name).cast("string")
+        value = F.coalesce(value, F.lit(""))
+        if isinstance(f.source, int):
+            cells[f.source] = value
+        else:
+            named.append(value.alias(f.source))
+    return df.select(*[c.alias(f"column {i}") for i, c in cells.items()], *named)
+
+
+@query("conform_schedule", "SELECT * FROM {schedule}")
+def conform_schedule(L):
+    dates = ["window_open", "scheduled_date", "rescheduled_date", "exact_date", "window_close"]
+    return conform(_raw(L.schedule, "schedule", dict.fromkeys(dates, "iso")), LISTINGS["schedule"])
+
+
+@query("conform_medications", "SELECT * FROM {medications}")
+def conform_medications(L):
+    layouts = {"start_date": "slashed", "stop_date": "slashed", "first_entry": "stamped", "last_entry": "named"}
+    return conform(_raw(L.medications, "medications", layouts), LISTINGS["medications"])
+
+
+@query("conform_lab_results", "SELECT * EXCLUDE (record_id) FROM {lab_results}")
+def conform_lab_results(L):
+    return conform(_raw(L.lab_results, "lab_results", {"first_entry": "stamped"}), LISTINGS["lab_results"])
+
+
+@query("conform_bloods", "SELECT * FROM {bloods} WHERE hem_date IS NOT NULL OR bio_date IS NOT NULL")
+def conform_bloods(L):
+    layouts = dict.fromkeys(["hem_date", "bio_date", "dbs_date"], "named")
+    typed = conform(_raw(L.bloods, "bloods", layouts), LISTINGS["bloods"])
+    return typed.filter(F.col("hem_date").isNotNull() | F.col("bio_date").isNotNull())

@@ -818,7 +818,7 @@ def not_all_null(L):
     b = F.when(F.col("l_quantity") > 45, F.col("l_quantity"))
     c = F.when(F.col("l_tax") < 0.01, F.col("l_tax"))
     d = F.when(F.col("l_discount") > 0.02, F.col("l_discount"))
-    rows = L.lineitem.filter(fn.any_present(a, b, c) & fn.all_present(d))
+    rows = fn.keep_present(L.lineitem.filter(fn.any_present(a, b, c)).withColumn("d", d), "d")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey")
 
 
