@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 from studyloom.fixed_values import CASE_DOSES, CASE_VISIT, FILM, FILM_NEGATIVE, RDT, RDT_POSITIVE
 from studyloom.functions import has_text, numeric_suffix, with_level
 from studyloom.operators.asof import last_of_labels
-from studyloom.operators.crosstab import add_total_row, share
-from studyloom.operators.joins import join_ns
+from studyloom.operators.crosstab import add_total_row, count_by, share
+from studyloom.operators.joins import join_agg, join_ns
 from studyloom.operators.reshape import Order, arrange, number_counts, number_within
 
 
 def drug_records(medications: DataFrame, date_of_visit: DataFrame, drug_pattern: str = "lumef|Lumef") -> DataFrame:
-    """Medication records of the treatment drug, with the visit of that day."""
+    """Medication records of the treatment drug, with the visits of that day.
+
+    Equal visit records are one row here; `visit_rows` says how many there
+    are, so that counts can weigh them without listing every pair.
+    """
     drugs = medications.filter(has_text("generic_name", drug_pattern))
-    visits = date_of_visit.select("subject", "visit_date", F.col("visit").alias("timepoint"))
-    return join_ns(drugs, visits, ["subject", ("first_entry", "visit_date")])
+    visits = count_by(
+        date_of_visit.select("subject", "visit_date", F.col("visit").alias("timepoint")),
+        "subject", "visit_date", "timepoint", name="visit_rows",
+    )
+    joined = join_ns(drugs, visits, ["subject", ("first_entry", "visit_date")])
+    return joined.withColumn("visit_rows", F.coalesce("visit_rows", F.lit(1)))
 
 
 def treatment_cases(drugs: DataFrame, indication: str = "Malaria") -> DataFrame:
@@ -40,13 +48,18 @@ def with_last_dose(cases: DataFrame, vaccination: DataFrame, case_date: str) ->
     return last_of_labels(cases, _case_doses(vaccination), "subject", case_date, "dose_date", "dose", CASE_DOSES)
 
 
-def dose_shares(cases: DataFrame, vaccination: DataFrame, case_date: str, digits: int = 0, matched_only: bool = False) -> DataFrame:
+def dose_shares(
+    cases: DataFrame, vaccination: DataFrame, case_date: str, digits: int = 0, matched_only: bool = False,
+    weight: str | None = None,
+) -> DataFrame:
     """Cases per last dose with rounded percentages and a total row.
 
     Cases are counted per subject and day first, so a subject with very many
-    of them still enters the join as a few rows.
+    of them still enters the join as a few rows. `weight` names a column that
+    says how many cases a row stands for.
     """
-    days = cases.groupBy("subject", case_date).agg(F.count(F.lit(1)).alias("rows"))
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    days = cases.groupBy("subject", case_date).agg(size.alias("rows"))
     placed = with_last_dose(days, vaccination, case_date)
     if matched_only:
         placed = placed.filter(F.col("last_dose").isNotNull())
@@ -81,10 +94,9 @@ def positive_rdts(films: DataFrame) -> DataFrame:
 
 
 def film_rdt_overlap(films: DataFrame) -> DataFrame:
-    """Positive films that also have a positive rapid test of the same episode and day."""
+    """Positive films that also have a positive rapid test of the same episode and day, and how many."""
     keys = ["subject", "visit", "episode", "sample_date"]
-    rdts = positive_rdts(films).select(*keys, F.col("rdt_result").alias("rdt"))
-    return join_ns(positive_films(films), rdts, keys, "inner")
+    return join_agg(positive_films(films), positive_rdts(films), keys, {"rdt_rows": F.count(F.lit(1))}, "inner")
 
 
 CASE_ORDER: tuple[Order, ...] = ("sample_date", "episode", "film_result", "first_entry")

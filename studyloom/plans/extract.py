@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.fixed_values import CHEMISTRY_COLUMNS, HAEMATOLOGY_COLUMNS
-from studyloom.operators.joins import full_outer, join_ns
+from studyloom.operators.joins import full_outer, join_agg, join_ns
 from studyloom.operators.reshape import to_long, union_fill
 
 LAB_KEYS = ["serial_study_id", "date_collect"]
@@ -17,14 +17,17 @@ LAB_KEYS = ["serial_study_id", "date_collect"]
 def lab_extract(haematology: DataFrame, chemistry: DataFrame, study: int, mode: str = "full") -> DataFrame:
     """Both laboratory tables of one study joined on subject and date, long form.
 
+    Equal rows are listed once. They are dropped before the join, so they are
+    never paired, and the joined rows then differ on their own.
+
     `mode="left"` drops chemistry without haematology, as a study filter on
     the haematology table alone does.
     """
-    haem = haematology.filter(F.col("fk_study") == study).select(*LAB_KEYS, *HAEMATOLOGY_COLUMNS)
+    haem = haematology.filter(F.col("fk_study") == study).select(*LAB_KEYS, *HAEMATOLOGY_COLUMNS).distinct()
     chem = chemistry
     if "fk_study" in chemistry.columns:
         chem = chem.filter(F.col("fk_study") == study)
-    chem = chem.select(*LAB_KEYS, *CHEMISTRY_COLUMNS)
+    chem = chem.select(*LAB_KEYS, *CHEMISTRY_COLUMNS).distinct()
     if mode == "full":
         wide = full_outer(haem, chem, LAB_KEYS)
     elif mode == "left":
@@ -32,7 +35,7 @@ def lab_extract(haematology: DataFrame, chemistry: DataFrame, study: int, mode:
     else:
         raise ValueError(f"unknown mode {mode}")
     names = {**HAEMATOLOGY_COLUMNS, **CHEMISTRY_COLUMNS}
-    renamed = wide.distinct().select(
+    renamed = wide.select(
         F.col("serial_study_id").alias("subject"),
         F.col("date_collect").alias("sample_date"),
         *[F.col(c).cast("double").alias(t) for c, t in names.items()],
@@ -46,5 +49,5 @@ SNAPSHOT_KEYS = ["subject", "visit", "module", "field", "query_text"]
 def still_in_snapshot(
     earlier: DataFrame, today: Sequence[DataFrame], keys: Sequence[str] = tuple(SNAPSHOT_KEYS)
 ) -> DataFrame:
-    """Rows of the earlier snapshot that are still in one of today's lists."""
-    return join_ns(earlier, union_fill(*today), list(keys), "inner")
+    """Rows of the earlier snapshot that are still in today's lists, and how often they are."""
+    return join_agg(earlier, union_fill(*today), list(keys), {"today_rows": F.count(F.lit(1))}, "inner")

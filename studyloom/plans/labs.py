@@ -20,8 +20,8 @@ from studyloom.fixed_values import (
 )
 from studyloom.functions import months_complete, to_number
 from studyloom.operators.cohort import counts_long
-from studyloom.operators.crosstab import add_total_col, add_total_row, count_where
-from studyloom.operators.joins import anti, inline_table, join_ns
+from studyloom.operators.crosstab import add_total_col, add_total_row, count_by, count_where
+from studyloom.operators.joins import anti, inline_table, join_agg, join_ns
 from studyloom.operators.reshape import Order, first_per, union_fill
 
 # Sample flag column of each sample type.
@@ -181,12 +181,18 @@ def entered_results(
 
 
 def source_results(labs: DataFrame, bloods: DataFrame) -> DataFrame:
-    """Entered results with the sample date from the collection record."""
+    """Entered results with the sample date from the collection record.
+
+    `collection_rows` says how many collection records of the visit have that
+    date, instead of repeating the result for each.
+    """
     dates = bloods.select("subject", "visit", F.coalesce("hem_date", "bio_date").alias("sample_date"))
-    dated = dates.filter(F.col("sample_date").isNotNull())
+    dated = count_by(
+        dates.filter(F.col("sample_date").isNotNull()), "subject", "visit", "sample_date", name="collection_rows"
+    )
     rows = labs.filter(F.col("no_result_reason").isNull())
     joined = join_ns(rows, dated, ["subject", "visit"], "inner")
-    return joined.select("subject", "visit", "sample_date", "test", "result")
+    return joined.select("subject", "visit", "sample_date", "test", "result", "collection_rows")
 
 
 def reconcile(labs: DataFrame, bloods: DataFrame, lab_system: DataFrame) -> DataFrame:
@@ -212,17 +218,18 @@ def range_check(
     ranges: Sequence[tuple[str, int, int, float, float]] = LAB_RANGES,
     screening: str = "Screening",
     order: Sequence[Order] = (
-        "first_entry", "result", "no_result_reason", "range_flag", "significance", "event_code", "birth_date",
+        "first_entry", "result", "no_result_reason", "range_flag", "significance", "event_code",
     ),
 ) -> DataFrame:
     """Results to review: outside the age band's range, or incompletely assessed.
 
-    The range list is a broadcast table joined on the test with the age inside
-    the band, so a result meets at most one row of it.
+    Of several birth dates of a subject the earliest counts. The range list is
+    a broadcast table joined on the test with the age inside the band, so a
+    result meets at most one row of it.
     """
-    dated = join_ns(labs, births.select("subject", "birth_date"), "subject")
-    one_each = first_per(dated, ["subject", "visit", "test"], order)
-    aged = one_each.withColumn("age_months", months_complete("birth_date", "first_entry"))
+    one_each = first_per(labs, ["subject", "visit", "test"], order)
+    dated = join_agg(one_each, births, "subject", {"birth_date": F.min("birth_date")})
+    aged = dated.withColumn("age_months", months_complete("birth_date", "first_entry"))
     rows = [(t, int(a), int(b), float(lo), float(hi), RANGE_QUERY_SUBJECT.get(t, t)) for t, a, b, lo, hi in ranges]
     bands = inline_table(
         aged, rows, "r_test string, age_lo int, age_hi int, lo double, hi double, subject_text string"

@@ -38,10 +38,12 @@ def medications(frame):
 
 
 def test_treatment_cases(frame, medications, vaccination):
-    visits = frame("subject long, visit string, visit_date date", (1, "Dose 1", "2021-01-10"), (1, "Extra", "2021-01-10"))
+    visits = frame(
+        "subject long, visit string, visit_date date", (1, "Dose 1", "2021-01-10"), (1, "Extra", "2021-01-10"), (1, "Extra", "2021-01-10")
+    )
     drugs = cases.drug_records(medications, visits)
-    assert rows(drugs, "subject", "episode", "timepoint") == [
-        (1, "M1", "Dose 1"), (1, "M1", "Extra"), (1, "M2", None), (2, "M1", None), (2, "M2", None),
+    assert rows(drugs, "subject", "episode", "timepoint", "visit_rows") == [
+        (1, "M1", "Dose 1", 1), (1, "M1", "Extra", 2), (1, "M2", None, 1), (2, "M1", None, 1), (2, "M2", None, 1),
     ]
     treated = cases.treatment_cases(drugs)
     assert rows(cases.ongoing_treatment(drugs), "subject", "episode") == [(1, "M2"), (2, "M1"), (2, "M2")]
@@ -50,8 +52,10 @@ def test_treatment_cases(frame, medications, vaccination):
     assert rows(placed, "subject", "episode", "last_dose", "days_since") == [
         (1, "M1", "Dose 1", 0), (1, "M1", "Dose 1", 0), (1, "M2", "2B0", 10), (2, "M1", None, None),
     ]
-    table = [tuple(r) for r in cases.dose_shares(treated, vaccination, "first_entry").collect()]
-    assert table == [("Dose 1", 2, "50%"), ("2B0", 1, "25%"), (None, 1, "25%"), ("Total", 4, "100%")]
+    table = [tuple(r) for r in cases.dose_shares(treated, vaccination, "first_entry", weight="visit_rows").collect()]
+    assert table == [("Dose 1", 3, "60%"), ("2B0", 1, "20%"), (None, 1, "20%"), ("Total", 5, "100%")]
+    unweighted = [tuple(r) for r in cases.dose_shares(treated, vaccination, "first_entry").collect()]
+    assert unweighted[0] == ("Dose 1", 2, "50%")
 
 
 def test_totals_add_rounded_percentages(frame, vaccination):
@@ -91,7 +95,7 @@ def test_film_cases(films, vaccination):
     ]
     shares = cases.dose_shares(cases.positive_films(films), vaccination, "sample_date", 1, matched_only=True)
     assert [tuple(r) for r in shares.collect()][-1] == ("Total", 3, "99.9%")
-    assert rows(cases.film_rdt_overlap(films), "subject", "episode", "rdt") == [(1, "E3", RDT_POSITIVE)]
+    assert rows(cases.film_rdt_overlap(films.union(films.filter("rdt_result is not null"))), "subject", "episode", "rdt_rows") == [(1, "E3", 2)]
 
 
 def test_medications(frame, medications):

@@ -100,12 +100,14 @@ def test_reconcile(frame, bloods):
     out = labs.reconcile(results, bloods, system)
     # Same day and value pass, a missing value matches a missing one, undated samples are not compared.
     assert rows(out, "subject", "test") == [(1, "MCV"), (2, "ALT")]
+    twice = labs.reconcile(results, bloods.union(bloods), system)
+    assert rows(twice, "subject", "test", "collection_rows") == [(1, "MCV", 2), (2, "ALT", 2)]
     assert rows(labs.mismatch_subjects(out)) == [(1, "V1"), (2, "V1")]
 
 
 def _range(frame, *cases):
     results = frame(LABS, *[(i, v, t, x, why, flag, sig, code, "2021-06-15") for i, (v, t, x, why, flag, sig, code, _) in enumerate(cases)])
-    births = frame("subject long, birth_date date", *[(i, c[-1]) for i, c in enumerate(cases)])
+    births = frame("subject long, birth_date date", *[(i, c[-1]) for i, c in enumerate(cases)], *[(i, None) for i in range(3)])
     return {r.subject: r.query_text for r in labs.range_check(results, births).collect()}
 
 

@@ -91,4 +91,6 @@ def test_still_in_snapshot(frame):
     cols = "subject long, visit string, module string, field string, query_text string"
     earlier = frame(cols + ", entered_by string", (1, "v", "m", "f", "t", "Ann"), (2, "v", None, "f", "t", "Bob"), (3, "v", "m", "f", "t", "Cy"))
     today = [frame(cols, (1, "v", "m", "f", "t")), frame(cols, (2, "v", None, "f", "t"), (3, "v", "m", "f", "other"))]
-    assert rows(extract.still_in_snapshot(earlier, today), "subject", "entered_by") == [(1, "Ann"), (2, "Bob")]
+    assert rows(extract.still_in_snapshot(earlier, [*today, today[0]]), "subject", "entered_by", "today_rows") == [
+        (1, "Ann", 2), (2, "Bob", 1),
+    ]

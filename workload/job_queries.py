@@ -655,9 +655,10 @@ def results_matrix(L):
     return labs.results_matrix(L.bloods, L.panel_films, L.lab_results, AS_OF)
 
 
-_RECONCILE = """WITH a AS (SELECT l.subject, l.visit, coalesce(hem_date, bio_date) AS sample_date, test, result
-        FROM {lab_results} l JOIN {bloods} b ON l.subject = b.subject AND l.visit = b.visit
-        WHERE no_result_reason IS NULL AND coalesce(hem_date, bio_date) IS NOT NULL),
+_RECONCILE = """WITH a AS (SELECT l.subject, l.visit, b.sample_date, test, result, collection_rows
+        FROM {lab_results} l JOIN (SELECT subject, visit, coalesce(hem_date, bio_date) AS sample_date,
+            count(*) AS collection_rows FROM {bloods} GROUP BY ALL) b ON l.subject = b.subject AND l.visit = b.visit
+        WHERE no_result_reason IS NULL AND b.sample_date IS NOT NULL),
     k AS (SELECT DISTINCT subject, sample_date, test, result FROM {lab_system}),
     bad AS (SELECT a.* FROM a LEFT JOIN (SELECT *, 1 AS hit FROM k) k ON a.subject = k.subject
         AND a.sample_date = k.sample_date AND a.test = k.test AND a.result IS NOT DISTINCT FROM k.result
@@ -902,8 +903,11 @@ def closure_summary(L):
 
 # ------------------------------------------------------------------ cases
 
-_DRUGS = """dr AS (SELECT m.*, v.visit AS timepoint FROM {medications} m LEFT JOIN {date_of_visit} v
-        ON m.subject = v.subject AND m.first_entry = v.visit_date WHERE regexp_matches(generic_name, 'lumef|Lumef'))"""
+_DRUGS = """da AS (SELECT m.*, v.visit AS timepoint FROM {medications} m LEFT JOIN {date_of_visit} v
+        ON m.subject = v.subject AND m.first_entry = v.visit_date WHERE regexp_matches(generic_name, 'lumef|Lumef')),
+    vr AS (SELECT subject, visit_date, visit, count(*) AS k FROM {date_of_visit} GROUP BY ALL),
+    dr AS (SELECT m.*, vr.visit AS timepoint, coalesce(k, 1) AS visit_rows FROM {medications} m LEFT JOIN vr
+        ON m.subject = vr.subject AND m.first_entry = vr.visit_date WHERE regexp_matches(generic_name, 'lumef|Lumef'))"""
 _DOSED = """ds AS (SELECT subject, CASE visit WHEN '2B0 Vaccination' THEN '2B0' ELSE visit END AS dose, dose_date,
         CASE visit WHEN 'Dose 1' THEN 1 WHEN 'Dose 2' THEN 2 WHEN 'Dose 3' THEN 3 WHEN 'Booster' THEN 4 ELSE 5 END AS place
         FROM {vaccination})"""
@@ -947,12 +951,12 @@ def treatment_last_dose(L):
 
 @query(
     "treatment_dose_shares",
-    f"""WITH {_DRUGS}, {_DOSED}, k AS (SELECT {_last_dose_sql('first_entry')} AS last_dose FROM dr x
+    f"""WITH {_DRUGS}, {_DOSED}, k AS (SELECT {_last_dose_sql('first_entry')} AS last_dose FROM da x
         WHERE indication = 'Malaria')"""
     + _SHARES % 0,
 )
 def treatment_dose_shares(L):
-    return cases.dose_shares(cases.treatment_cases(_drugs(L)), L.vaccination, "first_entry", 0)
+    return cases.dose_shares(cases.treatment_cases(_drugs(L)), L.vaccination, "first_entry", 0, weight="visit_rows")
 
 
 _POSITIVE = """po AS (SELECT * FROM {films} WHERE visit = 'Malaria case report'
@@ -1002,10 +1006,10 @@ def case_number_table(L):
 
 @query(
     "film_rdt_overlap",
-    f"""WITH {_POSITIVE}, rd AS (SELECT subject, visit, episode, sample_date, rdt_result AS rdt FROM {{films}}
+    f"""WITH {_POSITIVE}, rd AS (SELECT subject, visit, episode, sample_date, count(*) AS rdt_rows FROM {{films}}
         WHERE visit = 'Malaria case report' AND sample_type = 'A P. falciparum rapid diagnosis test (RDT)'
-        AND rdt_result = 'Positive for Plasmodium falciparum')
-    SELECT po.*, rdt FROM po JOIN rd USING (subject, visit, episode, sample_date)""",
+        AND rdt_result = 'Positive for Plasmodium falciparum' GROUP BY ALL)
+    SELECT po.*, rdt_rows FROM po JOIN rd USING (subject, visit, episode, sample_date)""",
 )
 def film_rdt_overlap(L):
     return cases.film_rdt_overlap(L.films)
@@ -1105,21 +1109,20 @@ def lab_extract_left(L):
 
 @query(
     "queries_still_open",
-    """SELECT a.* FROM (SELECT subject, visit, module, field, query_text, query_type FROM {queries}
+    """SELECT a.*, today_rows FROM (SELECT subject, visit, module, field, query_text, query_type FROM {queries}
         WHERE query_status IN ('Open Query', 'Answered')) a JOIN (
-        SELECT DISTINCT subject, visit, module, field, query_text FROM {queries} WHERE query_status = 'Open Query') b
-        USING (subject, visit, module, field, query_text)""",
+        SELECT subject, visit, module, field, query_text, count(*) AS today_rows FROM {queries}
+        WHERE query_status = 'Open Query' GROUP BY ALL) b USING (subject, visit, module, field, query_text)""",
 )
 def queries_still_open(L):
     cols = extract.SNAPSHOT_KEYS
     earlier = L.queries.filter(F.col("query_status").isin("Open Query", "Answered")).select(*cols, "query_type")
     opened = L.queries.filter(F.col("query_status") == "Open Query")
-    # Two lists of today, each key once, as the exported sheets hold them.
     today = [
         opened.filter(F.col("query_type") == "Automatic").select(*cols),
         opened.filter(F.col("query_type") == "Manual").select(*cols),
     ]
-    return extract.still_in_snapshot(earlier, [today[0].unionByName(today[1]).distinct()])
+    return extract.still_in_snapshot(earlier, today)
 
 
 # ---------------------------------------------------------------- sources
