@@ -22,7 +22,7 @@ from studyloom.functions import months_complete, to_number
 from studyloom.operators.cohort import counts_long
 from studyloom.operators.crosstab import add_total_col, add_total_row, count_by, count_where
 from studyloom.operators.joins import anti, inline_table, join_agg, join_ns
-from studyloom.operators.reshape import Order, first_per, union_fill
+from studyloom.operators.reshape import Order, first_per, union_fill, union_same
 
 # Sample flag column of each sample type.
 SAMPLE_FLAGS = {"film": "dbs", "haematology": "hem", "chemistry": "bio"}
@@ -152,32 +152,28 @@ def results_matrix(
     return add_total_col(cells.select(F.inline(rows)), list(SAMPLE_FLAGS), "total")
 
 
+def _entered(films: DataFrame, labs: DataFrame, lab_order: Sequence[Order]) -> DataFrame:
+    """Subject, visit and sample type with complete results, and how many results."""
+    complete = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in PANELS]))
+    panels = _lab_panels(labs, lab_order).select(
+        "subject", "visit", F.explode(complete).alias("sample"), F.lit(1).cast("long").alias("results")
+    )
+    film_rows = _films(films).select("subject", "visit", F.lit("film").alias("sample"), F.col("film").alias("results"))
+    return union_same(panels, film_rows)
+
+
 def pending_results(
     bloods: DataFrame, films: DataFrame, labs: DataFrame, as_of: date, lab_order: Sequence[Order] = LAB_ORDER
 ) -> DataFrame:
     """Collected samples without results, per period and sample type."""
-    expected = sample_rows(bloods, as_of)
-    panels = _lab_panels(labs, lab_order)
-    done = F.array_compact(
-        F.array(*[F.when(F.col(k), F.lit(k)) for k in PANELS])
-    )
-    entered = panels.select("subject", "visit", F.explode(done).alias("sample")).unionByName(
-        _films(films).select("subject", "visit", F.lit("film").alias("sample"))
-    )
-    return anti(expected, entered, ["subject", "visit", "sample"])
+    return anti(sample_rows(bloods, as_of), _entered(films, labs, lab_order), ["subject", "visit", "sample"])
 
 
 def entered_results(
     bloods: DataFrame, films: DataFrame, labs: DataFrame, as_of: date, lab_order: Sequence[Order] = LAB_ORDER
 ) -> DataFrame:
-    """Collected samples joined to their complete results; film rows once per film result."""
-    expected = sample_rows(bloods, as_of)
-    panels = _lab_panels(labs, lab_order)
-    done = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in PANELS]))
-    counted = panels.select(
-        "subject", "visit", F.explode(done).alias("sample"), F.lit(1).cast("long").alias("results")
-    ).unionByName(_films(films).select("subject", "visit", F.lit("film").alias("sample"), F.col("film").alias("results")))
-    return join_ns(expected, counted, ["subject", "visit", "sample"], "inner")
+    """Collected samples with complete results; `results` counts the films read."""
+    return join_ns(sample_rows(bloods, as_of), _entered(films, labs, lab_order), ["subject", "visit", "sample"], "inner")
 
 
 def source_results(labs: DataFrame, bloods: DataFrame) -> DataFrame:
