@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import minhash
+from studyloom.llm import minhash, warc
 from studyloom.llm.common import LOWER, UPPER, table
 from studyloom.llm.registry import CHECKS, QUERIES, query
 
@@ -32,3 +32,19 @@ ASCII_LOWER = f"translate(text, '{UPPER}', '{LOWER}')"
 )
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
+@query(
+    "op2_warc_archive",
+    """
+    with p as (select page_id, strlen(coalesce(html, ''))::bigint as n, sha256(coalesce(html, '')) as d from pages),
+    f as (select d, min(page_id) as first from p where n >= 100 group by d)
+    select page_id, n as payload_bytes, d as payload_digest,
+           case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+           case when first <> page_id then first end as refers_to
+    from p left join f using (d)
+    """,
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.round_trip(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
