@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.llm import minhash, warc
+from studyloom.llm import embedding_join, minhash, warc
 from studyloom.llm.common import LOWER, UPPER, table
 from studyloom.llm.registry import CHECKS, QUERIES, query
 
@@ -48,3 +48,21 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.round_trip(table(spark, folder, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op10_embedding_join",
+    """
+    with recursive v as (select vec_id, embedding::double[] as e from embeddings
+                         where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                         and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l as (select a.vec_id as i, b.vec_id as j from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+    r as (select vec_id as i, vec_id as j from embeddings union select r.i, l.j from r join l on r.j = l.i),
+    k as (select i, min(j) as k from r group by i),
+    n as (select i, count(*) as n from l group by i)
+    select vec_id, coalesce(n, 0)::bigint as n_links, k as component_id, k = vec_id as kept
+    from embeddings e join k on e.vec_id = k.i left join n on e.vec_id = n.i
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_join.link_vectors(table(spark, folder, "embeddings"), cosine=0.95)
