@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import chat, decontaminate, embedding_join, minhash, warc
-from studyloom.llm.common import LOWER, UPPER, table
+from studyloom.llm import chat, decontaminate, embedding_join, line_crf, minhash, toxicity, warc
+from studyloom.llm.common import LOWER, UPPER, in_fold, table
 from studyloom.llm.registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -113,3 +113,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op6_line_crf")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = line_crf.quality(docs, line_crf.train(docs, table(spark, folder, "labels")))
+    held_out = in_fold(F.col("doc_id"), 3, 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.severity(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    return scored.withColumn("held_out", in_fold(F.col("doc_id"), 3, 1))
