@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import chat, decontaminate, embedding_join, line_crf, minhash, toxicity, warc
+from studyloom.llm import chat, decontaminate, embedding_join, line_crf, minhash, mixing, toxicity, warc
 from studyloom.llm.common import LOWER, UPPER, in_fold, table
 from studyloom.llm.registry import CHECKS, QUERIES, query
 
@@ -128,3 +128,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = toxicity.severity(docs, toxicity.train(docs, table(spark, folder, "labels")))
     return scored.withColumn("held_out", in_fold(F.col("doc_id"), 3, 1))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    posterior = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(mixing.TARGETS)]
+    return mixed.select("doc_id", "n_tokens", *posterior, "domain", "rate")
