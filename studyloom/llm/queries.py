@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import chat, decontaminate, embedding_join, line_crf, minhash, mixing, toxicity, warc
-from studyloom.llm.common import LOWER, UPPER, in_fold, table
+from studyloom.llm import chat, decontaminate, embedding_join, line_crf, minhash, mixing, substring_dedup, toxicity, warc
+from studyloom.llm.common import LOWER, UPPER, in_fold, split_words, table
 from studyloom.llm.registry import CHECKS, QUERIES, query
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -135,3 +135,24 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
     posterior = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(mixing.TARGETS)]
     return mixed.select("doc_id", "n_tokens", *posterior, "domain", "rate")
+
+
+@query(
+    "op7_substring_dedup",
+    f"""
+    with w as (select doc_id, {WORDS.format("text")} as w from documents),
+    s as (select doc_id, unnest(range(1, len(w) - 33)) as p from w),
+    x as (select s.doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) as h from s join w using (doc_id)),
+    d as (select h from x group by h having count(*) > 1),
+    g as (select doc_id, unnest(range(p, p + 35)) as p from x join d using (h)),
+    c as (select doc_id, list(distinct p) as gone from g group by doc_id),
+    k as (select w.doc_id, len(w)::bigint as n, coalesce(len(gone), 0)::bigint as g,
+                 case when gone is null then w else list_select(w, list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i))) end as kept
+          from w left join c using (doc_id))
+    select doc_id, n as n_words, g as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+    """,
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(table(spark, folder, "documents"), window=35)
+    kept = F.sha2(F.array_join(split_words(F.col("kept_text")), " "), 256)
+    return cut.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
