@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import chat, decontaminate, embedding_join, line_crf, minhash, mixing, substring_dedup, toxicity, warc
+from studyloom.llm import chat, decontaminate, embedding_join, line_crf, minhash, mixing, substring_dedup, suffix_tree, toxicity, warc
 from studyloom.llm.common import LOWER, UPPER, in_fold, split_words, table
 from studyloom.llm.registry import CHECKS, QUERIES, query
 
@@ -156,3 +156,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring_dedup.cut_repeats(table(spark, folder, "documents"), window=35)
     kept = F.sha2(F.array_join(split_words(F.col("kept_text")), " "), 256)
     return cut.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+@query("op5_suffix_tree")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = suffix_tree.score(docs, suffix_tree.training_texts(docs))
+    return scored.withColumn("held_out", in_fold(F.col("doc_id"), 5, 1))
