@@ -1,13 +1,35 @@
-"""Corpus pipeline over `documents`: five stages, each written and read again."""
+"""Corpus pipeline over `documents`: five stages, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from studyloom.llm import minhash
-from studyloom.llm.common import staged, table
+from studyloom.llm import decontaminate, minhash, mixing, substring_dedup, toxicity
+from studyloom.llm.common import sized, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents at least this likely to be toxic go.
+TOXIC = 0.5
+#: Rates are fitted above this, so that mixing repeats documents and drops none.
+LEAST_RATE = 1.0
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not among `gone`; rows without an id stay."""
+    ids = staged(gone.select("doc_id").distinct(), "gone")
+    return docs.join(sized(ids), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model holds to be toxic go; it learns from the labelled documents."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.severity(docs, model).where(F.col("p_toxic") >= TOXIC)
+    return _without(docs, scored)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,13 +37,42 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Exact repeats of a kept row (same id and text) stay once; rows without an id stay.
     """
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return with_id.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept")
+    left = _without(docs, gone)
+    with_id = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return with_id.union(left.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages of 35 words and more that occur elsewhere go; the documents stay, shorter."""
+    cut = substring_dedup.cut_repeats(docs, window=35, keep=["lang", "source", "n_chars"])
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), width=5, percent=80)
+    return _without(docs, leaks)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights: a row per copy, with domain, rate and the copy's number.
+
+    A rate's fraction is the chance of one copy more, drawn by a hash of id and text.
+    """
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), least=LEAST_RATE, keep=COLUMNS)
+    lot = F.pmod(F.xxhash64("doc_id", "text", F.lit("copy")), F.lit(1 << 30)) / (1 << 30)
+    copies = F.floor("rate") + (lot < F.col("rate") - F.floor("rate")).cast("long")
+    return mixed.select(*COLUMNS, "domain", "rate", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("minhash", near_dedup),
+    ("substring", cut_repeats),
+    ("decontaminate", drop_leaks),
+    ("mixing", mix),
 ]
 
 #: Two stages score with fitted models, which SQL cannot express; the tests hold run() against a brute-force version.

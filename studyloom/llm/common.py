@@ -18,6 +18,8 @@ SPACES = "[ \\t-\\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of text worked on together inside a task, in bytes of text.
 CHUNK_BYTES = 2_000_000
+#: Lists of ids up to this count (8 to 32 bytes each) are broadcast.
+BROADCAST_IDS = 2_000_000
 
 #: Multipliers of the 64-bit finaliser (splitmix64), fixed values.
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +52,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """Broadcast a staged list of ids if it is counted to be short; else leave the join to shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def split_words(text: Column) -> Column:
     """Words of a text as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES, -1), lambda w: w != "")

@@ -15,7 +15,7 @@ a fold over the steps' residuals, computed where the document is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +27,13 @@ from studyloom.llm.common import staged, text_chunks
 
 #: Labelled rows the classifier is fitted on, at most.
 TRAIN_ROWS = 5000
-#: Steps of the projected gradient, and the residual (as a share of the total) that ends it.
-STEPS, TOLERANCE = 80, 1e-7
+#: Steps of the projected gradient, and the move of any domain's tokens (as a share of the total) that ends it.
+STEPS, TOLERANCE = 60, 1e-7
+#: With a least rate, the total aimed at is this much above the smallest that all domains can reach.
+HEADROOM = 1.05
 #: Target shares of expected tokens: four languages of clean text, and text labelled low in quality.
 TARGETS = {"en": 0.45, "fr": 0.15, "de": 0.15, "es": 0.12, "low": 0.13}
-_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
+_FIELDS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,7 @@ def _membership(model: Classifier):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             tokens = [len(t.split()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(list(posteriors(texts, model)), _FIELDS.types[2])], schema=_FIELDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("hash"), pa.array(tokens, pa.int64()), pa.array(list(posteriors(texts, model)), _FIELDS.types[3])], schema=_FIELDS)
 
     return work
 
@@ -134,7 +136,7 @@ def fit_rates(members: DataFrame, shares: list[float], least: float = 0.0, total
     got = members.agg(*(c.alias(f"g{i}") for i, c in enumerate(cell)), *(c.alias(f"h{i}") for i, c in enumerate(have))).first()
     gram, have = np.array(got[: k * k]).reshape(k, k), np.array(got[k * k :])
     if total is None:
-        total = float((have / share).max()) * least if least else float(have.sum())
+        total = float((have / share).max()) * least * HEADROOM if least else float(have.sum())
     size = 1 / np.maximum(np.diag(gram), 1e-9)
     root = np.sqrt(size)
     reach = float(np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max())
@@ -142,26 +144,32 @@ def fit_rates(members: DataFrame, shares: list[float], least: float = 0.0, total
     done: list[np.ndarray] = []
     brought = have * max(1.0, least)
     for _ in range(steps):
-        miss = brought - share * total
-        if np.abs(miss).max() <= TOLERANCE * max(total, 1.0):
-            break
-        done.append(pace * size * miss)
-        rate = _rate(done, least)
+        done.append(pace * size * (brought - share * total))
+        rate, before = _rate(done, least), brought
         brought = np.array(members.withColumn("rate", rate).agg(*(F.coalesce(F.sum(F.col("rate") * tokens * F.col("posterior")[d]), F.lit(0.0)) for d in range(k))).first())
+        if np.abs(brought - before).max() <= TOLERANCE * max(total, 1.0):
+            break
     return members.withColumn("rate", _rate(done, least))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, least: float = 0.0, total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, least: float = 0.0, total: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, n_tokens, posterior (in the order of `targets`), domain, rate.
 
     A null text has no tokens and the posterior of an empty one; repeated rows
-    get equal rates; rows without an id take part. Other columns are ignored; an
-    empty table gives no rows.
+    get equal rates; rows without an id take part. Of other columns those named in
+    `keep` are passed on; an empty table gives no rows.
     """
     domains = list(targets)
     model = train(domain_rows(docs, labels), domains)
-    members = docs.select("doc_id", "text").mapInArrow(_membership(model), "doc_id long, n_tokens long, posterior array<double>")
+    members = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(_membership(model), "doc_id long, hash long, n_tokens long, posterior array<double>")
     rated = fit_rates(staged(members, "membership"), [targets[d] for d in domains], least, total)
     names = F.array(*map(F.lit, domains))
     best = F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
-    return rated.select("doc_id", "n_tokens", "posterior", best.alias("domain"), "rate")
+    rated = rated.select("doc_id", "hash", "n_tokens", "posterior", best.alias("domain"), "rate")
+    if not keep:
+        return rated.drop("hash")
+    # Equal texts have equal rates, so repeated rows meet one of themselves.
+    one = rated.withColumnRenamed("doc_id", "rated_id").dropDuplicates(["rated_id", "hash"])
+    same = F.col("doc_id").eqNullSafe(F.col("rated_id")) & (F.xxhash64("text") == F.col("hash"))
+    extra = [c for c in keep if c != "doc_id"]
+    return docs.select("doc_id", *(c for c in dict.fromkeys([*extra, "text"]))).join(one, same).select("doc_id", *extra, "n_tokens", "posterior", "domain", "rate")

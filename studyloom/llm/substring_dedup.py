@@ -23,7 +23,7 @@ join that Spark can split.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +200,11 @@ def factors_of(pieces: list[dict], window: int) -> list[tuple[int, int, int | No
     return [(start, n + window - 1, *(ref or (None, None))) for start, n, ref in out]
 
 
-def _cut(window: int, schema: pa.Schema):
+_CUT_TYPES = "n_words long, n_removed long, kept_text string, factors array<struct<start:long,length:long,ref_id:long,ref_start:long>>"
+_CUT = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_id", pa.int64()), ("ref_start", pa.int64())]))]
+
+
+def _cut(window: int):
     def cut(text, pieces):
         if not pieces:
             return len(text.split()) if text else 0, 0, text, []
@@ -222,16 +226,16 @@ def _cut(window: int, schema: pa.Schema):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             done = [cut(t, p) for t, p in zip(texts, batch.column("pieces").to_pylist(), strict=True)]
-            own = [batch.column(i) for i in range(batch.num_columns - 1)]
             names = ("start", "length", "ref_id", "ref_start")
-            rest = [[d[0] for d in done], [d[1] for d in done], [None if d[2] is None else d[2].decode() for d in done], [[dict(zip(names, f, strict=True)) for f in d[3]] for d in done]]
-            arrays = [a.cast(f.type) for a, f in zip(own, schema, strict=False)] + [pa.array(r, f.type) for r, f in zip(rest, list(schema)[-4:], strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            rest = [d[0] for d in done], [d[1] for d in done], [None if d[2] is None else d[2].decode() for d in done], [[dict(zip(names, f, strict=True)) for f in d[3]] for d in done]
+            own = [batch.column(c) for c in ("doc_id", "text", "kept_columns")]
+            arrays = own + [pa.array(r, t) for r, t in zip(rest, _CUT, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "kept_columns", "n_words", "n_removed", "kept_text", "factors"])
 
     return work
 
 
-def cut_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = 35, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, text, n_words, n_removed, kept_text, factors (start, length, ref_id, ref_start) of every document.
 
     A word goes if a window of `window` words covers it whose words also start
@@ -241,14 +245,16 @@ def cut_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     may overlap; ref_id and ref_start tell another place of the factor, null where
     only its windows, not a block, were found. A null text has no words and stays
     null; texts shorter than a window lose nothing; repeated rows repeat each
-    other; rows without an id take part. Other columns are ignored; an empty table gives no rows.
+    other; rows without an id take part. Of other columns those named in `keep` are
+    passed on; an empty table gives no rows.
     """
     if not 2 <= window <= SEED + (1 << N_BITS) - 2:
         raise ValueError("the window must have 2 to 38 words")
     pieces = matched_blocks(docs, window)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    carried = F.struct(*keep) if keep else F.lit(None).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried.alias("kept_columns"))
     rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "hash": F.xxhash64("text").bitwiseAND(0xFFFFFFFF)})
-    joined = rows.join(pieces, ["id", "hash"], "left").select("doc_id", "text", "pieces")
-    factor = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_id", pa.int64()), ("ref_start", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("factors", pa.list_(factor))])
-    return joined.mapInArrow(_cut(window, schema), "doc_id long, text string, n_words long, n_removed long, kept_text string, factors array<struct<start:long,length:long,ref_id:long,ref_start:long>>")
+    joined = rows.join(pieces, ["id", "hash"], "left").select("doc_id", "text", "kept_columns", "pieces")
+    types = f"doc_id long, text string, kept_columns {rows.schema['kept_columns'].dataType.simpleString()}, {_CUT_TYPES}"
+    out = joined.mapInArrow(_cut(window), types)
+    return out.select("doc_id", "text", *(F.col("kept_columns")[c].alias(c) for c in keep), "n_words", "n_removed", "kept_text", "factors")
