@@ -71,6 +71,15 @@ WITHDRAWAL_STATUSES = [
 # Query statuses in display order.
 QUERY_STATUS_LEVELS = ["Resolved", "Data Deleted", "CDM Override", "Answered", "Open Query"]
 
+# Origins of a data query.
+QUERY_TYPES = ["Automatic", "Manual"]
+
+# Randomised arms.
+ARMS = ["Group A", "Group B"]
+
+# Severity grades of the event tables.
+GRADES = ["Grade 1", "Grade 2", "Grade 3"]
+
 # Cohort names and display labels.
 COHORT_LABELS = {
     "full": "Screened",

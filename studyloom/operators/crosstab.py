@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 1000
 MISSING_NAME = "NA"
+OTHER_NAME = "Other"
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -34,81 +34,68 @@ def count_where(
     return counts
 
 
-def _column_values(df: DataFrame, col: str) -> list:
-    rows = df.select(col).distinct().limit(MAX_COLUMNS + 1).collect()
-    if len(rows) > MAX_COLUMNS:
-        raise ValueError(f"{col} has more than {MAX_COLUMNS} values")
-    found = [r[0] for r in rows]
-    return sorted(v for v in found if v is not None) + ([None] if None in found else [])
+def _cells(col: str, values: Sequence) -> dict[str, Column]:
+    """A test per column of the table: the listed values, then all others, then the missing ones."""
+    listed = [v for v in values if v is not None]
+    tests = {MISSING_NAME if v is None else str(v): F.col(col).isNull() if v is None else F.col(col) == v for v in values}
+    other = ~F.col(col).isin(listed) if listed else F.lit(True)
+    tests.setdefault(OTHER_NAME, F.col(col).isNotNull() & other)
+    tests.setdefault(MISSING_NAME, F.col(col).isNull())
+    return tests
 
 
-def _spread(counts: DataFrame, by: Sequence[str], col: str, values: Sequence, rollup: bool) -> DataFrame:
-    cells = []
-    for v in values:
-        hit = F.col(col).isNull() if v is None else F.col(col) == v
-        cells.append(F.sum(F.when(hit, F.col("__n"))).alias(MISSING_NAME if v is None else str(v)))
+def _spread(counts: DataFrame, row: str, tests: Mapping[str, Column], rollup: bool) -> DataFrame:
+    """One row per value of `row`, all rows of it in `__all`; `__level` 1 is the total."""
+    cells = [F.sum(F.when(test, F.col("__n"))).alias(name) for name, test in tests.items()]
+    cells.append(F.sum("__n").alias("__all"))
     if rollup:
-        return counts.rollup(*by).agg(*cells, F.grouping_id().alias("__level"))
-    return counts.groupBy(*by).agg(*cells, F.lit(0).alias("__level"))
+        return counts.rollup(row).agg(*cells, F.grouping_id().alias("__level"))
+    return counts.groupBy(row).agg(*cells, F.lit(0).alias("__level"))
 
 
 def crosstab(
     df: DataFrame,
     row: str,
     col: str,
-    values: Sequence | None = None,
+    values: Sequence,
     totals: Sequence[str] = ("row", "col"),
     label: str = "Total",
     total_name: str = "Total",
 ) -> DataFrame:
     """Counts of `row` by `col`, null where a combination never occurs.
 
-    `values` fixes the columns and their order; without it they are looked up
-    first, and more than 1000 is an error. A None value counts the rows where
-    `col` is missing, under the name NA.
+    `values` gives the columns and their order. Rows with another value of `col`
+    are counted under Other and rows without one under NA, at the end unless
+    listed (None lists NA), so that cells add up to the totals over all rows.
+    Rows of the table come in order of `row`, the total last.
     """
     counts = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("__n"))
-    if values is None:
-        values = _column_values(counts, col)
-    names = [MISSING_NAME if v is None else str(v) for v in values]
-    table = _spread(counts, [row], col, values, "row" in totals)
+    tests = _cells(col, values)
+    table = _spread(counts, row, tests, "row" in totals).orderBy("__level", F.asc_nulls_last(row))
     is_total = F.col("__level") == 1
-    out = table.select(
-        F.when(is_total, F.lit(label)).otherwise(F.col(row).cast("string")).alias(row),
-        *[F.when(is_total, F.coalesce(f"`{n}`", F.lit(0))).otherwise(F.col(f"`{n}`")).alias(n) for n in names],
-    )
+    out = [F.when(is_total, F.lit(label)).otherwise(F.col(row).cast("string")).alias(row)]
+    out += [F.when(is_total, F.coalesce(f"`{n}`", F.lit(0))).otherwise(F.col(f"`{n}`")).alias(n) for n in tests]
     if "col" in totals:
-        total = F.lit(0).cast("long")
-        for n in names:
-            total = total + F.coalesce(f"`{n}`", F.lit(0))
-        out = out.withColumn(total_name, total)
-    return out
+        out.append(F.coalesce("__all", F.lit(0)).alias(total_name))
+    return table.select(*out)
 
 
-def crosstab_pct(
-    df: DataFrame, row: str, col: str, values: Sequence | None = None, label: str = "Total"
-) -> DataFrame:
-    """Cells as "p% (n)" of their column, totals both ways, half rounded up."""
+def crosstab_pct(df: DataFrame, row: str, col: str, values: Sequence, label: str = "Total") -> DataFrame:
+    """Cells as "p% (n)" of their column, totals both ways, half rounded up; columns and order as in `crosstab`."""
     counts = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("__n"))
-    if values is None:
-        values = _column_values(counts, col)
-    names = [MISSING_NAME if v is None else str(v) for v in values]
-    table = _spread(counts, [row], col, values, True)
-    cells = {n: F.coalesce(f"`{n}`", F.lit(0)) for n in names}
-    all_cells = F.lit(0).cast("long")
-    for c in cells.values():
-        all_cells = all_cells + c
+    tests = _cells(col, values)
+    table = _spread(counts, row, tests, True)
     is_total = F.col("__level") == 1
     table = table.select(
         F.when(is_total, F.lit(label)).otherwise(F.col(row).cast("string")).alias(row),
-        *[c.alias(n) for n, c in cells.items()],
-        all_cells.alias("Total"),
+        *[F.coalesce(f"`{n}`", F.lit(0)).alias(n) for n in tests],
+        F.coalesce("__all", F.lit(0)).alias("Total"),
         is_total.alias("__total"),
     )
     # The total row is one row, so the lookup is a scalar per column.
-    shown = [*names, "Total"]
+    shown = [*tests, "Total"]
     sums = table.filter("__total").select(F.struct(*[F.col(f"`{n}`") for n in shown]).alias("s")).scalar()
-    table = table.withColumn("__s", sums)
+    table = table.withColumn("__s", sums).orderBy("__total", F.asc_nulls_last(row))
     out = [F.col(row)]
     for n in shown:
         part, whole = F.col(f"`{n}`"), F.col("__s")[n]
@@ -137,18 +124,23 @@ def share(df: DataFrame, by: str, digits: int = 0, weight: Column | None = None)
     return counts.withColumn("percentage", _percent(F.col("n"), everything, digits))
 
 
-def add_total_row(df: DataFrame, label_col: str, sums: Sequence[str], label: str = "Total") -> DataFrame:
-    """Append a row of column sums to a table with unique labels.
+def add_total_row(
+    df: DataFrame, label_col: str, sums: Sequence[str], label: str = "Total", order: Sequence[Column | str] = ()
+) -> DataFrame:
+    """Append a row of column sums; rows of the table stay as they are, repeated labels included.
 
     Missing cells stay missing and count as 0 in the sum; other text columns
-    show "-" in the total row.
+    show "-" in the total row. Rows come in `order`, by label if none is given,
+    the total last.
     """
-    others = [c for c in df.columns if c != label_col and c not in sums]
-    table = df.rollup(label_col).agg(
+    others = [c for c in df.columns if c not in sums]
+    # Every row is a group of its own beside the one of all rows, so nothing is computed twice.
+    table = df.withColumn("__row", F.monotonically_increasing_id()).rollup("__row").agg(
         *[F.sum(F.col(f"`{c}`")).alias(c) for c in sums],
         *[F.min(F.col(f"`{c}`")).alias(c) for c in others],
         F.grouping_id().alias("__level"),
     )
+    table = table.orderBy("__level", *(order or [F.asc_nulls_last(label_col)]))
     is_total = F.col("__level") == 1
     text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     cells = []

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 Key = str | tuple[str, str]
 
-MAX_INLINE_ROWS = 10_000
+#: Parameter lists up to this length are broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def _pairs(on: Key | Sequence[Key]) -> list[tuple[str, str]]:
@@ -142,26 +143,37 @@ def full_outer(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     """All rows of both sides; null keys match nothing, as in SQL.
 
     Written as the left join plus the unmatched right rows, because a full
-    outer join cannot split a hot key while these two can. The right side is
-    shuffled once for both; only the distinct left keys are added.
+    outer join cannot split a hot key while these two can. Rows with a missing
+    key are set aside first and appended; then both branches meet the right
+    side on the same plain keys, so that it is shuffled once for both.
     """
-    payload = [c for c in left.columns if c not in on]
-    kept = join_ns(left, right, on, "left", null_safe=False)
-    extra = anti(right, left, on, null_safe=False).withColumns(
-        {c: F.lit(None).cast(left.schema[c].dataType) for c in payload}
-    )
-    return kept.unionByName(extra)
+    keys = [F.col(f"`{k}`") for k in on]
+    whole = reduce(Column.__and__, (k.isNotNull() for k in keys))
+    suffixed = {c: f"{c}_right" if c in left.columns else c for c in right.columns if c not in on}
+    sided = right.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(on)], *[F.col(f"`{c}`").alias(n) for c, n in suffixed.items()])
+    bare = reduce(Column.__and__, (F.col(f"__k{i}").isNotNull() for i in range(len(on))))
+    keyed = sided.filter(bare)
+    lefts = left.filter(whole)
+    same = reduce(Column.__and__, (F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(on)))
+    marks = [f"__k{i}" for i in range(len(on))]
+    kept = lefts.join(keyed, same, "left").drop(*marks)
+    seen = lefts.select(*[k.alias(f"__l{i}") for i, k in enumerate(keys)]).distinct()
+    unseen = reduce(Column.__and__, (F.col(f"__k{i}") == F.col(f"__l{i}") for i in range(len(on))))
+    extra = keyed.join(seen, unseen, "left_anti").union(sided.filter(~bare))
+    extra = extra.withColumnsRenamed({f"__k{i}": k for i, k in enumerate(on)})
+    return kept.unionByName(left.filter(~whole), allowMissingColumns=True).unionByName(extra, allowMissingColumns=True)
 
 
 def inline_table(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A short parameter list as a broadcast table in the session of `df`."""
-    if len(rows) > MAX_INLINE_ROWS:
-        raise ValueError(f"{len(rows)} inline rows; pass a table instead")
-    return F.broadcast(df.sparkSession.createDataFrame(list(rows), schema))
+    """A parameter list as a table in the session of `df`; a short one is broadcast."""
+    table = df.sparkSession.createDataFrame(list(rows), schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
 
-def exclude_pairs(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple]) -> DataFrame:
-    """Drop the rows whose key tuple is in a short list."""
+def exclude_pairs(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple] | DataFrame) -> DataFrame:
+    """Drop the rows whose key tuple is in a list, or in a table with the key columns."""
+    if isinstance(pairs, DataFrame):
+        return anti(df, pairs, list(keys))
     if not pairs:
         return df
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studyloom.operators.joins import key_columns
 
@@ -153,7 +154,9 @@ def union_distinct(*frames: DataFrame) -> DataFrame:
     return union_same(*frames).distinct()
 
 
-def facets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct values with counts per column, the missing value included."""
+def facets(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Distinct values with counts per column, the missing value included; every column but dates unless listed."""
+    if cols is None:
+        cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
     return text.unpivot([], list(cols), "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -18,7 +18,7 @@ from studyloom.fixed_values import (
     RANGE_QUERY_SUBJECT,
     SIGNIFICANT,
 )
-from studyloom.functions import months_complete, to_number
+from studyloom.functions import months_complete, recode, to_number
 from studyloom.operators.cohort import counts_long
 from studyloom.operators.crosstab import add_total_col, add_total_row, count_by, count_where
 from studyloom.operators.joins import anti, inline_table, join_agg, join_ns
@@ -208,10 +208,19 @@ def mismatch_subjects(mismatched: DataFrame) -> DataFrame:
     return mismatched.select("subject", "visit").distinct()
 
 
+def _bands(df: DataFrame, ranges: Sequence[tuple[str, int, int, float, float]] | DataFrame) -> DataFrame:
+    """The range list as a table, with the words a review text uses for the test."""
+    if isinstance(ranges, DataFrame):
+        cols = [F.col("test").alias("r_test"), *(F.col(c).cast("int").alias(c) for c in ("age_lo", "age_hi")), *(F.col(c).cast("double").alias(c) for c in ("lo", "hi"))]
+        return ranges.select(*cols, recode("test", RANGE_QUERY_SUBJECT).alias("subject_text"))
+    rows = [(t, int(a), int(b), float(lo), float(hi), RANGE_QUERY_SUBJECT.get(t, t)) for t, a, b, lo, hi in ranges]
+    return inline_table(df, rows, "r_test string, age_lo int, age_hi int, lo double, hi double, subject_text string")
+
+
 def range_check(
     labs: DataFrame,
     births: DataFrame,
-    ranges: Sequence[tuple[str, int, int, float, float]] = LAB_RANGES,
+    ranges: Sequence[tuple[str, int, int, float, float]] | DataFrame = LAB_RANGES,
     screening: str = "Screening",
     order: Sequence[Order] = (
         "first_entry", "result", "no_result_reason", "range_flag", "significance", "event_code",
@@ -219,17 +228,14 @@ def range_check(
 ) -> DataFrame:
     """Results to review: outside the age band's range, or incompletely assessed.
 
-    Of several birth dates of a subject the earliest counts. The range list is
-    a broadcast table joined on the test with the age inside the band, so a
-    result meets at most one row of it.
+    Of several birth dates of a subject the earliest counts. The range list, rows
+    or a table (test, age_lo, age_hi, lo, hi), is joined on the test with the age
+    inside the band, so a result meets at most one row of it.
     """
     one_each = first_per(labs, ["subject", "visit", "test"], order)
     dated = join_agg(one_each, births, "subject", {"birth_date": F.min("birth_date")})
     aged = dated.withColumn("age_months", months_complete("birth_date", "first_entry"))
-    rows = [(t, int(a), int(b), float(lo), float(hi), RANGE_QUERY_SUBJECT.get(t, t)) for t, a, b, lo, hi in ranges]
-    bands = inline_table(
-        aged, rows, "r_test string, age_lo int, age_hi int, lo double, hi double, subject_text string"
-    )
+    bands = _bands(aged, ranges)
     banded = aged.join(
         bands, (F.col("test") == F.col("r_test")) & F.col("age_months").between(F.col("age_lo"), F.col("age_hi")), "left"
     )
@@ -263,8 +269,4 @@ def extra_sample_table(samples: DataFrame, as_of: date) -> DataFrame:
         "over_a_year": F.col("age") == "older",
     }
     counts = count_where(rows, ["category", "test"], tests, keep_any=True)
-    # Category and test together are the label, so the total row is made over the pair.
-    keyed = counts.withColumn("__key", F.struct("category", "test").cast("string"))
-    table = add_total_row(keyed, "__key", list(tests))
-    is_total = F.col("__key") == "Total"
-    return table.withColumn("category", F.when(is_total, "Total").otherwise(F.col("category"))).drop("__key")
+    return add_total_row(counts, "category", list(tests), order=[F.asc_nulls_last("category"), F.asc_nulls_last("test")])

@@ -7,28 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.fixed_values import QUERY_STATUS_LEVELS, VISIT_CODE_MAP, VISIT_LEVELS
+from studyloom.fixed_values import QUERY_STATUS_LEVELS, QUERY_TYPES, VISIT_CODE_MAP, VISIT_LEVELS
 from studyloom.functions import date_text, matches_text, recode, strip_punctuation, to_number, with_level
 from studyloom.operators.crosstab import add_total_row, count_by, crosstab
 from studyloom.operators.joins import exclude_pairs, join_ns
 from studyloom.operators.reshape import Order, arrange, first_per
 
 
-def query_table(queries: DataFrame, types: list[str] | None = None) -> DataFrame:
+def query_table(queries: DataFrame, types: Sequence[str] = QUERY_TYPES) -> DataFrame:
     """Queries by status and type with totals, statuses in display order."""
     table = crosstab(queries, "query_status", "query_type", types)
     levels = [*QUERY_STATUS_LEVELS, "Total"]
-    ranks = table.withColumn("__label", F.col("query_status"))
-    ranked = with_level(ranks, "query_status", levels)
-    # A status outside the list keeps its name and comes just before the total.
-    place = F.when(F.col("__label") == "Total", len(levels)).otherwise(
-        F.coalesce("query_status_rank", F.lit(len(levels) - 0.5))
-    )
-    return (
-        ranked.withColumn("query_status", F.col("__label"))
-        .orderBy(place, "query_status")
-        .drop("__label", "query_status_rank")
-    )
+    ranked = with_level(table.withColumn("__label", F.col("query_status")), "__label", levels)
+    # A status outside the list comes just before the total.
+    place = F.when(F.col("query_status") == "Total", len(levels)).otherwise(F.coalesce("__label_rank", F.lit(len(levels) - 0.5)))
+    return ranked.orderBy(place, F.asc_nulls_last("query_status")).drop("__label", "__label_rank")
 
 
 def query_totals(queries: DataFrame) -> DataFrame:
@@ -106,11 +99,16 @@ def out_of_window(schedule: DataFrame) -> DataFrame:
 
 def _out_by_code(schedule: DataFrame) -> DataFrame:
     ranked = with_level(out_of_window(schedule), "visit_code", VISIT_LEVELS)
-    return count_by(ranked, "visit_code", name="local")
+    return count_by(ranked, "visit_code", "visit_code_rank", name="local")
+
+
+def _in_visit_order(table: DataFrame, sums: Sequence[str]) -> DataFrame:
+    return add_total_row(table, "visit_code", sums, order=[F.asc_nulls_last("visit_code_rank")]).drop("visit_code_rank")
 
 
 def out_of_window_counts(schedule: DataFrame) -> DataFrame:
-    return add_total_row(_out_by_code(schedule), "visit_code", ["local"])
+    """Visits out of window per code, in visit order, total last."""
+    return _in_visit_order(_out_by_code(schedule), ["local"])
 
 
 def deviations(queries: DataFrame, order: Sequence[Order] = ("query_id",)) -> DataFrame:
@@ -135,7 +133,8 @@ def deviations(queries: DataFrame, order: Sequence[Order] = ("query_id",)) -> Da
 def deviation_table(found: DataFrame, schedule: DataFrame) -> DataFrame:
     """Deviations seen in queries next to visits out of window, per visit code."""
     both = join_ns(count_by(found, "visit_code", name="source"), _out_by_code(schedule), "visit_code")
-    return add_total_row(both, "visit_code", ["source", "local"])
+    ranks = with_level(both.drop("visit_code_rank").withColumn("__code", F.col("visit_code")), "__code", VISIT_LEVELS)
+    return _in_visit_order(ranks.withColumnRenamed("__code_rank", "visit_code_rank").drop("__code"), ["source", "local"])
 
 
 def open_deviations(found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.fixed_values import CHRONIC_CODES, CLOSED_OUTCOMES, RECOVERING
+from studyloom.fixed_values import CHRONIC_CODES, CLOSED_OUTCOMES, GRADES, RECOVERING
 from studyloom.functions import either_text, null_if_zero, with_level
 from studyloom.operators.crosstab import add_total_row, count_by, count_where, crosstab
 from studyloom.operators.joins import join_ns, split_by_pattern
@@ -85,14 +85,16 @@ def open_by_team(
     return split_by_pattern(opened, "entered_by", tests)
 
 
-def outcome_by_grade(events: DataFrame, grades: list[str] | None = None) -> DataFrame:
+def outcome_by_grade(events: DataFrame, grades: Sequence[str] = GRADES) -> DataFrame:
     return crosstab(events, "outcome", "severity", grades)
 
 
-def term_by_grade(events: DataFrame, term: str = "term", grades: list[str] | None = None, missing: str | None = None) -> DataFrame:
-    """Events by term and grade; `missing` names the row of events without a term."""
+def term_by_grade(events: DataFrame, term: str = "term", grades: Sequence[str] = GRADES, missing: str | None = None) -> DataFrame:
+    """Events by term and grade, most of grade 2 first; `missing` names the row of events without a term."""
     rows = events.withColumn(term, F.coalesce(term, F.lit(missing))) if missing else events
-    return crosstab(rows, term, "severity", grades)
+    table = crosstab(rows, term, "severity", grades)
+    last = F.coalesce(F.col(term) == "Total", F.lit(False))
+    return table.orderBy(last, F.desc_nulls_last(f"`{list(grades)[min(1, len(grades) - 1)]}`"), F.asc_nulls_last(term))
 
 
 def after_dose(events: DataFrame) -> DataFrame:
@@ -137,5 +139,5 @@ def closure_summary(
     closed = count_by(just_closed, "entered_by", name="closed")
     table = join_ns(left, closed, [("owner", "entered_by")])
     ranked = with_level(table.withColumn("__owner", F.col("owner")), "__owner", [*sorted(roster), pending, "Chronic"])
-    total = add_total_row(ranked.drop("__owner"), "owner", ["open", "open_long", "closed"])
-    return arrange(total, "__owner_rank").drop("__owner_rank")
+    total = add_total_row(ranked.drop("__owner"), "owner", ["open", "open_long", "closed"], order=["__owner_rank"])
+    return total.drop("__owner_rank")

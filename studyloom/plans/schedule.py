@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.fixed_values import IMMUNOLOGY_VISITS, VISIT_LEVELS
+from studyloom.fixed_values import ARMS, IMMUNOLOGY_VISITS, VISIT_LEVELS
 from studyloom.functions import (
     has_text,
     null_if_zero,
@@ -107,7 +108,7 @@ def unscheduled_visits(date_of_visit: DataFrame, as_of: date | None = None, last
 
 
 def sites_by_arm(
-    schedule: DataFrame, arms: list[str] | None = None, order: tuple[Order, ...] = ("scheduled_date", "visit_code", "site", "group")
+    schedule: DataFrame, arms: Sequence[str] = ARMS, order: tuple[Order, ...] = ("scheduled_date", "visit_code", "site", "group")
 ) -> DataFrame:
     """Participants by site and arm, each counted once by its first schedule row."""
     one_each = first_per(schedule, ["subject"], order)

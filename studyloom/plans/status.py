@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.fixed_values import ACTIVE, DOSING_LEVELS
+from studyloom.fixed_values import ACTIVE, ARMS, DOSING_LEVELS
 from studyloom.functions import with_level
 from studyloom.operators.crosstab import add_total_col, add_total_row, count_by, crosstab_pct
 from studyloom.operators.joins import anti, join_ns
 from studyloom.operators.reshape import order_columns, to_wide
 
 
-def site_arm_table(participants: DataFrame, arms: list[str] | None = None, active_only: bool = False) -> DataFrame:
+def site_arm_table(participants: DataFrame, arms: Sequence[str] = ARMS, active_only: bool = False) -> DataFrame:
     """Participants by site and arm as "p% (n)"."""
     rows = participants.filter(F.col("current_status") == ACTIVE) if active_only else participants
     return crosstab_pct(rows, "site", "group", arms)

@@ -109,12 +109,14 @@ def test_levels(frame):
     assert rows(out, "v", "v_rank") == [("Ay", 2), ("Bee", 1), (None, None), (None, None)]
     with pytest.raises(ValueError):
         fn.with_level(df, "v", ["a"], [])
-    with pytest.raises(ValueError):
-        fn.with_level(df, "v", [str(i) for i in range(1001)])
+    long = fn.with_level(df, "v", [str(i) for i in range(1001)] + ["a"])
+    assert rows(long, "v", "v_rank") == [("a", 1002), (None, None), (None, None), (None, None)]
+    table = frame("level string, label string, rank int", ("b", "Bee", 1), ("a", "Ay", 2))
+    assert rows(fn.with_level(df, "v", table), "v", "v_rank") == rows(out, "v", "v_rank")
 
 
 def test_recode_and_suffix(frame):
     df = frame("v string", ("a",), ("b",), (None,))
     assert one(df, fn.recode("v", {"a": "A"})) == ["A", "b", None]
-    df = frame("v string", ("MLR-12",), ("MLR-x",), (None,))
-    assert one(df, fn.numeric_suffix("v", 5)) == [12, None, None]
+    df = frame("v string", ("MLR-12",), ("MLR-x",), (None,), ("MLR-" + "0" * 21 + "7",), ("MLR-3000000000",))
+    assert one(df, fn.numeric_suffix("v", 5)) == [12, None, None, 7, 3_000_000_000]

@@ -88,9 +88,10 @@ def test_exclude_pairs(left):
     assert op.exclude_pairs(left, ["k", "j"], []).count() == 5
 
 
-def test_inline_table_is_bounded(left):
-    with pytest.raises(ValueError):
-        op.inline_table(left, [(i,) for i in range(10_001)], "i int")
+def test_long_lists_are_joined_like_tables(left):
+    assert "ResolvedHint" not in op.inline_table(left, [(i,) for i in range(10_001)], "i int")._jdf.queryExecution().analyzed().toString()
+    pairs = op.inline_table(left, [(1, "x"), (None, "x"), (9, "q")], "k int, j string")
+    assert rows(op.exclude_pairs(left, ["k", "j"], pairs), "a") == [(11,), (13,), (14,)]
 
 
 def test_split_by_team(frame):

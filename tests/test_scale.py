@@ -97,6 +97,11 @@ def test_hot_key_is_split_in_joins(skewed, side):
         assert "skew=true" in final_plan(df)
 
 
+def test_full_outer_shuffles_the_right_side_once(skewed, side):
+    both = op.full_outer(side.select("subject", "w"), skewed.select("subject", "v"), ["subject"])
+    assert "ReusedExchange" in final_plan(both).split("== Initial Plan ==")[0]
+
+
 def test_hot_subject_is_split_in_the_waterfall(skewed):
     reasons = [("low", F.col("v") < 10), ("high", F.col("v") > 119_000)]
     assert "skew=true" in final_plan(op.waterfall(skewed, "subject", reasons))

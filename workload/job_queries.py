@@ -195,14 +195,23 @@ def eos_not_required(L):
 # ----------------------------------------------------------------- status
 
 
+def _cell(row: str, test: str, name: str) -> str:
+    """A cross-tab cell: missing where 0, but for the total row."""
+    n = f"count(*) FILTER (WHERE {test})"
+    return f"""CASE WHEN {row} = 'Total' THEN {n} ELSE nullif({n}, 0) END AS "{name}\""""
+
+
 def _site_arm_sql(where: str) -> str:
     return f"""WITH p0 AS (SELECT site, "group" AS g FROM {{participants}} {where}),
     t AS (SELECT * FROM p0 UNION ALL SELECT 'Total', g FROM p0),
     c AS (SELECT site, count(*) FILTER (WHERE g = 'Group A') AS a, count(*) FILTER (WHERE g = 'Group B') AS b,
+        count(*) FILTER (WHERE g NOT IN ('Group A', 'Group B')) AS o, count(*) FILTER (WHERE g IS NULL) AS m,
         count(*) AS n FROM t GROUP BY 1),
-    w AS (SELECT a AS wa, b AS wb, n AS wn FROM c WHERE site = 'Total')
+    w AS (SELECT a AS wa, b AS wb, o AS wo, m AS wm, n AS wn FROM c WHERE site = 'Total')
     SELECT site, round(a * 100 / wa)::BIGINT || '% (' || a || ')' AS "Group A",
         round(b * 100 / wb)::BIGINT || '% (' || b || ')' AS "Group B",
+        coalesce(round(o * 100 / nullif(wo, 0))::BIGINT || '%', '-') || ' (' || o || ')' AS "Other",
+        coalesce(round(m * 100 / nullif(wm, 0))::BIGINT || '%', '-') || ' (' || m || ')' AS "NA",
         round(n * 100 / wn)::BIGINT || '% (' || n || ')' AS "Total" FROM c, w"""
 
 
@@ -342,11 +351,12 @@ def unscheduled_last_week(L):
 
 @query(
     "sites_by_arm",
-    """WITH f AS (SELECT site, "group" AS g FROM (SELECT *, row_number() OVER (PARTITION BY subject
-        ORDER BY scheduled_date, visit_code, site, "group") AS rn FROM {schedule}) WHERE rn = 1),
+    f"""WITH f AS (SELECT site, "group" AS g FROM (SELECT *, row_number() OVER (PARTITION BY subject
+        ORDER BY scheduled_date, visit_code, site, "group") AS rn FROM {{schedule}}) WHERE rn = 1),
     t AS (SELECT * FROM f UNION ALL SELECT 'Total', g FROM f)
-    SELECT site, nullif(count(*) FILTER (WHERE g = 'Group A'), 0) AS "Group A",
-        nullif(count(*) FILTER (WHERE g = 'Group B'), 0) AS "Group B", count(*) AS "Total" FROM t GROUP BY 1""",
+    SELECT site, {_cell("site", "g = 'Group A'", "Group A")}, {_cell("site", "g = 'Group B'", "Group B")},
+        {_cell("site", "g NOT IN ('Group A', 'Group B')", "Other")}, {_cell("site", "g IS NULL", "NA")},
+        count(*) AS "Total" FROM t GROUP BY 1""",
 )
 def sites_by_arm(L):
     return schedule.sites_by_arm(L.schedule, ["Group A", "Group B"])
@@ -428,9 +438,11 @@ def immunology_due(L):
 
 @query(
     "query_table",
-    """WITH t AS (SELECT query_status, query_type FROM {queries} UNION ALL SELECT 'Total', query_type FROM {queries})
-    SELECT query_status, nullif(count(*) FILTER (WHERE query_type = 'Automatic'), 0) AS "Automatic",
-        nullif(count(*) FILTER (WHERE query_type = 'Manual'), 0) AS "Manual", count(*) AS "Total" FROM t GROUP BY 1""",
+    f"""WITH t AS (SELECT query_status, query_type FROM {{queries}} UNION ALL SELECT 'Total', query_type FROM {{queries}})
+    SELECT query_status, {_cell("query_status", "query_type = 'Automatic'", "Automatic")},
+        {_cell("query_status", "query_type = 'Manual'", "Manual")},
+        {_cell("query_status", "query_type NOT IN ('Automatic', 'Manual')", "Other")},
+        {_cell("query_status", "query_type IS NULL", "NA")}, count(*) AS "Total" FROM t GROUP BY 1""",
 )
 def query_table(L):
     return quality.query_table(L.queries)
@@ -811,16 +823,16 @@ def open_events_by_team(L):
     return safety.open_by_team(safety.still_open(_linked(L)), teams, unlinked_team="two")
 
 
+GRADES = ["Grade 1", "Grade 2", "Grade 3"]
+
+
 def _grade_sql(source: str, row: str, where: str = "") -> str:
+    tests = {g: f"severity = '{g}'" for g in GRADES}
+    tests["Other"], tests["NA"] = f"severity NOT IN ({quoted(GRADES)})", "severity IS NULL"
+    cells = ", ".join(_cell("k", test, name) for name, test in tests.items())
     return f"""WITH r AS (SELECT {row} AS k, severity FROM {{{source}}} {where}),
     t AS (SELECT * FROM r UNION ALL SELECT 'Total', severity FROM r)
-    SELECT k AS {row if row.isidentifier() else 'high_term'},
-        nullif(count(*) FILTER (WHERE severity = 'Grade 1'), 0) AS "Grade 1",
-        nullif(count(*) FILTER (WHERE severity = 'Grade 2'), 0) AS "Grade 2",
-        nullif(count(*) FILTER (WHERE severity = 'Grade 3'), 0) AS "Grade 3", count(*) AS "Total" FROM t GROUP BY 1"""
-
-
-GRADES = ["Grade 1", "Grade 2", "Grade 3"]
+    SELECT k AS {row if row.isidentifier() else 'high_term'}, {cells}, count(*) AS "Total" FROM t GROUP BY 1"""
 
 
 @query("local_outcome_by_grade", _grade_sql("local_ae", "outcome", "WHERE post_dose IS NOT NULL"))
@@ -1168,8 +1180,7 @@ def conform_lab_results(L):
     return conform(_raw(L.lab_results, "lab_results", {"first_entry": "stamped"}), LISTINGS["lab_results"])
 
 
-@query("conform_bloods", "SELECT * FROM {bloods} WHERE hem_date IS NOT NULL OR bio_date IS NOT NULL")
+@query("conform_bloods", "SELECT * FROM {bloods}")
 def conform_bloods(L):
     layouts = dict.fromkeys(["hem_date", "bio_date", "dbs_date"], "named")
-    typed = conform(_raw(L.bloods, "bloods", layouts), LISTINGS["bloods"])
-    return typed.filter(F.col("hem_date").isNotNull() | F.col("bio_date").isNotNull())
+    return conform(_raw(L.bloods, "bloods", layouts), LISTINGS["bloods"])

@@ -21,7 +21,8 @@ _TEST = "split_part('" + "|".join([*HAEMATOLOGY_TESTS, *CHEMISTRY_TESTS]) + "',
 LISTINGS = {
     "participants": """
         SELECT c_custkey AS subject,
-               CASE WHEN c_custkey % 2 = 0 THEN 'Group A' ELSE 'Group B' END AS group,
+               CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 31 = 0 THEN 'Group C'
+                    WHEN c_custkey % 2 = 0 THEN 'Group A' ELSE 'Group B' END AS group,
                CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'On Active Follow up'
                     WHEN 'BUILDING' THEN 'On Active Follow up'
                     WHEN 'FURNITURE' THEN 'Completed follow up'
@@ -67,7 +68,7 @@ LISTINGS = {
                CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) + 10 END AS rescheduled_date,
                CASE WHEN o_orderstatus <> 'P' THEN CAST(first_ship AS DATE) END AS exact_date,
                CAST(o_orderdate AS DATE) + 45 AS window_close,
-               CASE WHEN o_custkey % 2 = 0 THEN 'Group A' ELSE 'Group B' END AS group,
+               CASE WHEN o_custkey % 29 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'Group A' ELSE 'Group B' END AS group,
                concat('Site ', CAST(o_custkey % 6 AS STRING)) AS site
         FROM {{orders}} LEFT JOIN
              (SELECT l_orderkey, MIN(l_shipdate) AS first_ship FROM {{lineitem}} GROUP BY l_orderkey) s
@@ -152,20 +153,20 @@ LISTINGS = {
         SELECT l_suppkey AS subject, concat('Visit ', CAST(l_linenumber AS STRING)) AS visit,
                'Blood film for Plasmodium species' AS sample_type,
                CASE l_returnflag WHEN 'A' THEN 'Negative' WHEN 'N' THEN 'Positive' END AS film_result
-        FROM {lineitem} WHERE l_linestatus = 'F' AND l_quantity <= 2""",
+        FROM {lineitem} WHERE l_linestatus = 'F'""",
     "extra_samples": """
         SELECT o_custkey AS subject, CASE WHEN o_orderkey % 3 <> 0 THEN 'Yes' ELSE 'No' END AS collected,
                CASE WHEN o_orderkey % 12 <> 5 THEN CAST(o_orderdate AS DATE) END AS sample_date,
-               CASE o_orderkey % 4 WHEN 0 THEN 'Microbiology' WHEN 1 THEN 'Serology' END AS test_category,
+               CASE o_orderkey % 4 WHEN 0 THEN 'Microbiology' WHEN 1 THEN 'Serology, blood' END AS test_category,
                concat('Sample ', CAST(o_orderkey % 2 AS STRING)) AS sample_type,
-               concat('Test ', substr(o_orderpriority, 1, 1)) AS test
+               concat('Test, ', substr(o_orderpriority, 1, 1)) AS test
         FROM {orders}""",
     "local_ae": """
         SELECT user_id AS subject, CAST(event_id % 6 + 1 AS STRING) AS dose_code,
                CASE event_id % 6 WHEN 0 THEN 'Dose 1' WHEN 1 THEN 'Dose 2' WHEN 2 THEN 'Dose 3' END AS post_dose,
                event_type AS term, CAST(ts AS DATE) AS onset,
                CASE WHEN event_id % 7 <> 0 THEN CAST(ts AS DATE) + 4 END AS resolution,
-               concat('Grade ', CAST(event_id % 3 + 1 AS STRING)) AS severity,
+               CASE WHEN event_id % 17 <> 0 THEN concat('Grade ', CAST(event_id % 4 + 1 AS STRING)) END AS severity,
                CASE event_id % 5 WHEN 0 THEN 'Recovering / Resolving' WHEN 1 THEN 'Fatal' WHEN 2 THEN 'Not recovered'
                     ELSE 'Recovered / Resolved without sequelae' END AS outcome,
                CASE WHEN event_id % 7 = 0 THEN 'Yes' ELSE 'No' END AS ongoing
@@ -175,7 +176,7 @@ LISTINGS = {
                CASE event_id % 6 WHEN 0 THEN 'Dose 1' WHEN 1 THEN 'Dose 2' WHEN 2 THEN 'Booster 1' END AS post_dose,
                concat('S ', event_type) AS term, CAST(ts AS DATE) AS onset,
                CASE WHEN event_id % 5 <> 0 THEN CAST(ts AS DATE) + 2 END AS resolution,
-               concat('Grade ', CAST(event_id % 3 + 1 AS STRING)) AS severity,
+               CASE WHEN event_id % 17 <> 0 THEN concat('Grade ', CAST(event_id % 4 + 1 AS STRING)) END AS severity,
                CASE event_id % 4 WHEN 0 THEN 'Recovering / Resolving' WHEN 1 THEN 'Fatal'
                     ELSE 'Recovered / Resolved without sequelae' END AS outcome
         FROM {events}""",
@@ -187,7 +188,7 @@ LISTINGS = {
                CASE WHEN event_type <> 'error' THEN concat('T ', event_type) END AS high_term,
                CASE WHEN event_id % 23 <> 0 THEN CAST(ts AS DATE) END AS onset,
                CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) + 9 END AS resolution,
-               concat('Grade ', CAST(event_id % 3 + 1 AS STRING)) AS severity,
+               CASE WHEN event_id % 17 <> 0 THEN concat('Grade ', CAST(event_id % 4 + 1 AS STRING)) END AS severity,
                CASE event_id % 6 WHEN 0 THEN 'Recovering / Resolving' WHEN 1 THEN 'Not recovered' WHEN 2 THEN 'Fatal'
                     WHEN 3 THEN 'Lost to follow-up / Unknown'
                     ELSE 'Recovered / Resolved without sequelae' END AS outcome,
@@ -195,15 +196,17 @@ LISTINGS = {
                event_id AS record_id
         FROM {events}""",
     "clinic_visits": """
-        SELECT user_id AS subject, concat('V ', event_type) AS visit, CAST(ts AS DATE) AS visit_date,
+        SELECT CASE WHEN event_type IN ('view', 'click', 'signup') THEN user_id ELSE user_id + 1000000000 END AS subject,
+               concat('V ', event_type) AS visit, CAST(ts AS DATE) AS visit_date,
                CAST(ts AS DATE) + CAST(event_id % 2 AS INT) AS first_entry
-        FROM {events} WHERE event_type IN ('view', 'click', 'signup')""",
+        FROM {events}""",
     "clinic_forms": """
-        SELECT user_id AS subject, concat('V ', event_type) AS visit, CAST(ts AS DATE) AS visit_date,
+        SELECT CASE WHEN event_type <> 'purchase' THEN user_id ELSE user_id + 2000000000 END AS subject,
+               concat('V ', event_type) AS visit, CAST(ts AS DATE) AS visit_date,
                CASE event_id % 5 WHEN 0 THEN 'Not Started' WHEN 1 THEN 'Incomplete' ELSE 'Complete' END AS entry_status,
                CASE WHEN event_id % 13 <> 0
                     THEN concat('Staff ', CAST(event_id % 6 AS STRING)) END AS entered_by
-        FROM {events} WHERE event_type <> 'purchase'""",
+        FROM {events}""",
     "medications": """
         SELECT o_custkey AS subject, concat('Visit ', CAST(l_linenumber AS STRING)) AS visit,
                CASE l_returnflag WHEN 'A' THEN 'Malaria' WHEN 'N' THEN 'Fever' END AS indication,

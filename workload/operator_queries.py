@@ -149,12 +149,15 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
         sum(n) FILTER (WHERE o_orderpriority = '2-HIGH')::BIGINT AS "2-HIGH",
         sum(n) FILTER (WHERE o_orderpriority = '3-MEDIUM')::BIGINT AS "3-MEDIUM",
         sum(n) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED')::BIGINT AS "4-NOT SPECIFIED",
-        sum(n) FILTER (WHERE o_orderpriority = '5-LOW')::BIGINT AS "5-LOW",
+        CASE WHEN o_orderstatus = 'Total' THEN coalesce(sum(n) FILTER (WHERE o_orderpriority = '5-LOW'), 0)
+            ELSE sum(n) FILTER (WHERE o_orderpriority = '5-LOW') END::BIGINT AS "Other",
+        CASE WHEN o_orderstatus = 'Total' THEN coalesce(sum(n) FILTER (WHERE o_orderpriority IS NULL), 0)
+            ELSE sum(n) FILTER (WHERE o_orderpriority IS NULL) END::BIGINT AS "NA",
         sum(n)::BIGINT AS "Total"
     FROM t GROUP BY 1""",
 )
 def crosstab_totals(L):
-    return op.crosstab(L.orders, "o_orderstatus", "o_orderpriority", PRIORITIES)
+    return op.crosstab(L.orders, "o_orderstatus", "o_orderpriority", PRIORITIES[:4])
 
 
 @query(
@@ -173,13 +176,13 @@ def crosstab_totals(L):
         max(cell) FILTER (WHERE c_mktsegment = 'BUILDING') AS "BUILDING",
         max(cell) FILTER (WHERE c_mktsegment = 'FURNITURE') AS "FURNITURE",
         max(cell) FILTER (WHERE c_mktsegment = 'HOUSEHOLD') AS "HOUSEHOLD",
-        max(cell) FILTER (WHERE c_mktsegment = 'MACHINERY') AS "MACHINERY",
+        max(cell) FILTER (WHERE c_mktsegment = 'MACHINERY') AS "Other", '- (0)' AS "NA",
         max(cell) FILTER (WHERE c_mktsegment = 'Total') AS "Total"
     FROM p GROUP BY 1""",
 )
 def crosstab_pct(L):
     rows = op.join_ns(L.customer, L.nation, [("c_nationkey", "n_nationkey")], "inner")
-    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
     return op.crosstab_pct(rows, "n_name", "c_mktsegment", segments)
 
 
@@ -231,15 +234,16 @@ def total_row(L):
     m AS (SELECT 'overall' AS period, event_type FROM e UNION ALL SELECT 'month', event_type FROM e WHERE d < 30
         UNION ALL SELECT 'week', event_type FROM e WHERE d < 7)
     SELECT period, count(*) FILTER (WHERE event_type = 'click') AS click,
-        count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'view') AS view,
-        count(*) FILTER (WHERE event_type IN ('click', 'purchase', 'view')) AS total
+        count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase,
+        count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view,
+        count(*) AS total
     FROM m GROUP BY 1""",
 )
 def metric_matrix(L):
     days = fn.days_between(EVENTS_AS_OF, F.to_date("ts"))
     periods = {"overall": F.lit(True), "month": days < 30, "week": days < 7}
     rows = op.cohort_rows(L.events, periods, "period")
-    kinds = ["click", "purchase", "view"]
+    kinds = ["click", "error", "purchase", "signup", "view"]
     counts = op.count_where(rows, ["period"], {k: F.col("event_type") == k for k in kinds})
     return op.add_total_col(counts, kinds, "total")
 
@@ -511,7 +515,7 @@ def case_number(L):
     _NUMBERED
     + """, c AS (SELECT case_number, count(*) AS n FROM n GROUP BY 1)
     SELECT case_number, n, round_even(n * 100.0 / (SELECT sum(n) FROM c), 1)::DOUBLE AS percentage,
-        CAST(substr(case_number, 5) AS INTEGER) AS place FROM c""",
+        CAST(substr(case_number, 5) AS BIGINT) AS place FROM c""",
 )
 def case_number_distribution(L):
     counts = op.number_counts(L.events.filter(F.col("event_type") == "purchase"), "user_id", "number")
@@ -591,12 +595,12 @@ def unpivot_keep_null(L):
 
 @query(
     "union_distinct",
-    """SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 49 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal < 0""",
+    """SELECT l_suppkey AS k FROM lineitem UNION SELECT s_suppkey FROM supplier""",
 )
 def union_distinct(L):
     return op.union_distinct(
-        L.lineitem.filter("l_quantity > 49").select(F.col("l_suppkey").alias("k")),
-        L.supplier.filter("s_acctbal < 0").select(F.col("s_suppkey").alias("k")),
+        L.lineitem.select(F.col("l_suppkey").alias("k")),
+        L.supplier.select(F.col("s_suppkey").alias("k")),
     )
 
 
@@ -606,7 +610,8 @@ def union_distinct(L):
         UNION ALL SELECT o_custkey, 'ordered', NULL, count(*) FROM orders GROUP BY 1),
     t AS (SELECT status, CASE WHEN n IS NULL THEN 'Before' ELSE 'After' END AS time FROM u)
     SELECT status, nullif(count(*) FILTER (WHERE time = 'Before'), 0) AS "Before",
-        nullif(count(*) FILTER (WHERE time = 'After'), 0) AS "After" FROM t GROUP BY 1""",
+        nullif(count(*) FILTER (WHERE time = 'After'), 0) AS "After", NULL::BIGINT AS "Other", NULL::BIGINT AS "NA"
+        FROM t GROUP BY 1""",
 )
 def tag_before_after(L):
     debtors = L.customer.filter("c_acctbal < 0").select("c_custkey", F.col("c_mktsegment").alias("status"), "c_acctbal")
@@ -620,13 +625,15 @@ def tag_before_after(L):
 
 @query(
     "facet_values",
-    """SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL
-    UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY ALL
-    UNION ALL SELECT 'big', CASE WHEN o_totalprice > 400000 THEN 'big' END, count(*) FROM orders GROUP BY ALL""",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM orders GROUP BY ALL"
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    )
+    + """ UNION ALL SELECT 'big', CASE WHEN o_totalprice > 400000 THEN 'big' END, count(*) FROM orders GROUP BY ALL""",
 )
 def facet_values(L):
     rows = L.orders.withColumn("big", F.when(F.col("o_totalprice") > 400000, "big"))
-    return op.facets(rows, ["o_orderstatus", "o_orderpriority", "big"])
+    return op.facets(rows)
 
 
 @query(
