@@ -147,21 +147,23 @@ def full_outer(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     key are set aside first and appended; then both branches meet the right
     side on the same plain keys, so that it is shuffled once for both.
     """
-    keys = [F.col(f"`{k}`") for k in on]
-    whole = reduce(Column.__and__, (k.isNotNull() for k in keys))
-    suffixed = {c: f"{c}_right" if c in left.columns else c for c in right.columns if c not in on}
-    sided = right.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(on)], *[F.col(f"`{c}`").alias(n) for c, n in suffixed.items()])
-    bare = reduce(Column.__and__, (F.col(f"__k{i}").isNotNull() for i in range(len(on))))
-    keyed = sided.filter(bare)
-    lefts = left.filter(whole)
-    same = reduce(Column.__and__, (F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(on)))
-    marks = [f"__k{i}" for i in range(len(on))]
-    kept = lefts.join(keyed, same, "left").drop(*marks)
-    seen = lefts.select(*[k.alias(f"__l{i}") for i, k in enumerate(keys)]).distinct()
-    unseen = reduce(Column.__and__, (F.col(f"__k{i}") == F.col(f"__l{i}") for i in range(len(on))))
-    extra = keyed.join(seen, unseen, "left_anti").union(sided.filter(~bare))
-    extra = extra.withColumnsRenamed({f"__k{i}": k for i, k in enumerate(on)})
-    return kept.unionByName(left.filter(~whole), allowMissingColumns=True).unionByName(extra, allowMissingColumns=True)
+    def whole(names):
+        return reduce(Column.__and__, (F.col(f"`{n}`").isNotNull() for n in names))
+
+    # Only left columns get working names: the right side must look the same to both joins to be shuffled once.
+    payload = [c for c in left.columns if c not in on]
+    marks = {**{k: f"__k{i}" for i, k in enumerate(on)}, **{c: f"__v{i}" for i, c in enumerate(payload)}}
+    lefts = left.withColumnsRenamed(marks)
+    keys = [marks[k] for k in on]
+    same = reduce(Column.__and__, (F.col(m) == F.col(f"`{k}`") for k, m in zip(on, keys)))
+    keyed, bare = right.filter(whole(on)), right.filter(~whole(on))
+    names = {c: f"{c}_right" if c in payload else c for c in right.columns if c not in on}
+    firsts = [F.col(m).alias(c) for c, m in marks.items()]
+    kept = lefts.filter(whole(keys)).join(keyed, same, "left").select(*firsts, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    extra = keyed.join(lefts.filter(whole(keys)).select(*keys).distinct(), same, "left_anti").union(bare)
+    extra = extra.select(*[F.col(f"`{k}`") for k in on], *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    keyless = lefts.filter(~whole(keys)).select(*firsts)
+    return kept.unionByName(keyless, allowMissingColumns=True).unionByName(extra, allowMissingColumns=True)
 
 
 def inline_table(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
