@@ -6,11 +6,15 @@ signature. Classes that agree on a band of their signatures are candidates;
 only pairs whose full sets pass the similarity test become links; components
 of the links are the groups.
 
-No bucket is paired out. A round takes one pivot per bucket and compares every
-member of another component with a pivot, so candidates stay below one per
-member. A few such rounds leave little: then every remaining pair of a bucket
-that lies in two components is tested. A pair inside one component need not be
-tested, as it could change no component.
+No bucket is paired out. A round takes one pivot per bucket, first the member
+that meets most others, then one by lot, and compares every member of another
+component with a pivot, so candidates stay below one per member. A pair inside
+one component need not be tested, as it could change no component. What is left
+in buckets with several components, the strays around a large group of near
+copies, is settled by a prefix join: with shingles ordered from rare to common,
+two sets of the wanted similarity must meet in the first of them, at places that
+leave enough to come. Strays differ from the group in their rare shingles, so
+few pairs remain to be tested.
 """
 
 from __future__ import annotations
@@ -23,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import mix, run_hashes, signed, staged, text_chunks, word_hashes
+from studyloom.llm.common import mix, run_hashes, signed, sized, staged, text_chunks, word_hashes
 from studyloom.llm.components import components
 
 #: Signature positions, and rows of one band: a pair at 0.8 shares a band but for 5 in 100 million pairs.
 POSITIONS, BAND_ROWS = 128, 4
-#: Pivot rounds before the rest is compared in full.
-PIVOT_ROUNDS = 4
+#: Pivot rounds before the prefix join of the rest.
+PIVOT_ROUNDS = 2
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -139,61 +143,86 @@ def _linked(percent: int):
     return work
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) of set ids those that pass on their full sets."""
-    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    ids = classes.join(ends, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id"))
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_pack(width), "set_id binary, elements binary")
-    sets = staged(sets.dropDuplicates(["set_id"]), "sets")
-    # The member's set travels with the pair; a pivot's set is met at the end, where a hot pivot can be split.
-    joined = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("set_b")), "b")
-    joined = joined.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("set_a")), "a")
+    # The member's set travels to the pivot, where a hot pivot can be split.
+    joined = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("set_b")).join(sized(pairs), "b")
+    pivots = sets.join(sized(pairs.select(F.col("a").alias("set_id")).distinct()), "set_id", "left_semi")
+    joined = joined.join(pivots.select(F.col("set_id").alias("a"), F.col("elements").alias("set_a")), "a")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a binary, b binary")
 
 
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of members in two components that could still link, by prefix join."""
+    fields = pa.schema([("set_id", pa.binary()), ("x", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                packed = [np.frombuffer(e.as_buffer(), np.int64) for e in part.column("elements")]
+                at = np.repeat(np.arange(len(packed)), [len(p) for p in packed])
+                yield pa.RecordBatch.from_arrays([part.column("set_id").cast(pa.binary()).take(pa.array(at)), pa.array(np.concatenate(packed))], schema=fields)
+
+    nodes = staged(members.select("set_id", "root", F.col("n_shingles").alias("n")).distinct(), "nodes")
+    own = sets.join(sized(nodes.select("set_id")), "set_id", "left_semi").dropDuplicates(["set_id"])
+    rows = staged(own.mapInArrow(spread, "set_id binary, x long"), "shingles")
+    counts = rows.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of one set only come first in its order and match nothing.
+    ordered = rows.join(counts, "x").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o")).join(nodes, "set_id")
+    skip = F.col("n") - F.size("o")
+    ahead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - skip
+    ordered = ordered.where(ahead > 0).select("set_id", "root", "n", skip.alias("skip"), F.posexplode(F.slice("o", F.lit(1), ahead.cast("int"))).alias("i", "e"))
+    prefix = staged(ordered.select("set_id", "root", "n", F.col("e.x").alias("x"), (F.col("n") - F.col("skip") - F.col("i")).alias("rest")), "prefixes")
+    # Of each shingle's sets those outside its largest component meet all others.
+    parts = prefix.groupBy("x", "root").agg(F.count("*").alias("k")).groupBy("x").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    minor = prefix.join(parts.select("x", F.col("top.root").alias("top")), "x").where("root != top").drop("top")
+    other = prefix.select("x", F.col("set_id").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+    pairs = minor.join(other, "x").where((F.col("root") != F.col("root_a")) & (F.least("rest", "rest_a") * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent))
+    return pairs.select(F.greatest("a", "set_id").alias("a"), F.least("a", "set_id").alias("b")).distinct()
+
+
 def _with_root(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("root", F.col("set_id"))
     return members.join(roots.select(F.col("id").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members (band, set_id, root, ...) of the buckets that hold two components at least."""
+    ends = members.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other")
+    return members.join(ends.select("band"), "band")
+
+
 def set_components(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(id, root) of linked set ids; None when nothing links."""
     keys = classes.select("set_id", "n_shingles", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = staged(keys.join(shared, "band").select("band", "set_id", "n_shingles"), "buckets")
+    shared = keys.groupBy("band").agg(F.count("*").alias("met")).where("met > 1")
+    members = staged(keys.join(shared, "band"), "buckets")
+    ids = members.select("set_id").distinct()
+    ids = staged(classes.join(ids, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id")), "member-ids")
+    sets = texts.join(sized(ids), "doc_id", "left_semi").mapInArrow(_pack(width), "set_id binary, elements binary")
+    sets = staged(sets, "sets")
+    # Central members first: those that meet most others over all their buckets.
+    rank = members.groupBy("set_id").agg(F.sum("met").alias("rank"))
+    members = staged(members.drop("met").join(rank, "set_id"), "members")
     edges, roots = None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        placed = _with_root(members, roots)
-        parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-        # Buckets with two components at least, and how many of their pairs are still open.
-        parts = parts.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).where("k > 1")
-        parts = staged(parts, "open")
-        left = parts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()
-        if not left[0]:
+        members = staged(_open(_with_root(members.drop("root"), roots)), "open")
+        if not members.head(1):
             break
-        placed = staged(placed.join(parts.select("band"), "band"), "members")
-        members = placed.drop("root")
-        last = turn == PIVOT_ROUNDS or left[1] <= 2 * left[0]
-        if last:
-            other = placed.select("band", F.col("set_id").alias("b"), F.col("root").alias("root_b"), F.col("n_shingles").alias("n_b"))
-            pairs = placed.join(other, "band").where("root < root_b").select(F.col("set_id").alias("a"), "b", F.col("n_shingles").alias("n_a"), "n_b")
+        if turn == PIVOT_ROUNDS:
+            pairs = _rest(members, sets, percent)
         else:
-            # Another pivot each round: the member that comes first in an order of its own.
-            lot = F.xxhash64(F.lit(turn), "set_id")
-            pivots = placed.groupBy("band").agg(F.min(F.struct(lot.alias("lot"), F.col("set_id").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("n_a"))).alias("p"))
-            pairs = placed.join(pivots.select("band", "p.*"), "band").where("root != root_a")
-            best = pairs.groupBy("set_id").agg(F.min(F.struct("lot", "a", "n_a", F.col("n_shingles").alias("n_b"))).alias("p"))
-            pairs = best.select("p.a", F.col("set_id").alias("b"), "p.n_a", "p.n_b")
-        # Sets whose sizes are too far apart cannot pass.
-        fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        pairs = staged(pairs.where(fits).select("a", "b").distinct(), "pairs")
-        found = _verified(pairs, classes, texts, width, percent)
-        edges = found if edges is None else edges.union(found)
-        edges = staged(edges, "links")
+            order = F.col("rank") if turn == 0 else F.xxhash64(F.lit(turn), "root")
+            other = (F.col("set_id").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("n_a"))
+            pivots = members.groupBy("band").agg(F.max(F.struct(order.alias("order"), *other)).alias("p")).select("band", "p.*")
+            fits = F.least("n_shingles", "n_a") * 100 >= F.greatest("n_shingles", "n_a") * percent
+            pairs = members.join(pivots, "band").where("root != root_a").where(fits)
+            pairs = pairs.groupBy("set_id").agg(F.max(F.struct("order", "a")).alias("p")).select("p.a", F.col("set_id").alias("b"))
+        found = _verified(staged(pairs, "pairs"), sets, percent)
+        edges = staged(found if edges is None else edges.union(found), "links")
         roots = staged(components(edges), "roots")
-        if last:
-            break
     return roots
 
 
