@@ -88,10 +88,11 @@ def _records(lines: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
             raise ValueError(f"no record starts with {line[:40]!r}")
         head = [line, *itertools.takewhile(bool, lines)]
         size = next(int(x.split(b":", 1)[1]) for x in head if x.lower().startswith(b"content-length:"))
-        block, held = [next(lines)], 0
-        held = len(block[0])
+        block, held = [], -2
         while held < size:
-            part = next(lines)
+            part = next(lines, None)
+            if part is None:
+                raise ValueError(f"the stream ends within a block of {size} bytes")
             block.append(part)
             held += 2 + len(part)
         if held != size:
