@@ -11,7 +11,7 @@ from studyloom.fixed_values import CASE_DOSES, CASE_VISIT, FILM, FILM_NEGATIVE,
 from studyloom.functions import has_text, numeric_suffix, with_level
 from studyloom.operators.asof import last_of_labels
 from studyloom.operators.crosstab import add_total_row, count_by, share
-from studyloom.operators.joins import join_agg, join_ns
+from studyloom.operators.joins import join_ns
 from studyloom.operators.reshape import Order, arrange, number_counts, number_within
 
 
@@ -94,9 +94,14 @@ def positive_rdts(films: DataFrame) -> DataFrame:
 
 
 def film_rdt_overlap(films: DataFrame) -> DataFrame:
-    """Positive films that also have a positive rapid test of the same episode and day, and how many."""
+    """Positive films with each positive rapid test of the same episode and day.
+
+    Equal rapid tests are one row; `rdt_rows` says how many there are.
+    """
     keys = ["subject", "visit", "episode", "sample_date"]
-    return join_agg(positive_films(films), positive_rdts(films), keys, {"rdt_rows": F.count(F.lit(1))}, "inner")
+    tests = positive_rdts(films).select(*keys, F.col("rdt_result").alias("rdt_test_result"), F.col("first_entry").alias("rdt_first_entry"))
+    counted = count_by(tests, *keys, "rdt_test_result", "rdt_first_entry", name="rdt_rows")
+    return join_ns(positive_films(films), counted, keys, "inner")
 
 
 CASE_ORDER: tuple[Order, ...] = ("sample_date", "episode", "film_result", "first_entry")

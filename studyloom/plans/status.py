@@ -54,9 +54,9 @@ def consent_counts(participants: DataFrame, version: str) -> DataFrame:
 
 
 def consent_list(participants: DataFrame, version: str, answer: str) -> DataFrame:
-    """Active participants with one answer: Yes, No or Pending."""
+    """Active participants with one answer: Yes, No or Pending; an answer comes with both columns of its version."""
     col = f"consent_{version}"
-    shown = ["subject", "group", "site"] + ([col] if answer != "Pending" else ["current_status"])
+    shown = ["subject", "group", "site"] + ([f"{col}_one", f"{col}_two"] if answer != "Pending" else ["current_status"])
     return _with_consent(participants, version).filter(F.col(col) == answer).select(*shown)
 
 

@@ -1,10 +1,11 @@
 from studyloom.sources.labdb import read_lab_tables, read_lab_tables_jdbc
-from studyloom.sources.listings import LISTINGS, conform, load, read_csv
+from studyloom.sources.listings import LISTINGS, clean, conform, load, read_csv
 from studyloom.sources.writers import WORKLISTS, write_by_team, write_extract, write_worklist
 
 __all__ = [
     "LISTINGS",
     "WORKLISTS",
+    "clean",
     "conform",
     "load",
     "read_csv",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from studyloom.fixed_values import CHEMISTRY_COLUMNS, HAEMATOLOGY_COLUMNS
@@ -25,23 +27,27 @@ def read_lab_tables_jdbc(
     schema: str,
     partition_column: str | None = None,
     bounds: tuple[int, int] | None = None,
-    partitions: int = 1,
+    partitions: int = 16,
+    predicates: Sequence[str] = (),
     **options: str,
 ) -> tuple[DataFrame, DataFrame]:
     """The same tables over JDBC; filters on them are pushed to the database.
 
-    With a numeric `partition_column` and its bounds the read is split into
-    `partitions` range queries. Credentials go in `options`.
+    The read is split into `partitions` range queries over a numeric
+    `partition_column` within `bounds`, or into one query per predicate; one of
+    the two must be given. Credentials go in `options`.
     """
+    if not predicates and not (partition_column and bounds):
+        raise ValueError("give a partition column with bounds, or predicates")
+
     def table(name: str, columns: list[str]) -> DataFrame:
-        reader = spark.read.format("jdbc").options(url=url, dbtable=f"{schema}.{name}", pushDownPredicate="true")
-        if partition_column and bounds:
-            reader = reader.options(
-                partitionColumn=partition_column,
-                lowerBound=str(bounds[0]),
-                upperBound=str(bounds[1]),
-                numPartitions=str(partitions),
-            )
-        return reader.options(**options).load().select(*_KEYS, "fk_study", *columns)
+        where = f"{schema}.{name}"
+        if predicates:
+            rows = spark.read.jdbc(url, where, predicates=list(predicates), properties=options)
+        else:
+            split = {"partitionColumn": partition_column, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": partitions}
+            reader = spark.read.format("jdbc").options(url=url, dbtable=where, pushDownPredicate="true")
+            rows = reader.options(**split).options(**options).load()
+        return rows.select(*_KEYS, "fk_study", *columns)
 
     return table(HAEMATOLOGY_TABLE, list(HAEMATOLOGY_COLUMNS)), table(CHEMISTRY_TABLE, list(CHEMISTRY_COLUMNS))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from studyloom.operators.reshape import arrange
+from studyloom.sources.listings import LISTINGS
 
 # Worklist name -> reading order. Lists kept per staff member are one list
 # written by team.
@@ -48,14 +50,24 @@ def write_by_team(
     """One folder per team from a single pass; a large team just gets more files."""
     path = f"{folder}/{name}"
     order = [c for c in WORKLISTS.get(name, ()) if c in df.columns]
-    rows = df.sortWithinPartitions(team_col, *order)
+    # A team's rows meet in as few tasks as their size asks for, so files are neither tiny nor one task's burden.
+    rows = df.hint("rebalance", F.col(team_col)).sortWithinPartitions(team_col, *order)
     rows.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", max_rows_per_file).partitionBy(
         team_col
     ).csv(path)
     return path
 
 
-def write_extract(df: DataFrame, path: str) -> str:
-    """The long laboratory extract, for later runs."""
-    df.write.mode("overwrite").parquet(path)
+def extract_columns(df: DataFrame) -> DataFrame:
+    """The long laboratory extract under the headers its listing is loaded by."""
+    return df.select(
+        F.col("subject").alias("Subject"), F.col("sample_date").alias("sampledate"), F.col("test").alias("Test"),
+        F.col("result").alias("Result"),
+    )
+
+
+def write_extract(df: DataFrame, folder: str) -> str:
+    """The long laboratory extract, where `load(.., "lab_system")` finds it."""
+    path = f"{folder}/{LISTINGS['lab_system'].file}"
+    extract_columns(df).write.mode("overwrite").option("header", True).csv(path)
     return path

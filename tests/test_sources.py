@@ -12,6 +12,7 @@ from studyloom.sources import (
     conform,
     load,
     read_lab_tables,
+    read_lab_tables_jdbc,
     write_by_team,
     write_extract,
     write_worklist,
@@ -133,6 +134,14 @@ def test_lab_tables_and_extract(spark, frame, tmp_path):
     table("report_haematology", HAEMATOLOGY_COLUMNS)
     table("report_clinical_chemistry", CHEMISTRY_COLUMNS)
     haem, chem = read_lab_tables(spark, str(tmp_path))
-    path = write_extract(lab_extract(haem, chem, 1), str(tmp_path / "long"))
-    back = spark.read.parquet(path)
+    long = lab_extract(haem, chem, 1)
+    write_extract(long, str(tmp_path))
+    # What one end of the pipeline writes the other one loads.
+    back = load(spark, str(tmp_path), "lab_system")
     assert back.columns == ["subject", "sample_date", "test", "result"] and back.count() == 16
+    assert rows(back) == rows(long)
+
+
+def test_a_jdbc_read_must_be_split(spark):
+    with pytest.raises(ValueError):
+        read_lab_tables_jdbc(spark, "jdbc:none", "s")

@@ -29,7 +29,7 @@ from studyloom.plans import (
     status,
 )
 from studyloom.operators.joins import split_by_team
-from studyloom.sources.listings import LISTINGS, conform
+from studyloom.sources.listings import LISTINGS, clean, conform
 from workload.registry import AS_OF, EVENTS_AS_OF, query
 
 DAY = "DATE '2001-01-01'"
@@ -236,7 +236,7 @@ def consent_counts(L):
 
 @query(
     "consent_refused",
-    """SELECT subject, "group", site, consent_v7 FROM {participants}
+    """SELECT subject, "group", site, consent_v7_one, consent_v7_two FROM {participants}
     WHERE current_status = 'On Active Follow up' AND consent_v7 = 'No'""",
 )
 def consent_refused(L):
@@ -1018,10 +1018,11 @@ def case_number_table(L):
 
 @query(
     "film_rdt_overlap",
-    f"""WITH {_POSITIVE}, rd AS (SELECT subject, visit, episode, sample_date, count(*) AS rdt_rows FROM {{films}}
+    f"""WITH {_POSITIVE}, rd AS (SELECT subject, visit, episode, sample_date, rdt_result AS rdt_test_result,
+        first_entry AS rdt_first_entry, count(*) AS rdt_rows FROM {{films}}
         WHERE visit = 'Malaria case report' AND sample_type = 'A P. falciparum rapid diagnosis test (RDT)'
         AND rdt_result = 'Positive for Plasmodium falciparum' GROUP BY ALL)
-    SELECT po.*, rdt_rows FROM po JOIN rd USING (subject, visit, episode, sample_date)""",
+    SELECT po.*, rdt_test_result, rdt_first_entry, rdt_rows FROM po JOIN rd USING (subject, visit, episode, sample_date)""",
 )
 def film_rdt_overlap(L):
     return cases.film_rdt_overlap(L.films)
@@ -1146,7 +1147,7 @@ def _raw(df, name: str, layouts: dict[str, str]):
     """A typed listing turned back into the text columns of its file, blanks for missing values."""
     listing = LISTINGS[name]
     places = [f.source for f in listing.fields if isinstance(f.source, int)]
-    cells = {i: F.lit("") for i in range(1, max(places, default=0) + 1)}
+    cells = {i: F.lit("") for i in range(1, max(listing.width or 0, *places, 0) + 1)}
     named = []
     for f in listing.fields:
         if f.name not in df.columns:
@@ -1184,3 +1185,62 @@ def conform_lab_results(L):
 def conform_bloods(L):
     layouts = dict.fromkeys(["hem_date", "bio_date", "dbs_date"], "named")
     return conform(_raw(L.bloods, "bloods", layouts), LISTINGS["bloods"])
+
+
+_SQL_KINDS = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE", "date": "DATE"}
+
+
+def _loaded(name: str, listed: str, made: dict[str, tuple] | None = None, where: str = "", extra: str = ""):
+    """Register the loading of a listing: text columns as in its file, conformed and cleaned.
+
+    `listed` names the fields the derived listing has, `made` the fields that
+    get another raw value (Spark SQL) and what they are in the end (checking SQL).
+    """
+    made = made or {}
+    cells = []
+    for f in LISTINGS[name].fields:
+        if f.name in made:
+            cells.append(f'{made[f.name][1]} AS "{f.name}"')
+        elif f.name in listed.split():
+            cells.append(f'CAST("{f.name}" AS {_SQL_KINDS[f.kind]}) AS "{f.name}"')
+        else:
+            cells.append(f'CAST(NULL AS {_SQL_KINDS[f.kind]}) AS "{f.name}"')
+
+    def build(L):
+        df = getattr(L, name).withColumns({c: F.expr(value) for c, (value, _) in made.items()})
+        dates = {f.name: "named" if f.layouts[0].startswith("d-") else "iso" for f in LISTINGS[name].fields if f.kind == "date"}
+        return clean(conform(_raw(df, name, dates), LISTINGS[name]), name)
+
+    query(f"load_{name}", f"SELECT {', '.join(cells)}{extra} FROM {{{name}}} {where}")(build)
+
+
+_loaded("vaccination", "subject visit dose_date")
+_loaded("eligibility", "subject visit prev_mal_vac congenital_def malnourished chronic_illness vac_1mo disorder other details")
+_loaded("participants", "subject group current_status site consent_v6 consent_v7 consent_v6_one consent_v6_two consent_v7_one consent_v7_two")
+_loaded(
+    "randomisation", "subject rand",
+    {"visit": ("CASE WHEN subject % 7 <> 0 THEN 'Screening' ELSE 'Visit 1' END", "'Screening'")}, "WHERE subject % 7 <> 0",
+)
+_loaded("end_of_study", "subject completion_date")
+_loaded("date_of_visit", "subject visit visit_date first_entry")
+_loaded(
+    "queries", "subject visit module field query_type query_status query_id",
+    {"query_text": ("concat(query_text, '\ufffd!\ufffd')", "query_text || '_!' || chr(65533)")},
+)
+_loaded("visit_forms", "subject visit module visit_date entry_status entered_by ecrf_signoff source_signoff")
+_loaded("films", "subject visit episode sample_date sample_type film_result rdt_result first_entry")
+_loaded("lab_system", "subject sample_date test result")
+_loaded("births", "subject birth_date")
+_loaded("extra_samples", "subject collected sample_date test_category sample_type test", where="WHERE collected = 'Yes'")
+_loaded(
+    "local_ae", "subject term onset ongoing resolution severity outcome",
+    {"post_dose": ("dose_code", "CASE dose_code WHEN '1' THEN 'Dose 1' WHEN '2' THEN 'Dose 2' WHEN '3' THEN 'Dose 3' END")},
+    extra=", CASE WHEN dose_code IN ('1', '2', '3') THEN CAST(dose_code AS INTEGER) END AS post_dose_rank",
+)
+_loaded(
+    "systemic_ae", "subject term onset resolution severity outcome",
+    {"post_dose": ("post_dose", "CASE post_dose WHEN 'Booster 1' THEN 'Booster 1' END")},
+    extra=", CASE post_dose WHEN 'Booster 1' THEN 4 END AS post_dose_rank",
+)
+_loaded("unsolicited_ae", "subject any_event ae_code term_code high_term onset resolution severity outcome first_entry last_entry")
+_loaded("dosing", "subject visit")

@@ -32,7 +32,11 @@ LISTINGS = {
                          ELSE 'SAE resulting to death' END END AS current_status,
                CASE WHEN c_nationkey < 20 THEN concat('Site ', CAST(c_nationkey % 4 AS STRING)) END AS site,
                CASE WHEN c_acctbal < 2000 THEN 'No' WHEN c_acctbal < 6000 THEN 'Yes' END AS consent_v6,
-               CASE c_custkey % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS consent_v7
+               CASE c_custkey % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS consent_v7,
+               CASE WHEN c_acctbal < 2000 THEN 'No' WHEN c_acctbal < 6000 THEN 'Yes' END AS consent_v6_one,
+               CASE WHEN c_acctbal < 6000 THEN concat('2023-01-0', CAST(c_custkey % 9 + 1 AS STRING)) END AS consent_v6_two,
+               CASE c_custkey % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' END AS consent_v7_one,
+               CASE WHEN c_custkey % 3 <> 2 THEN concat('2023-05-0', CAST(c_custkey % 9 + 1 AS STRING)) END AS consent_v7_two
         FROM {customer}""",
     "vaccination": """
         SELECT o_custkey AS subject,
