@@ -170,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     """
     rows = labels.where("quality in (0, 1) and doc_id is not null").where(~in_fold(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = docs.where("text is not null").select("doc_id", "text").join(rows, "doc_id").select("label", "text")
+    # TRAIN_ROWS bounds the broadcast list.
+    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("label", "text")
     got = sample.mapInArrow(_lines, "label int, lines long, features binary").toPandas()
     label, per_text = got["label"].to_numpy(), got["lines"].to_numpy()
     if len(set(label)) < 2:

@@ -65,20 +65,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def domain_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and domain of labelled documents: the language of good ones, `low` for the others."""
+def domain_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, text and domain of labelled documents: the language of good ones, `low` for the others.
+
+    At most `train_rows` labelled ids, chosen by hash order.
+    """
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.select("doc_id", "text", "lang").join(marks, "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, F.col("lang")).otherwise("low").alias("domain"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    found = docs.select("doc_id", "text", "lang").join(F.broadcast(marks), "doc_id")
+    return found.select("doc_id", "text", F.when(F.col("quality") == 1, F.col("lang")).otherwise("low").alias("domain"))
 
 
-def train(rows: DataFrame, domains: list[str], train_rows: int = TRAIN_ROWS, steps: int = 300, l2: float = 1e-3) -> Classifier:
-    """Fit on labelled rows (doc_id, text, domain), `train_rows` at most by hash order; other domains are not used.
+def train(rows: DataFrame, domains: list[str], steps: int = 300, l2: float = 1e-3) -> Classifier:
+    """Fit on a bounded number of labelled rows (doc_id, text, domain); other domains and null texts are not used.
 
     A domain without any row keeps a small posterior everywhere.
     """
     known = rows.where(F.col("domain").isin(domains) & F.col("text").isNotNull())
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    got = known.join(ids, "doc_id").select("domain", "text").mapInArrow(_features, "domain string, features array<float>").toPandas()
+    got = known.select("domain", "text").mapInArrow(_features, "domain string, features array<float>").toPandas()
     if got.empty:
         return Classifier(domains, np.zeros(257), np.ones(257), np.zeros((258, len(domains))))
     raw = np.stack(got["features"]).astype(np.float64)

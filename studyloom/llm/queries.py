@@ -126,7 +126,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    scored = toxicity.severity(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    scored = toxicity.severity(docs, toxicity.train(docs, table(spark, folder, "labels"), hold_out=True))
     return scored.withColumn("held_out", in_fold(F.col("doc_id"), 3, 1))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import in_fold, text_chunks
+from studyloom.llm.common import in_fold, staged, text_chunks
 
 #: Bounds of the model: labelled rows it is fitted on, and features it keeps.
 TRAIN_ROWS, FEATURES = 20_000, 2048
@@ -120,15 +120,20 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.n
     return w, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
-    """Fit on labelled documents whose crc32(doc_id as text) mod 3 is not 1, `train_rows` at most by hash order.
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATURES, hold_out: bool = False) -> Model:
+    """Fit on labelled documents, `train_rows` at most by hash order.
 
+    `hold_out` leaves those out whose crc32(doc_id as text) mod 3 is 1.
     Labels other than 0 and 1 and rows without a text or id are not used. With
     no toxic or no clean row left the model calls everything clean.
     """
-    rows = labels.where("toxic in (0, 1) and doc_id is not null").where(~in_fold(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = labels.where("toxic in (0, 1) and doc_id is not null")
+    if hold_out:
+        rows = rows.where(~in_fold(F.col("doc_id"), 3, 1))
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = docs.where("text is not null").select("doc_id", "text").join(rows, "doc_id")
+    # TRAIN_ROWS bounds the broadcast list and the staged sample.
+    sample = staged(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id"), "toxicity-sample")
     counts = sample.mapInArrow(_texts_with, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     sizes = sample.groupBy().agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     toxic, clean = sizes["t"] or 0, sizes["c"] or 0
