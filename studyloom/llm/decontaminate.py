@@ -75,7 +75,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     pairs = staged(hashes.join(sketch, "h").select("doc_id", "item_id").distinct(), "leak-candidates")
 
     hit = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    hit = hit.select("doc_id", shingles(_words(F.col("text")), width).alias("doc_shingles"))
+    # Words are a column of their own: within the shingle expression they would be split anew for every shingle.
+    hit = hit.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", shingles(F.col("words"), width).alias("doc_shingles"))
     tested = pairs.join(items.select("item_id", "item_shingles"), "item_id").join(hit, "doc_id")
     n_item, n_shared = F.size("item_shingles").cast("long"), F.size(F.array_intersect("item_shingles", "doc_shingles")).cast("long")
     found = tested.select("doc_id", "item_id", n_item.alias("n_item"), n_shared.alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
