@@ -33,7 +33,7 @@ STEPS, TOLERANCE = 60, 1e-7
 HEADROOM = 1.05
 #: Target shares of expected tokens: four languages of clean text, and text labelled low in quality.
 TARGETS = {"en": 0.45, "fr": 0.15, "de": 0.15, "es": 0.12, "low": 0.13}
-_FIELDS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
+_FIELDS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ def _membership(model: Classifier):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             tokens = [len(t.split()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("hash"), pa.array(tokens, pa.int64()), pa.array(list(posteriors(texts, model)), _FIELDS.types[3])], schema=_FIELDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(tokens, pa.int64()), pa.array(list(posteriors(texts, model)), _FIELDS.types[3])], schema=_FIELDS)
 
     return work
 
@@ -165,15 +165,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     """
     domains = list(targets)
     model = train(domain_rows(docs, labels), domains)
-    members = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(_membership(model), "doc_id long, hash long, n_tokens long, posterior array<double>")
+    members = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_membership(model), "doc_id long, text_hash long, n_tokens long, posterior array<double>")
     rated = fit_rates(staged(members, "membership"), [targets[d] for d in domains], least, total)
     names = F.array(*map(F.lit, domains))
     best = F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
-    rated = rated.select("doc_id", "hash", "n_tokens", "posterior", best.alias("domain"), "rate")
+    rated = rated.select("doc_id", "text_hash", "n_tokens", "posterior", best.alias("domain"), "rate")
     if not keep:
-        return rated.drop("hash")
+        return rated.drop("text_hash")
     # Equal texts have equal rates, so repeated rows meet one of themselves.
-    one = rated.withColumnRenamed("doc_id", "rated_id").dropDuplicates(["rated_id", "hash"])
-    same = F.col("doc_id").eqNullSafe(F.col("rated_id")) & (F.xxhash64("text") == F.col("hash"))
-    extra = [c for c in keep if c != "doc_id"]
-    return docs.select("doc_id", *(c for c in dict.fromkeys([*extra, "text"]))).join(one, same).select("doc_id", *extra, "n_tokens", "posterior", "domain", "rate")
+    one = rated.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}).dropDuplicates(["_id", "_hash"])
+    carried = docs.select("doc_id", "text", F.struct(*[c for c in keep if c != "doc_id"]).alias("_kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    out = carried.join(one, same)
+    return out.select("doc_id", *(F.col("_kept")[c].alias(c) for c in keep if c != "doc_id"), "n_tokens", "posterior", "domain", "rate")

@@ -29,7 +29,7 @@ from studyloom.llm.common import in_fold, staged, text_chunks
 #: Bounds of the model: labelled rows it is fitted on, and features it keeps.
 TRAIN_ROWS, FEATURES = 20_000, 2048
 #: A feature must be in this many toxic training texts, and this many standard deviations above chance.
-LEAST_TEXTS, LEAST_Z = 5, 6.0
+LEAST_TEXTS, LEAST_Z = 5, 5.0
 GRADES = 4
 #: Words whose features are remembered between texts.
 MEMO = 500_000
