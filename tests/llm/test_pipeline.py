@@ -9,9 +9,9 @@ from studyloom.llm.common import table
 from workload.check import checker, compare
 
 from studyloom.llm.queries import CHECKS, QUERIES
-from test_minhash import brute as near_brute
-from test_substring_dedup import brute as cut_brute
-from test_decontaminate import brute as leak_brute
+from llm.test_minhash import brute as near_brute
+from llm.test_substring_dedup import brute as cut_brute
+from llm.test_decontaminate import brute as leak_brute
 
 FOLDER = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
