@@ -148,6 +148,7 @@ def matched_blocks(docs: DataFrame, window: int) -> DataFrame:
     """Per text (id, hash) the blocks with windows that occur elsewhere: at, mask of windows, and for whole blocks another place (ref_id, ref_at)."""
     texts = _texts(docs)
     seeds = texts.mapInArrow(_seed_counts(window), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
+    seeds = staged(seeds, "seeds")  # a table of its own, so that the join is one Spark can split
     found = texts.mapInArrow(_occurrences(window), "seed long, block long, id long, tag long")
     found = staged(found.join(seeds, "seed", "left_semi"), "blocks")
     place = F.struct("id", "tag")
