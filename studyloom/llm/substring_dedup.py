@@ -166,7 +166,7 @@ def matched_blocks(docs: DataFrame, window: int) -> DataFrame:
     full = (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("one.tag").bitwiseAND((1 << N_BITS) - 1).cast("int"))) - 1
     masks = index.join(partial, ["seed", "block"], "left").withColumn("mask", F.when(F.col("n") > 1, full).otherwise(F.col("part")))
     masks = masks.where("mask is not null").select("seed", "block", "mask", F.when(F.col("n") > 1, F.col("one")).alias("one"), F.when(F.col("n") > 1, F.col("last")).alias("last"))
-    pieces = found.join(masks, ["seed", "block"])
+    pieces = found.join(staged(masks, "masks"), ["seed", "block"])
     ref = F.when(F.col("one") == F.struct("id", "tag"), F.col("last")).otherwise(F.col("one"))
     at = lambda tag: F.shiftright(tag, N_BITS).bitwiseAND((1 << AT_BITS) - 1)
     piece = F.struct(at(F.col("tag")).alias("at"), "mask", ref["id"].alias("ref_id"), at(ref["tag"]).alias("ref_at"))
