@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SPACES = "[ \\t-\\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of text worked on together inside a task, in bytes of text.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Lists of ids up to this count (8 to 32 bytes each) are broadcast.
 BROADCAST_IDS = 2_000_000
 

@@ -73,7 +73,7 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, owners: int, position
         keep = live[owner]
         rows, elements, owner, swap = rows[keep], elements[keep], owner[keep], swap[keep]
         if permutation is None:
-            permutation = np.tile(np.arange(positions, dtype=np.uint16), (len(elements), 1))
+            permutation = np.tile(np.arange(positions, dtype=np.uint8 if positions <= 256 else np.uint32), (len(elements), 1))
         else:
             permutation = permutation[keep]
         permutation[np.arange(len(elements)), swap] = permutation[:, rank]
@@ -100,8 +100,8 @@ def _sign(width: int, positions: int, rows: int):
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
             bands: list = [None] * len(sets)
-            # About 200,000 elements at a time, for the permutations' memory.
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[full]) // 200_000)) + 1
+            # About 100,000 elements at a time, for the permutations' memory.
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[full]) // 100_000)) + 1
             for part in np.split(full, cuts):
                 if len(part):
                     elements = np.concatenate([sets[i] for i in part])

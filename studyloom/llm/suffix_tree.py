@@ -39,7 +39,7 @@ FREQUENT = 2e-7
 SEGMENT = 256
 END = b"\n"
 END_HASH = xxhash.xxh3_64_intdigest(END)
-_MERGE = 2_000_000
+_MERGE = 1_000_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
