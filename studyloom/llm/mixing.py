@@ -8,27 +8,39 @@ is expected to bring w * t * p[d] tokens to domain d. Rates are the solution of
 
 by projected gradient. The metric weighs a document by its tokens, so documents
 of equal posterior get equal rates whatever their length, and residuals are
-scaled by each domain's own size, which makes a few dozen steps enough. Only
-the residual, one number per domain, comes to the driver; a document's rate is
-a fold over the steps' residuals, computed where the document is.
+scaled by the inverse of the domains' Gram matrix. Steps go on until the shares are reached or
+nothing moves any more, with momentum where that takes many; a fit that does
+neither is an error. Only the residual, one number per domain, comes to the
+driver; a document's rate is a fold over the steps' residuals, computed where
+the document is.
+
+A target that no document or next to none belongs to cannot be reached by any
+sensible rates. It is left out with a warning, and the others share its weight.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.llm.common import staged, text_chunks
 
 #: Labelled rows the classifier is fitted on, at most.
 TRAIN_ROWS = 5000
-#: Steps of the projected gradient, and the move of any domain's tokens (as a share of the total) that ends it.
-STEPS, TOLERANCE = 60, 1e-7
+#: Steps of the projected gradient after which it counts as failed, and the move of any domain's tokens (as a share of the total) that ends it.
+STEPS, TOLERANCE = 2000, 1e-7
+#: Residual of any domain (as a share of the total) at which a target counts as reached.
+REACHED = 1e-6
+#: Steps before momentum sets in, and steps folded before rates are written to the shared folder.
+PLAIN, FOLD = 8, 100
+#: A target needs documents of which it is the likelier side, and these need not be repeated more often than this to reach it.
+CONFIDENT, MOST_REPEATS = 0.5, 100
 #: With a least rate, the total aimed at is this much above the smallest that all domains can reach.
 HEADROOM = 1.05
 #: Target shares of expected tokens: four languages of clean text, and text labelled low in quality.
@@ -113,47 +125,81 @@ def _membership(model: Classifier):
     return work
 
 
-def _rate(steps: list[np.ndarray], least: float) -> Column:
-    """A document's rate after the given steps, each the vector its posterior is multiplied with."""
+def _moved(rows: DataFrame, steps: list[list[float]], least: float) -> DataFrame:
+    """`rows` with rate and rate_before after the given steps, each its momentum and the vector a posterior is multiplied with."""
     if not steps:
-        return F.lit(max(1.0, least))
-    done = F.array(*(F.array(*map(F.lit, s.tolist())) for s in steps))
-    k = len(steps[0])
+        return rows
+    done = F.array(*(F.array(*map(F.lit, s)) for s in steps))
+    k = len(steps[0]) - 1
 
-    def move(rate, s):
-        return F.greatest(F.lit(float(least)), rate - sum((F.col("posterior")[d] * s[d] for d in range(1, k)), F.col("posterior")[0] * s[0]))
+    def move(state, s):
+        rate, before = state["rate"], state["rate_before"]
+        pull = sum((F.col("posterior")[d] * s[d + 1] for d in range(1, k)), F.col("posterior")[0] * s[1])
+        return F.struct(F.greatest(F.lit(float(least)), rate + s[0] * (rate - before) - pull).alias("rate"), rate.alias("rate_before"))
 
-    return F.aggregate(done, F.lit(max(1.0, least)), move)
+    state = F.aggregate(done, F.struct("rate", "rate_before"), move)
+    return rows.withColumn("_state", state).withColumns({"rate": F.col("_state.rate"), "rate_before": F.col("_state.rate_before")}).drop("_state")
 
 
-def fit_rates(members: DataFrame, shares: list[float], least: float = 0.0, total: float | None = None, steps: int = STEPS) -> DataFrame:
+def fit_rates(members: DataFrame, shares: list[float], least: float = 0.0, total: float | None = None, steps: int = STEPS, names: Sequence[str] | None = None) -> DataFrame:
     """`members` (n_tokens, posterior) with `rate`.
 
     `total` is the token count aimed at; None asks for as many as let every
     domain reach its share without going under rate `least` (under 1 when that is 0).
+    Targets without documents (see MOST_REPEATS) are left out and the others'
+    shares add up to 1; without any target left all rates are alike. Warns of
+    targets left out or out of reach, `names` of domains given; fails if `steps`
+    do not settle the rates.
     """
     k = len(shares)
-    share = np.array(shares) / sum(shares)
+    names = list(names or map(str, range(k)))
     tokens = F.col("n_tokens").cast("double")
     cell = [F.coalesce(F.sum(tokens * F.col("posterior")[a] * F.col("posterior")[b]), F.lit(0.0)) for a in range(k) for b in range(k)]
     have = [F.coalesce(F.sum(tokens * F.col("posterior")[d]), F.lit(0.0)) for d in range(k)]
-    got = members.agg(*(c.alias(f"g{i}") for i, c in enumerate(cell)), *(c.alias(f"h{i}") for i, c in enumerate(have))).first()
-    gram, have = np.array(got[: k * k]).reshape(k, k), np.array(got[k * k :])
+    sure = [F.coalesce(F.sum(F.when(F.col("posterior")[d] >= CONFIDENT, tokens * F.col("posterior")[d])), F.lit(0.0)) for d in range(k)]
+    got = members.agg(*(c.alias(f"c{i}") for i, c in enumerate([*cell, *have, *sure]))).first()
+    gram, have, sure = np.array(got[: k * k]).reshape(k, k), np.array(got[k * k : k * k + k]), np.array(got[k * k + k :])
+    start = max(1.0, least)
+    current = members.withColumns({"rate": F.lit(start), "rate_before": F.lit(start)})
+    share = np.array(shares, float) / sum(shares)
+    aim = share * (float(have.sum()) if total is None else total)
+    use = (sure > 0) & (sure * MOST_REPEATS >= aim)
+    if have.sum() and not use.all():
+        warnings.warn(f"mixing: targets without documents are left out: {[n for n, u in zip(names, use, strict=True) if not u]}", stacklevel=2)
+    if not use.any():
+        return current.drop("rate_before")
+    share = np.where(use, share, 0) / share[use].sum()
     if total is None:
-        total = float((have / share).max()) * least * HEADROOM if least else float(have.sum())
-    size = 1 / np.maximum(np.diag(gram), 1e-9)
-    root = np.sqrt(size)
-    reach = float(np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max())
-    pace = 1 / reach if reach > 0 else 0.0
-    done: list[np.ndarray] = []
-    brought = have * max(1.0, least)
-    for _ in range(steps):
-        done.append(pace * size * (brought - share * total))
-        rate, before = _rate(done, least), brought
-        brought = np.array(members.withColumn("rate", rate).agg(*(F.coalesce(F.sum(F.col("rate") * tokens * F.col("posterior")[d]), F.lit(0.0)) for d in range(k))).first())
-        if np.abs(brought - before).max() <= TOLERANCE * max(total, 1.0):
+        total = float((have[use] / share[use]).max()) * least * HEADROOM if least else float(have[use].sum())
+    # With the inverse Gram matrix as metric the gradient's constant is 1, and without bound one step is exact.
+    metric = np.zeros((k, k))
+    metric[np.ix_(use, use)] = np.linalg.pinv(gram[np.ix_(use, use)], rcond=1e-9, hermitian=True)
+    done: list[list[float]] = []
+    before = brought = have * start
+    loss = lambda b: float((b - share * total) @ metric @ (b - share * total))
+    weight, still = 1.0, 0
+    for step in range(steps):
+        # Momentum starts anew when the last step did not come closer.
+        if step < PLAIN or loss(brought) > loss(before):
+            weight, momentum = 1.0, 0.0
+        else:
+            momentum, weight = (weight - 1) / ((1 + np.sqrt(1 + 4 * weight**2)) / 2), (1 + np.sqrt(1 + 4 * weight**2)) / 2
+        ahead = brought + momentum * (brought - before)
+        done.append([float(momentum), *(metric @ (ahead - share * total)).tolist()])
+        moved, before = _moved(current, done, least), brought
+        brought = np.array(moved.agg(*(F.coalesce(F.sum(F.col("rate") * tokens * F.col("posterior")[d]), F.lit(0.0)) for d in range(k))).first())
+        off = np.abs(brought - share * total)[use].max()
+        still = still + 1 if np.abs(brought - before).max() <= TOLERANCE * max(total, 1.0) else 0
+        # A slow approach also moves little, so that short of the targets one small move proves nothing.
+        if still and off <= REACHED * max(total, 1.0) or still >= 5:
             break
-    return members.withColumn("rate", _rate(done, least))
+        if len(done) == FOLD:
+            current, done = staged(moved, "rates"), []
+    else:
+        raise RuntimeError(f"mixing: rates did not settle in {steps} steps")
+    if off > 1e-3 * max(total, 1.0):
+        warnings.warn(f"mixing: shares out of reach: {dict(zip(names, np.round(brought / max(total, 1.0), 4).tolist(), strict=True))}", stacklevel=2)
+    return _moved(current, done, least).drop("rate_before")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, least: float = 0.0, total: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -161,12 +207,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
 
     A null text has no tokens and the posterior of an empty one; repeated rows
     get equal rates; rows without an id take part. Of other columns those named in
-    `keep` are passed on; an empty table gives no rows.
+    `keep` are passed on; an empty table gives no rows. Targets without documents
+    are left out (see fit_rates).
     """
     domains = list(targets)
     model = train(domain_rows(docs, labels), domains)
     members = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_membership(model), "doc_id long, text_hash long, n_tokens long, posterior array<double>")
-    rated = fit_rates(staged(members, "membership"), [targets[d] for d in domains], least, total)
+    rated = fit_rates(staged(members, "membership"), [targets[d] for d in domains], least, total, names=domains)
     names = F.array(*map(F.lit, domains))
     best = F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     rated = rated.select("doc_id", "text_hash", "n_tokens", "posterior", best.alias("domain"), "rate")

@@ -153,3 +153,30 @@ def test_mixing_of_odd_tables(spark, documents, awkward):
     assert mixing.mix(docs, labels.limit(0)).count() == 11
     assert mixing.mix(documents([]), labels).count() == 0
     assert F is not None
+
+
+def test_a_target_without_documents_is_left_out(spark):
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.dirichlet([0.1, 0.1, 0.1], 300), np.zeros((300, 1))], axis=1) + 1e-4 * rng.random((300, 4))
+    p /= p.sum(axis=1, keepdims=True)
+    t = rng.integers(1, 500, 300)
+    df = spark.createDataFrame([(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(t, p))], "doc_id long, n_tokens long, posterior array<double>")
+    for least in (0.0, 1.0):
+        with pytest.warns(UserWarning, match="left out: .'es'"):
+            rate = np.array([r.rate for r in mixing.fit_rates(df, [0.45, 0.2, 0.23, 0.12], least, names=["en", "fr", "de", "es"]).orderBy("doc_id").collect()])
+        brought = (rate * t) @ p
+        assert np.allclose(brought[:3] / brought.sum(), np.array([0.45, 0.2, 0.23]) / 0.88, atol=0.02 if least else 1e-3)
+        assert rate.max() < 10 and (rate >= least).all() and (rate > 0.1).mean() > 0.9
+
+
+def test_rates_that_need_many_steps_settle_or_fail(spark):
+    # Two domains told apart by little: a slow direction of the plain gradient.
+    rng = np.random.default_rng(6)
+    a = np.clip(0.5 + 0.05 * rng.standard_normal(400), 0, 1)
+    p, t = np.stack([a, 1 - a], axis=1), rng.integers(1, 500, 400)
+    df = spark.createDataFrame([(i, int(x), y.tolist()) for i, (x, y) in enumerate(zip(t, p))], "doc_id long, n_tokens long, posterior array<double>")
+    share = np.array([0.53, 0.47])
+    rate = np.array([r.rate for r in mixing.fit_rates(df, share.tolist()).orderBy("doc_id").collect()])
+    assert np.allclose((rate * t) @ p / t.sum(), share, atol=1e-4) and (rate >= 0).all()
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.fit_rates(df, share.tolist(), steps=5)
