@@ -6,7 +6,7 @@ All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm import decontaminate, minhash, mixing, substring_dedup, toxicity
@@ -19,28 +19,48 @@ TOXIC = 0.5
 LEAST_RATE = 1.0
 
 
+def _key() -> Column:
+    """A row's own key: hash of id, null or not, and text. Rows that share it are repeats of one row."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """What the operators read, with the row's key as id: verdicts are on rows, and ids may be null or repeat."""
+    return docs.select(_key().alias("doc_id"), "text")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose doc_id is not among `gone`; rows without an id stay."""
-    ids = staged(gone.select("doc_id").distinct(), "gone")
-    return docs.join(sized(ids), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents whose key is not among `gone` (keys as doc_id)."""
+    keys = staged(gone.select(F.col("doc_id").alias("_key")).distinct(), "gone")
+    return docs.withColumn("_key", _key()).join(sized(keys), "_key", "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model holds to be toxic go; it learns from the labelled documents."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.severity(docs, model).where(F.col("p_toxic") >= TOXIC)
+    scored = toxicity.severity(_keyed(docs), model).where(F.col("p_toxic") >= TOXIC)
     return _without(docs, scored)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that of the smallest doc_id.
 
-    Exact repeats of a kept row (same id and text) stay once; rows without an id stay.
+    A document without an id stays only where its group has none with one. Of
+    rows equal in id and text one stays, ids that are null being equal too.
     """
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept")
-    left = _without(docs, gone)
-    with_id = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return with_id.union(left.where("doc_id is null"))
+    # Copies without an id share a key, so one of them stands for all.
+    rows = docs.where("doc_id is not null").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS).dropDuplicates(["text"]))
+    groups = minhash.near_duplicates(_keyed(rows), width=5, percent=80).select("doc_id", "component_id")
+    groups = staged(groups.withColumnRenamed("doc_id", "_key").distinct(), "groups")
+    # Ids are needed of groups of several only.
+    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    several = staged(groups.join(staged(several, "several"), "component_id", "left_semi"), "grouped")
+    ids = staged(docs.select(_key().alias("_key"), "doc_id").distinct(), "keys")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
+    named = staged(several.join(ids, "_key"), "named")
+    first = staged(named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._key").alias("_key")), "first")
+    gone = named.join(first, "_key", "left_anti").select(F.col("_key").alias("doc_id"))
+    return _without(docs, gone).dropDuplicates(["doc_id", "text"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +72,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), width=5, percent=80)
+    leaks = decontaminate.find_leaks(_keyed(docs), table(spark, sf_dir, "benchmark"), width=5, percent=80)
     return _without(docs, leaks)
 
 

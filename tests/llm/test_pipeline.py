@@ -62,3 +62,34 @@ def test_stages_stand_odd_tables(spark, documents, awkward, tmp_path):
         empty = stage(spark, docs.limit(0).drop("hash"), folder)
         assert empty.columns == corpus_pipeline.COLUMNS and empty.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0).drop("hash"), folder).count() == 0
+
+
+@pytest.fixture
+def folder(spark, tmp_path, prose):
+    spark.createDataFrame([(100 + i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(30, 7))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def left_by(stage, spark, docs, folder):
+    return Counter((r.doc_id, r.text) for r in stage(spark, docs.drop("hash"), folder).collect())
+
+
+def test_verdicts_hold_for_rows_without_an_id_and_of_repeated_ids(spark, documents, folder, prose):
+    bad, good = "you awfulword", "you kindword"
+    taught = [(100 + i, bad if i % 2 else good) for i in range(60)]
+    rows = [(None, bad), (None, good), (5, bad), (5, good)]
+    kept = left_by(corpus_pipeline.drop_toxic, spark, documents(taught + rows), folder)
+    assert kept == Counter([r for r in taught + rows if r[1] == good])
+    leak, plain = prose(20, 8) + " " + prose(30, 7), prose(40, 9)
+    rows = [(None, leak), (None, plain), (5, leak), (5, plain), (None, None)]
+    assert left_by(corpus_pipeline.drop_leaks, spark, documents(rows), folder) == Counter([(None, plain), (5, plain), (None, None)])
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, documents, folder, prose):
+    a, b, c, d = (prose(60, 20 + n) for n in range(4))
+    rows = [(5, a), (5, b), (3, b + " tail"), (None, b), (None, c), (None, c), (None, c + " tail"), (8, d), (8, d + " tail"), (8, d), (2, ""), (None, None)]
+    kept = left_by(corpus_pipeline.near_dedup, spark, documents(rows), folder)
+    assert max(kept.values()) == 1
+    assert {r for r in kept if r[1] not in (c, c + " tail", d, d + " tail")} == {(5, a), (3, b + " tail"), (2, ""), (None, None)}
+    assert sum(i is None and t in (c, c + " tail") for i, t in kept) == 1 and sum(i == 8 for i, _ in kept) == 1
