@@ -5,13 +5,18 @@ from studyloom.plans import status
 
 def test_consent(frame):
     p = frame(
-        "subject long, group string, current_status string, site string, consent_v6 string, consent_v7 string",
-        (1, "Group A", "On Active Follow up", "S", "Yes", None), (2, "Group A", "On Active Follow up", "S", None, "No"),
-        (3, "Group B", "Loss to follow up", "S", "Yes", None),
+        "subject long, group string, current_status string, site string, consent_v6 string, consent_v6_one string, consent_v6_two string,"
+        " consent_v7 string, consent_v7_one string, consent_v7_two string",
+        (1, "Group A", "On Active Follow up", "S", "Yes", "a", "b", None, None, None),
+        (2, "Group A", "On Active Follow up", "S", None, None, None, "No", "c", None),
+        (3, "Group B", "Loss to follow up", "S", "Yes", "d", "e", None, None, None),
     )
     assert rows(status.consent_counts(p, "v6")) == [("Pending", 1), ("Yes", 1)]
-    assert rows(status.consent_list(p, "v6", "Yes")) == [(1, "Group A", "S", "Yes")]
-    assert rows(status.consent_list(p, "v7", "Pending"), "subject") == [(1,)]
+    assert rows(status.consent_list(p, "v6", "Yes")) == [(1, "Group A", "S", "a", "b")]
+    assert rows(status.consent_list(p, "v7", "No")) == [(2, "Group A", "S", "c", None)]
+    pending = status.consent_list(p, "v7", "Pending")
+    assert pending.columns == ["subject", "group", "site", "current_status"]
+    assert rows(pending) == [(1, "Group A", "S", "On Active Follow up")]
     table = {r.site: r for r in status.site_arm_table(p, active_only=True).collect()}
     assert table["Total"]["Group A"] == "100% (2)" and table["Total"]["Group B"] == "- (0)"
     full = {r.site: r for r in status.site_arm_table(p).collect()}
