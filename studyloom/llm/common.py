@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,9 +32,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share. Only a session within one process may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if re.fullmatch(r"local(\[.*\])?", master) is None:
+            raise ValueError(f"spark.checkpoint.dir is not set: on {master} the operators need a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="studyloom-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
