@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import chat, decontaminate, embedding_join, line_crf, minhash, mixing, substring_dedup, suffix_tree, toxicity, warc
+from studyloom.llm import (
+    chat,
+    decontaminate,
+    embedding_join,
+    hard_negatives,
+    lexical_search,
+    line_crf,
+    minhash,
+    mixing,
+    quality_rules,
+    substring_dedup,
+    suffix_tree,
+    toxicity,
+    warc,
+)
 from studyloom.llm.common import LOWER, UPPER, in_fold, split_words, table
 from studyloom.llm.registry import CHECKS, QUERIES, query
 
@@ -163,3 +177,78 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = suffix_tree.score(docs, suffix_tree.training_texts(docs))
     return scored.withColumn("held_out", in_fold(F.col("doc_id"), 5, 1))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                      list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+               from embeddings where label is not null and embedding is not null
+               and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same,
+                 list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::bigint as s
+          from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+    p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+    n as (select p.a, p.b as p, p.s as ps, s.b as n, s.s as ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) as r
+          from p join s on p.a = s.a and not s.same and 80 * p.s <= 100 * s.s and 100 * s.s <= 100 * p.s)
+    select a as anchor_id, p as positive_id, r::int as rank, n as negative_id, ps as positive_score, ns as negative_score from n where r <= 5
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, percent=80, scale=256)
+
+
+def _covered(width: int, what: str) -> str:
+    """SQL for `what` over the words of each text that lie in runs of `width` words found twice or more in it."""
+    return f"""(
+        select k, {what} as c from u join (select distinct k, unnest(range(i, i + {width})) as i from (
+            select k, i, count(*) over (partition by k, run) as n from (
+                select k, i, n, string_agg(x, ' ') over (partition by k order by i rows between current row and {width - 1} following) as run from u)
+            where i <= n - {width - 1}) where n > 1) using (k, i) group by k)"""
+
+
+@query(
+    "op12_quality_rules",
+    rf"""
+    with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t, {WORDS.format("text")} as w from documents),
+    u as materialized (select k, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) as i from d),
+    l as (select k, x, row_number() over (partition by k, x order by i) as n from (select k, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as i from d)),
+    r as (select k, count(*) as n, sum(length(regexp_replace(x, '[ 	-
+]+', '', 'g'))) as c from l
+          where n > 1 and regexp_matches(x, '[^ 	-
+]') group by k),
+    b as (select d.k, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+                 length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(r.n, 0)::bigint as n_dup_lines,
+                 coalesce(g.c, 0)::bigint as n_repeat_words, coalesce(r.c, 0) as line_chars
+          from d left join r using (k) left join {_covered(3, "count(*)")} g using (k)),
+    v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not base_failed and 100 * line_chars <= {quality_rules.LINE_LIMIT} * word_chars
+           {" ".join(f"and 100 * coalesce(c{width}.c, 0) <= {most} * word_chars" for width, most in quality_rules.RUN_LIMITS.items())} as kept
+    from v {" ".join(f"left join {_covered(width, 'sum(length(x))')} c{width} using (k)" for width in quality_rules.RUN_LIMITS)}
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.repetition_rules(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query(
+    "op13_lexical_search",
+    rf"""
+    with d as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce({ASCII_LOWER}, ''), '{lexical_search.TERM}') as terms from documents),
+    s as (select count(*) as n_all, sum(len(terms))::bigint as l_all from d where len(terms) > 0),
+    p as (select k, doc_id, n, term, count(*) as tf from (select k, doc_id, len(terms) as n, unnest(terms) as term from d) group by k, doc_id, n, term),
+    f as (select term, floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1)))::bigint as w from p, s group by term, n_all),
+    q as (select distinct item_id, unnest(regexp_extract_all(coalesce({ASCII_LOWER}, ''), '{lexical_search.TERM}')) as term from benchmark),
+    x as (select item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_all) // l_all)))))::bigint as score
+          from q join f using (term) join p using (term), s group by item_id, k, doc_id)
+    select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+    from x where score > 0 qualify rank <= 50
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
