@@ -13,12 +13,15 @@ from studyloom.operators.crosstab import (
     count_by,
     count_where,
     crosstab,
+    crosstab_long,
     crosstab_pct,
     percent_text,
     share,
+    shares_long,
 )
 from studyloom.operators.joins import (
     anti,
+    band_join,
     exclude_pairs,
     full_outer,
     inline_table,
@@ -34,6 +37,7 @@ from studyloom.operators.reshape import (
     first_per,
     number_counts,
     number_within,
+    picks_per,
     presence_wide,
     to_long,
     to_wide,
@@ -48,12 +52,14 @@ __all__ = [
     "anti",
     "arm",
     "arrange",
+    "band_join",
     "cohort_counts",
     "cohort_members",
     "cohort_rows",
     "count_by",
     "count_where",
     "crosstab",
+    "crosstab_long",
     "crosstab_pct",
     "exclude_pairs",
     "facets",
@@ -68,8 +74,10 @@ __all__ = [
     "number_counts",
     "number_within",
     "percent_text",
+    "picks_per",
     "presence_wide",
     "share",
+    "shares_long",
     "split_by_pattern",
     "split_by_team",
     "to_long",

@@ -6,7 +6,7 @@ first shuffle is as small as the printed table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +34,50 @@ def count_where(
     return counts
 
 
+def _free(name: str, taken: Collection[str]) -> str:
+    """The name, or the name with as many stars as it takes to be free."""
+    while name in taken:
+        name += "*"
+    return name
+
+
 def _cells(col: str, values: Sequence) -> dict[str, Column]:
     """A test per column of the table: the listed values, then all others, then the missing ones."""
-    listed = [v for v in values if v is not None]
-    tests = {MISSING_NAME if v is None else str(v): F.col(col).isNull() if v is None else F.col(col) == v for v in values}
-    other = ~F.col(col).isin(listed) if listed else F.lit(True)
-    tests.setdefault(OTHER_NAME, F.col(col).isNotNull() & other)
-    tests.setdefault(MISSING_NAME, F.col(col).isNull())
+    names = {}
+    for v in values:
+        if v is not None:
+            names[v] = _free(str(v), names.values())
+    missing = _free(MISSING_NAME, names.values())
+    is_missing, listed = F.col(col).isNull(), F.col(col).isin(list(names)) if names else F.lit(False)
+    tests = {missing if v is None else names[v]: is_missing if v is None else F.col(col) == v for v in values}
+    tests[_free(OTHER_NAME, [*names.values(), missing])] = F.col(col).isNotNull() & ~listed
+    tests.setdefault(missing, is_missing)
     return tests
 
 
+def crosstab_long(df: DataFrame, row: str, col: str, name: str = "n") -> DataFrame:
+    """Counts of `row` by `col` as rows, totals both ways and over all included.
+
+    No list of values is needed and no value can be taken for a total, another
+    value or a missing one: `row_total` and `col_total` say which rows are
+    totals, and values stay as they are. Rows are counted once by a partial
+    aggregate; totals add up the counts.
+    """
+    counts = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("__n"))
+    table = counts.cube(row, col).agg(
+        F.sum("__n").alias(name), (F.grouping(row) == 1).alias("row_total"), (F.grouping(col) == 1).alias("col_total")
+    )
+    return table.select(row, col, "row_total", "col_total", name)
+
+
+def shares_long(table: DataFrame, row: str, col: str, name: str = "n") -> DataFrame:
+    """Add each cell's percentage of its column to a table of `crosstab_long`, half rounded up; null where the column is empty."""
+    whole = table.filter("row_total").select(F.col(col).alias("__col"), F.col("col_total").alias("__ct"), F.col(name).alias("__whole"))
+    same = table[col].eqNullSafe(whole["__col"]) & (table["col_total"] == whole["__ct"])
+    part = F.col(name).cast("decimal(20,0)") * 100 / F.nullif("__whole", F.lit(0)).cast("decimal(20,0)")
+    return table.join(whole, same, "left").withColumn("percentage", F.round(part, 0).cast("long")).drop("__col", "__ct", "__whole")
+
+
 def _spread(counts: DataFrame, row: str, tests: Mapping[str, Column], rollup: bool) -> DataFrame:
     """One row per value of `row`, all rows of it in `__all`; `__level` 1 is the total."""
     cells = [F.sum(F.when(test, F.col("__n"))).alias(name) for name, test in tests.items()]
@@ -66,8 +100,9 @@ def crosstab(
 
     `values` gives the columns and their order. Rows with another value of `col`
     are counted under Other and rows without one under NA, at the end unless
-    listed (None lists NA), so that cells add up to the totals over all rows.
-    Rows of the table come in order of `row`, the total last.
+    listed (None lists NA), so that cells add up to the totals over all rows. Where
+    a listed value has one of these names, or that of the totals, the later column
+    gets a star ("Other*"). `crosstab_long` needs no list. Rows of the table come in order of `row`, the total last.
     """
     counts = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("__n"))
     tests = _cells(col, values)
@@ -76,7 +111,7 @@ def crosstab(
     out = [F.when(is_total, F.lit(label)).otherwise(F.col(row).cast("string")).alias(row)]
     out += [F.when(is_total, F.coalesce(f"`{n}`", F.lit(0))).otherwise(F.col(f"`{n}`")).alias(n) for n in tests]
     if "col" in totals:
-        out.append(F.coalesce("__all", F.lit(0)).alias(total_name))
+        out.append(F.coalesce("__all", F.lit(0)).alias(_free(total_name, tests)))
     return table.select(*out)
 
 
@@ -89,11 +124,11 @@ def crosstab_pct(df: DataFrame, row: str, col: str, values: Sequence, label: str
     table = table.select(
         F.when(is_total, F.lit(label)).otherwise(F.col(row).cast("string")).alias(row),
         *[F.coalesce(f"`{n}`", F.lit(0)).alias(n) for n in tests],
-        F.coalesce("__all", F.lit(0)).alias("Total"),
+        F.coalesce("__all", F.lit(0)).alias(_free("Total", tests)),
         is_total.alias("__total"),
     )
     # The total row is one row, so the lookup is a scalar per column.
-    shown = [*tests, "Total"]
+    shown = [*tests, _free("Total", tests)]
     sums = table.filter("__total").select(F.struct(*[F.col(f"`{n}`") for n in shown]).alias("s")).scalar()
     table = table.withColumn("__s", sums).orderBy("__total", F.asc_nulls_last(row))
     out = [F.col(row)]

@@ -166,6 +166,43 @@ def full_outer(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     return kept.unionByName(keyless, allowMissingColumns=True).unionByName(extra, allowMissingColumns=True)
 
 
+def band_join(
+    df: DataFrame,
+    bands: DataFrame,
+    on: Key | Sequence[Key],
+    point: str,
+    low: str = "low",
+    high: str = "high",
+    width: int | None = None,
+    how: str = "left",
+) -> DataFrame:
+    """Equi join in which, besides, the integer `point` lies in the band's closed interval [low, high].
+
+    The number line is cut into cells of `width`. A band is filed under every
+    cell it touches and a point is looked up in its own, so the join is a
+    plain one on key and cell, broadcast or not, and no row meets a band that
+    ends before or begins after its cell. Without a `width` the mean length of
+    the bands is taken: then they are filed three times each at most on
+    average. Overlapping bands give a row each; a missing key, point or bound
+    matches nothing. Columns of both sides must differ in name, keys apart.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"unsupported join type {how}")
+    pairs = _pairs(on)
+    bands = bands.filter(F.col(low) <= F.col(high))
+    if width is None:
+        width = bands.agg(F.ceil(F.avg(F.col(high).cast("double") - F.col(low) + 1))).first()[0] or 1
+    width = max(1, int(width))
+
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / width).cast("long")
+
+    filed = bands.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high)))).withColumnsRenamed({r: f"__k{i}" for i, (_, r) in enumerate(pairs)})
+    same = [df[l] == filed[f"__k{i}"] for i, (l, _) in enumerate(pairs)]
+    same += [cell(point) == filed["__cell"], F.col(point).between(F.col(low), F.col(high))]
+    return df.join(filed, reduce(Column.__and__, same), how).drop("__cell", *[f"__k{i}" for i in range(len(pairs))])
+
+
 def inline_table(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A parameter list as a table in the session of `df`; a short one is broadcast."""
     table = df.sparkSession.createDataFrame(list(rows), schema)

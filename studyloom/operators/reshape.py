@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyloom.operators.joins import key_columns
+from studyloom.session import steady
 
 Order = str | Column
 
@@ -71,44 +71,58 @@ def to_long(
 
 
 def number_within(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    split: Sequence[Column],
-    names: Mapping[str, Column | None],
-    prefix: str = "",
+    df: DataFrame, key: str, order: Sequence[Order], names: Mapping[str, Column | None], prefix: str = ""
 ) -> DataFrame:
     """Running numbers of the rows within their key, as text with a prefix.
 
     `names` maps each new column to the rows it counts, None for all; rows
-    that are not counted get null. `split` are expressions that never
-    decrease along `order` (such as the date, then the hour). They cut one key
-    into pieces that are numbered in separate tasks; each piece then starts
-    after the rows of the pieces before it, and the window over pieces only
-    sees one row per piece.
+    that are not counted get null. Ties in `order` are numbered by a hash of
+    the row.
+
+    Rows are range-partitioned by key and full order, so a key of any size
+    spreads over as many partitions as it fills, and each part of a key is
+    numbered apart. A part then starts after the key's earlier parts. Only the
+    first key of a partition can have any, so the table of these offsets has
+    at most one row per partition. Range bounds are sampled anew whenever a
+    plan runs; the partitioned rows are therefore written once.
     """
-    cuts = [f"__s{i}" for i in range(len(split))]
     flags = {f"__c{i}": F.lit(True) if test is None else F.coalesce(test, F.lit(False)) for i, test in enumerate(names.values())}
-    pieces = df.withColumns({**dict(zip(cuts, split)), **flags})
-    # Null-free stand-ins let the window and the join use one partitioning.
-    exprs = key_columns(pieces, [key, *cuts])
-    ids = [f"__p{i}" for i in range(len(exprs))]
-    pieces = pieces.withColumns(dict(zip(ids, exprs)))
-    by_key = Window.partitionBy(*ids[:2]).orderBy(*[F.asc_nulls_last(c) for c in cuts])
-    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        pieces.groupBy(*ids, *cuts)
-        .agg(*[F.count_if(c).alias(f"{c}_rows") for c in flags])
-        .select(*ids, *[F.coalesce(F.sum(f"{c}_rows").over(earlier), F.lit(0)).alias(f"{c}_before") for c in flags])
-    )
-    in_piece = Window.partitionBy(*ids).orderBy(*order_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = pieces.withColumns({f"{c}_here": F.count_if(c).over(in_piece) for c in flags})
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    line = [*order_columns(order), F.asc("__tie")]
+    rows = df.withColumns({**flags, "__tie": F.xxhash64(*hashed)})
+    parts = steady(rows.repartitionByRange(F.asc_nulls_last(key), *line)).withColumn("__part", F.spark_partition_id())
+
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(F.col(key).alias("__key"), "__part").agg(*[F.count_if(c).alias(c) for c in flags])
+    before = sizes.select("__key", "__part", F.count("__part").over(earlier).alias("__n"), *[F.sum(c).over(earlier).alias(f"{c}_before") for c in flags])
+    before = F.broadcast(before.filter("__n > 0").withColumnRenamed("__part", "__at").drop("__n"))
+
+    within = Window.partitionBy(key, "__part").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = parts.withColumns({f"{c}_here": F.count_if(c).over(within) for c in flags})
+    numbered = numbered.join(before, numbered[key].eqNullSafe(before["__key"]) & (F.col("__part") == F.col("__at")), "left")
     numbers = {
-        name: F.when(F.col(c), F.concat(F.lit(prefix), (F.col(f"{c}_here") + F.col(f"{c}_before")).cast("string")))
+        name: F.when(F.col(c), F.concat(F.lit(prefix), (F.col(f"{c}_here") + F.coalesce(f"{c}_before", F.lit(0))).cast("string")))
         for name, c in zip(names, flags)
     }
-    scratch = [*cuts, *ids, *flags, *[f"{c}_here" for c in flags], *[f"{c}_before" for c in flags]]
-    return numbered.join(before, ids).withColumns(numbers).drop(*scratch)
+    scratch = ["__tie", "__part", "__key", "__at", *flags, *[f"{c}_{w}" for c in flags for w in ("here", "before")]]
+    return numbered.withColumns(numbers).drop(*scratch)
+
+
+def picks_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:
+    """One row per key with, for each rule, the first row that meets it as a struct (null if none does).
+
+    All rules share one aggregate, combined before the shuffle, where a
+    `first_per` for each would read and shuffle the table once per rule. Order
+    is ascending, missing values last; ties go by the remaining columns.
+    """
+    if any(not isinstance(o, str) or o.startswith("-") for o in order):
+        raise ValueError("picks_per orders by ascending columns only")
+    payload = [c for c in df.columns if c not in keys]
+    line = [*order, *[c for c in payload if c not in order]]
+    ranked = F.struct(*[part for c in line for part in (F.col(f"`{c}`").isNull().alias(f"__{c}"), F.col(f"`{c}`"))])
+    best = df.groupBy(*keys).agg(*[F.min(F.when(test, ranked)).alias(name) for name, test in rules.items()])
+    found = {name: F.when(F.col(name).isNotNull(), F.struct(*[F.col(name)[c].alias(c) for c in payload])) for name in rules}
+    return best.withColumns(found)
 
 
 CHUNK = 10_000

@@ -116,9 +116,8 @@ def numbered_cases(
     """
     placed = with_last_dose(positive_films(films), vaccination, "sample_date")
     matched = F.col("last_dose").isNotNull()
-    split = [F.col("sample_date"), F.col("episode"), F.col("first_entry")]
     numbers = {"case_number_all": None, "case_number": matched}
-    return number_within(placed, "subject", order, split, numbers, prefix).filter(matched)
+    return number_within(placed, "subject", order, numbers, prefix).filter(matched)
 
 
 def case_number_table(films: DataFrame, vaccination: DataFrame, digits: int = 1, prefix: str = "MLR-") -> DataFrame:

@@ -18,9 +18,10 @@ from studyloom.fixed_values import (
     WITHDRAWAL_STATUSES,
 )
 from studyloom.functions import has_text, not_in
-from studyloom.operators.cohort import counts_long, reason_index, with_first_reason, with_label
+from studyloom.operators.cohort import counts_long, reason_index, with_label
 from studyloom.operators.joins import join_ns
 from studyloom.operators.reshape import presence_wide
+from studyloom.session import steady
 
 
 def analysis_base(
@@ -42,14 +43,14 @@ def analysis_base(
     return join_ns(base, randomisation.select("subject", "rand"), "subject")
 
 
-def exclusion_reasons(strict: bool = False) -> list[tuple[str, Column]]:
-    """Reasons in the order they are tried.
+def exclusion_reasons(strict: bool = False, not_rand: Column | None = None) -> list[tuple[str, Column]]:
+    """Reasons in the order they are tried; `not_rand` says who is not randomised, those without `rand` if not given.
 
     Two reasons take an eligibility answer of Yes even from a randomised
     subject, because "and" binds before "or" in the rule; `strict` asks for
     "not randomised" on both halves.
     """
-    not_rand = F.col("rand").isNull()
+    not_rand = F.col("rand").isNull() if not_rand is None else not_rand
 
     def either(flag: str, pattern: str) -> Column:
         yes, said = F.col(flag) == "Yes", has_text("details", pattern)
@@ -134,15 +135,53 @@ def flow_counts(base: DataFrame, arm_threshold: int, strict: bool = False) -> Da
     return with_label(counts_long(per_subject, totals), COHORT_LABELS)
 
 
-def required_eos(base: DataFrame, strict: bool = False) -> DataFrame:
-    """Rows that need an end-of-study record, tagged before or after enrolment.
+def subject_profile(
+    answers: DataFrame, vaccination: DataFrame, participants: DataFrame, randomisation: DataFrame
+) -> DataFrame:
+    """What a subject's rows have in common: first_reason, enrolled and the participant columns.
 
-    A row that belongs to several of the cohorts is listed once for each.
+    `answers` holds subject, `if_not` and `if_rand`: the place of the first
+    reason a row meets if the subject is not randomised and if it is. Each
+    listing enters as a narrow aggregate per subject before the joins. A
+    subject listed several times as participant or randomised comes several
+    times.
     """
-    screened = base.filter(F.col("visit").isNotNull())
-    rows = with_first_reason(
-        screened, "subject", exclusion_reasons(strict), enrolled=F.bool_or(F.col("dose_1").isNotNull())
+    met = answers.groupBy("subject").agg(F.min("if_not").alias("if_not"), F.min("if_rand").alias("if_rand"))
+    rand = randomisation.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("rand_rows"), F.bool_or(F.col("rand").isNull()).alias("some_not"), F.bool_or(F.col("rand").isNotNull()).alias("some_rand")
     )
+    first_dose = next(visit for visit, column in DOSE_COLUMNS.items() if column == "dose_1")
+    dosed = vaccination.filter(F.col("visit") == first_dose).select("subject", F.lit(True).alias("enrolled")).distinct()
+    out = join_ns(join_ns(met, rand, "subject"), dosed, "subject")
+    # Without a randomisation row, or beside one without a number, the answers count as those of one not randomised.
+    some_not = F.coalesce("some_not", F.lit(True))
+    first = F.least(F.when(some_not, F.col("if_not")), F.when(F.col("some_rand"), F.col("if_rand")))
+    out = out.select("subject", first.alias("first_reason"), F.coalesce("enrolled", F.lit(False)).alias("enrolled"), F.coalesce("rand_rows", F.lit(1)).alias("rand_rows"))
+    out = join_ns(out, participants, "subject")
+    return out.withColumn("rand_rows", F.explode(F.sequence(F.lit(1).cast("long"), "rand_rows"))).drop("rand_rows")
+
+
+def required_eos(
+    eligibility: DataFrame,
+    vaccination: DataFrame,
+    participants: DataFrame,
+    randomisation: DataFrame,
+    test_subjects: Iterable[int] = (),
+    strict: bool = False,
+) -> DataFrame:
+    """Screening rows that need an end-of-study record, tagged before or after enrolment.
+
+    A row that belongs to several of the cohorts is listed once for each. The
+    rows and the profile of their subjects come from one narrow table that is
+    written once, so every listing is read once.
+    """
+    screened = eligibility.filter(F.col("visit").isNotNull())
+    if test_subjects := list(test_subjects):
+        screened = screened.filter(not_in("subject", test_subjects))
+    places = {name: reason_index(exclusion_reasons(strict, F.lit(free))) for name, free in (("if_not", True), ("if_rand", False))}
+    answers = steady(screened.select("subject", "other", *[place.alias(name) for name, place in places.items()]))
+    profile = subject_profile(answers, vaccination, participants.select("subject", "group", "current_status", "site"), randomisation)
+    rows = join_ns(answers.select("subject", "other"), profile, "subject", "inner")
     gone = F.col("first_reason").isNotNull()
     status = F.col("current_status")
     tags = F.array_compact(

@@ -21,7 +21,7 @@ from studyloom.fixed_values import (
 from studyloom.functions import months_complete, recode, to_number
 from studyloom.operators.cohort import counts_long
 from studyloom.operators.crosstab import add_total_col, add_total_row, count_by, count_where
-from studyloom.operators.joins import anti, inline_table, join_agg, join_ns
+from studyloom.operators.joins import anti, band_join, inline_table, join_agg, join_ns
 from studyloom.operators.reshape import Order, first_per, union_fill, union_same
 
 # Sample flag column of each sample type.
@@ -217,6 +217,10 @@ def _bands(df: DataFrame, ranges: Sequence[tuple[str, int, int, float, float]] |
     return inline_table(df, rows, "r_test string, age_lo int, age_hi int, lo double, hi double, subject_text string")
 
 
+def _mean_width(bands: Sequence[tuple[int, int]]) -> int:
+    return max(1, round(sum(b - a + 1 for a, b in bands) / max(1, len(bands))))
+
+
 def range_check(
     labs: DataFrame,
     births: DataFrame,
@@ -229,16 +233,14 @@ def range_check(
     """Results to review: outside the age band's range, or incompletely assessed.
 
     Of several birth dates of a subject the earliest counts. The range list, rows
-    or a table (test, age_lo, age_hi, lo, hi), is joined on the test with the age
-    inside the band, so a result meets at most one row of it.
+    or a table (test, age_lo, age_hi, lo, hi), may have any length: bands are filed
+    by test and cell of months, and a result meets those of its cell only.
     """
     one_each = first_per(labs, ["subject", "visit", "test"], order)
     dated = join_agg(one_each, births, "subject", {"birth_date": F.min("birth_date")})
     aged = dated.withColumn("age_months", months_complete("birth_date", "first_entry"))
-    bands = _bands(aged, ranges)
-    banded = aged.join(
-        bands, (F.col("test") == F.col("r_test")) & F.col("age_months").between(F.col("age_lo"), F.col("age_hi")), "left"
-    )
+    width = None if isinstance(ranges, DataFrame) else _mean_width([(a, b) for _, a, b, *_ in ranges])
+    banded = band_join(aged, _bands(aged, ranges), [("test", "r_test")], "age_months", "age_lo", "age_hi", width)
     no_range = F.col("range_flag").isNull()
     outside = ~F.col("result").between(F.col("lo"), F.col("hi")) & no_range & F.col("no_result_reason").isNull()
     text = F.coalesce(

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.functions import not_in
 from studyloom.operators.joins import join_ns
-from studyloom.operators.reshape import Order, first_per
+from studyloom.operators.reshape import Order, first_per, picks_per
+
+ENTRY_ORDER = ("visit", "entered_by", "entry_status")
+
+
+def _entered_forms(date_of_visit: DataFrame, started: DataFrame) -> DataFrame:
+    """Visits with the first form of each by staff, one row per visit and entry day."""
+    keys = ["subject", "visit", "visit_date"]
+    forms = first_per(started.select(*keys, "entry_status", "entered_by"), keys, ["entered_by", "entry_status"])
+    visits = date_of_visit.select(*keys, F.col("first_entry").alias("entry_date")).distinct()
+    return join_ns(visits, forms, keys, "inner").select("subject", "entry_date", "visit", "entry_status", "entered_by")
 
 
 def visit_entries(date_of_visit: DataFrame, visit_forms: DataFrame, skip_visits: Sequence[str] = ()) -> DataFrame:
@@ -22,15 +32,17 @@ def visit_entries(date_of_visit: DataFrame, visit_forms: DataFrame, skip_visits:
     started = visit_forms.filter(F.col("entry_status") != "Not Started")
     if skip_visits:
         started = started.filter(not_in("visit", skip_visits))
-    keys = ["subject", "visit", "visit_date"]
-    forms = first_per(started.select(*keys, "entry_status", "entered_by"), keys, ["entered_by", "entry_status"])
-    visits = date_of_visit.select(*keys, F.col("first_entry").alias("entry_date")).distinct()
-    entries = join_ns(visits, forms, keys, "inner")
-    return first_per(
-        entries.select("subject", "entry_date", "visit", "entry_status", "entered_by"),
-        ["subject", "entry_date"],
-        ["visit", "entered_by", "entry_status"],
-    )
+    entries = _entered_forms(date_of_visit, started)
+    return first_per(entries, ["subject", "entry_date"], ENTRY_ORDER)
+
+
+def visit_entries_by_rule(
+    date_of_visit: DataFrame, visit_forms: DataFrame, skips: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """One row per subject and entry day with, for each rule, what `visit_entries` picks when that rule's visits are skipped."""
+    started = visit_forms.filter(F.col("entry_status") != "Not Started")
+    entries = _entered_forms(date_of_visit, started)
+    return picks_per(entries, ["subject", "entry_date"], ENTRY_ORDER, {rule: not_in("visit", skip) for rule, skip in skips.items()})
 
 
 def link_records(

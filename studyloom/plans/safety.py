@@ -12,8 +12,8 @@ from studyloom.fixed_values import CHRONIC_CODES, CLOSED_OUTCOMES, GRADES, RECOV
 from studyloom.functions import either_text, null_if_zero, with_level
 from studyloom.operators.crosstab import add_total_row, count_by, count_where, crosstab
 from studyloom.operators.joins import join_ns, split_by_pattern
-from studyloom.operators.reshape import Order, arrange, union_fill
-from studyloom.plans.records import link_records
+from studyloom.operators.reshape import Order, arrange, picks_per, union_fill
+from studyloom.plans.records import link_records, visit_entries_by_rule
 
 AE_ORDER: tuple[Order, ...] = (
     "onset", "first_entry", "severity", "outcome", "resolution", "term_code", "high_term", "last_entry",
@@ -114,9 +114,41 @@ def grade_three_counts(linked: DataFrame, by: str) -> DataFrame:
     return arrange(table, F.coalesce(F.col(by) == "Total", F.lit(False)), "-count", by)
 
 
+LINKED_COLUMNS = ["subject", "ae_code", "term_code", "onset", "resolution", "outcome", "first_entry", "last_entry"]
+
+
+def listed_and_every(
+    events: DataFrame,
+    date_of_visit: DataFrame,
+    visit_forms: DataFrame,
+    skip_visits: Sequence[str] = (),
+    chronic: Sequence[int] = CHRONIC_CODES,
+    every_chronic: Sequence[int] | None = None,
+    order: Sequence[str] = AE_ORDER,
+) -> DataFrame:
+    """Events picked and linked under two rules in one pass, as rows tagged by `rule`.
+
+    `listed` is what `link_unsolicited` gives for dated events and visits that
+    are not skipped, `every` what it gives for all events and all visits.
+    """
+    fields = [c for c in events.columns if c in LINKED_COLUMNS or c in order]
+    picks = picks_per(events.select(*fields), ["subject", "ae_code"], order, {"listed": F.col("onset").isNotNull(), "every": F.lit(True)})
+    both = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("event")) for rule in ("listed", "every")])
+    picked = picks.select("subject", "ae_code", F.explode(both).alias("p")).filter(F.col("p.event").isNotNull())
+    picked = picked.select("subject", "ae_code", "p.rule", "p.event.*")
+    entries = visit_entries_by_rule(date_of_visit, visit_forms, {"listed": skip_visits, "every": ()})
+    linked = join_ns(picked, entries.withColumnsRenamed({"listed": "__listed", "every": "__every"}), ["subject", ("first_entry", "entry_date")])
+    own = F.col("rule") == "listed"
+    codes = {True: list(chronic), False: list(chronic if every_chronic is None else every_chronic)}
+    is_chronic = F.when(own, F.col("term_code").isin(codes[True])).otherwise(F.col("term_code").isin(codes[False]))
+    entry = F.when(own, F.col("__listed")).otherwise(F.col("__every"))
+    return linked.withColumns(
+        {"linked_visit": entry["visit"], "entered_by": F.when(is_chronic, F.lit("Chronic")).otherwise(entry["entered_by"])}
+    ).drop("__listed", "__every")
+
+
 def closure_summary(
-    opened: DataFrame,
-    linked_all: DataFrame,
+    both: DataFrame,
     as_of: date,
     roster: Sequence[str],
     pending: str = "Pending Link",
@@ -125,19 +157,19 @@ def closure_summary(
 ) -> DataFrame:
     """Open, long-open and recently closed events per owner, totals last.
 
-    The owners are those with open events. `opened` comes from `still_open`,
-    `linked_all` from `link_unsolicited` over all visits and undated events.
+    `both` comes from `listed_and_every`: open events are counted among the
+    listed ones, closed ones among all. The owners are those with open events.
     """
     owners = [*roster, "Chronic"]
-    owner = F.when(F.col("entered_by").isin(owners), F.col("entered_by")).otherwise(F.lit(pending))
-    tests = {"open": F.lit(True), "open_long": F.datediff(F.lit(as_of), "onset") > open_days}
-    left = count_where(opened.withColumn("owner", owner), ["owner"], tests)
-    left = left.withColumn("open_long", null_if_zero("open_long"))
-    just_closed = linked_all.filter(
-        F.col("resolution").isNotNull() & (F.datediff(F.lit(as_of), "last_entry") <= closed_days)
-    )
-    closed = count_by(just_closed, "entered_by", name="closed")
-    table = join_ns(left, closed, [("owner", "entered_by")])
+    listed = F.col("rule") == "listed"
+    opened = F.coalesce(listed & ~F.col("outcome").isin(CLOSED_OUTCOMES), F.lit(False))
+    recent = F.datediff(F.lit(as_of), "last_entry") <= closed_days
+    closed = F.coalesce(~listed & F.col("resolution").isNotNull() & recent, F.lit(False))
+    owner = F.when(listed & ~F.coalesce(F.col("entered_by").isin(owners), F.lit(False)), F.lit(pending)).otherwise(F.col("entered_by"))
+    long_open = opened & (F.datediff(F.lit(as_of), "onset") > open_days)
+    rows = both.filter(opened | closed).withColumn("owner", owner)
+    table = count_where(rows, ["owner"], {"open": opened, "open_long": long_open, "closed": closed}).filter("open > 0")
+    table = table.withColumns({c: null_if_zero(c) for c in ("open_long", "closed")})
     ranked = with_level(table.withColumn("__owner", F.col("owner")), "__owner", [*sorted(roster), pending, "Chronic"])
     total = add_total_row(ranked.drop("__owner"), "owner", ["open", "open_long", "closed"], order=["__owner_rank"])
     return total.drop("__owner_rank")

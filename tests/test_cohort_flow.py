@@ -7,7 +7,7 @@ FLAGS = "prev_mal_vac string, congenital_def string, malnourished string, chroni
 
 
 @pytest.fixture(scope="module")
-def base(frame):
+def listings(frame):
     def row(subject, visit="Screening", **flags):
         names = [p.split()[0] for p in FLAGS.split(", ")]
         return (subject, visit, *[flags.get(n) for n in names])
@@ -44,7 +44,12 @@ def base(frame):
     randomisation = frame(
         "subject long, rand string", (2, "R2"), (3, "R3"), (4, "R4"), (6, "R6"), (10, "R10"), (11, "R11"), (12, "R12"), (13, None)
     )
-    return cohort_flow.analysis_base(eligibility, vaccination, participants, randomisation, [999])
+    return eligibility, vaccination, participants, randomisation
+
+
+@pytest.fixture(scope="module")
+def base(listings):
+    return cohort_flow.analysis_base(*listings, [999])
 
 
 def flow(base, **kwargs):
@@ -79,8 +84,8 @@ def test_text(base):
     assert len(text) == 57
 
 
-def test_required_end_of_study(base, frame):
-    required = cohort_flow.required_eos(base)
+def test_required_end_of_study(listings, frame):
+    required = cohort_flow.required_eos(*listings, [999])
     got = rows(required, "subject", "current_status", "time")
     assert got.count((1, "Excluded before rand", "After Enr")) == 3
     assert got.count((1, "Consent withdrawal", "After Enr")) == 3
@@ -93,3 +98,30 @@ def test_required_end_of_study(base, frame):
     done = frame("subject long, completion_date date", (1, "2021-05-01"), (77, "2021-05-01"))
     assert {r.subject for r in status.eos_pending(required, done).collect()} == {g[0] for g in got} - {1}
     assert rows(status.eos_not_required(done, required), "subject") == [(77,)]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_required_rows_are_those_of_the_analysis_base(listings, frame, strict):
+    """Also where subjects are listed several times, without a number and with one, or not at all."""
+    eligibility, vaccination, participants, randomisation = listings
+    blank = (None,) * (len(eligibility.columns) - 2)
+    eligibility = eligibility.union(frame(eligibility.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), (None, "Screening", "Yes", *blank[1:]), (14, "Screening", *blank)))
+    randomisation = randomisation.union(frame("subject long, rand string", (2, "R2b"), (1, None), (1, "R1"), (5, "R5"), (5, None), (None, "R0")))
+    participants = participants.union(participants.filter("subject in (1, 11)"))
+    base = cohort_flow.analysis_base(eligibility, vaccination, participants, randomisation, [999]).filter("visit is not null")
+    reasons = cohort_flow.exclusion_reasons(strict)
+    first, dosed = {}, set()
+    from studyloom.operators.cohort import reason_index
+
+    placed = base.withColumn("i", reason_index(reasons)).collect()
+    for r in placed:
+        first[r.subject] = min([x for x in (first.get(r.subject), r.i) if x is not None], default=None)
+        dosed |= {r.subject} if r.dose_1 else set()
+    expected = []
+    for r in placed:
+        tags = ["Excluded before rand"] if first[r.subject] is not None else [] if r.subject in dosed else ["Randomized not enrolled"]
+        tags += [r.current_status] if r.current_status in ("Loss to follow up", "Completed follow up", "Consent withdrawal") else []
+        expected += [(r.subject, r.group, r.other, t, r.site) for t in tags]
+    got = cohort_flow.required_eos(eligibility, vaccination, participants, randomisation, [999], strict)
+    key = lambda r: repr(r)
+    assert sorted(map(tuple, got.select("subject", "group", "other", "current_status", "site").collect()), key=key) == sorted(expected, key=key)

@@ -89,3 +89,35 @@ def test_total_row_keeps_repeated_labels(frame):
     df = frame("k string, n long", ("a", 1), ("a", 2), ("Total", 4))
     out = op.add_total_row(df, "k", ["n"], order=[F.desc("n")])
     assert [tuple(r) for r in out.collect()] == [("Total", 4), ("a", 2), ("a", 1), ("Total", 7)]
+
+
+def test_listed_values_may_have_the_names_of_the_table(frame):
+    """A value named Other, NA or Total is counted under its own column, and the cells add up."""
+    values = ["Other", "X", "Y", "NA", "Total", None, None, "X"]
+    df = frame("r string, c string", *[("a", v) for v in values])
+    out = op.crosstab(df, "r", "c", ["Other"])
+    assert out.columns == ["r", "Other", "Other*", "NA", "Total"]
+    assert rows(out)[1] == ("a", 1, 5, 2, 8)
+    out = op.crosstab(df, "r", "c", ["NA", None, "Total", "Other", "X"])
+    assert out.columns == ["r", "NA", "NA*", "Total", "Other", "X", "Other*", "Total*"]
+    assert rows(out)[1] == ("a", 1, 2, 1, 1, 2, 1, 8)
+    out = op.crosstab_pct(df, "r", "c", ["Total"])
+    assert out.columns == ["r", "Total", "Other", "NA", "Total*"] and out.first()["Total*"] == "100% (8)"
+
+
+def test_crosstab_long_needs_no_list(facts):
+    out = op.crosstab_long(facts, "r", "c")
+    assert rows(out.filter("row_total and col_total"), "n") == [(7,)]
+    assert rows(out.filter("not row_total and not col_total"), "r", "c", "n") == [
+        ("a", "x", 2), ("a", "y", 1), ("b", "x", 2), ("b", None, 1), (None, "y", 1),
+    ]
+    assert rows(out.filter("row_total and not col_total"), "c", "n") == [("x", 4), ("y", 2), (None, 1)]
+    assert rows(out.filter("col_total and not row_total"), "r", "n") == [("a", 3), ("b", 3), (None, 1)]
+    shares = op.shares_long(out, "r", "c")
+    assert shares.count() == out.count()
+    assert rows(shares.filter("col_total"), "r", "percentage") == [("a", 43), ("b", 43), (None, 100), (None, 14)]
+    assert rows(shares.filter("c = 'y'"), "r", "percentage") == [("a", 50), (None, 100), (None, 50)]
+
+
+def test_crosstab_long_of_an_empty_table(facts):
+    assert [r.n for r in op.crosstab_long(facts.limit(0), "r", "c").collect()] in ([], [None])

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -109,3 +111,17 @@ def test_split_by_pattern(frame):
     out = op.split_by_pattern(df, "owner", tests)
     assert out.columns == ["i", "team"]
     assert rows(out) == [(1, "a"), (2, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("width", [None, 1, 7, 1000])
+def test_band_join_is_the_join_with_between(frame, width):
+    rng = random.Random(3)
+    points = frame("i int, k string, x int", *[(i, rng.choice(["a", "b", None]), rng.choice([None, *range(-40, 60)])) for i in range(200)])
+    bands = [(rng.choice(["a", "b", None]), low, low + rng.choice([-1, 0, 1, 5, 30, 90])) for low in range(-50, 60, 3)]
+    bands = frame("kk string, lo int, hi int, name string", *[(*b, f"b{n}") for n, b in enumerate(bands)], ("a", None, 3, "open"), ("a", 3, None, "open"))
+    both = (points.k == bands.kk) & points.x.between(bands.lo, bands.hi)
+    for how in ("left", "inner"):
+        got = op.band_join(points, bands, [("k", "kk")], "x", "lo", "hi", width, how)
+        assert rows(got, "i", "name") == rows(points.join(bands, both, how), "i", "name")
+        assert got.columns == ["i", "k", "x", "lo", "hi", "name"]
+    assert op.band_join(points, bands.limit(0), [("k", "kk")], "x", "lo", "hi").count() == 200

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def test_number_within_equals_plain_numbering(frame):
     for seed in range(3):
         data, df = _cases(frame, seed)
         numbers = {"every": None, "good": F.col("ok")}
-        out = op.number_within(df, "k", ["d", "e", "i"], [F.col("d"), F.col("e")], numbers, "N-")
+        out = op.number_within(df, "k", ["d", "e", "i"], numbers, "N-")
         got = {r.i: (r.every, r.good) for r in out.collect()}
         assert len(got) == len(data)
         last = lambda v: (v is None, v or "")
@@ -61,7 +62,7 @@ def test_number_within_equals_plain_numbering(frame):
 
 def test_number_counts_equals_counting_numbers(frame, spark):
     _, df = _cases(frame, 7)
-    numbered = op.number_within(df, "k", ["i"], [F.col("i")], {"number": None})
+    numbered = op.number_within(df, "k", ["i"], {"number": None})
     expected = rows(numbered.groupBy(F.col("number").cast("long").alias("number")).count())
     assert rows(op.number_counts(df, "k")) == expected
     halves = df.groupBy("k", "d").agg(F.count("*").alias("w"))
@@ -85,3 +86,24 @@ def test_unions(frame):
 def test_facets_count_missing_values(frame):
     df = frame("a string, b int", ("x", 1), ("x", None), (None, None))
     assert rows(op.facets(df, ["a", "b"])) == [("a", "x", 2), ("a", None, 1), ("b", "1", 1), ("b", None, 2)]
+
+
+def test_picks_per_equals_a_first_row_for_each_rule(frame):
+    _, df = _cases(frame, 5)
+    rules = {"every": F.lit(True), "good": F.col("ok"), "never": F.lit(False)}
+    picks = op.picks_per(df, ["k"], ["d", "e", "i"], rules)
+    assert picks.columns == ["k", "every", "good", "never"]
+    for rule, test in rules.items():
+        expected = op.first_per(df.filter(test), ["k"], ["d", "e", "i"])
+        assert rows(picks.filter(f"{rule} is not null").select("k", f"{rule}.*"), "k", "i", "d", "e", "ok") == rows(expected, "k", "i", "d", "e", "ok")
+    with pytest.raises(ValueError, match="ascending"):
+        op.picks_per(df, ["k"], ["-d"], rules)
+
+
+def test_numbers_of_an_empty_table_and_of_ties(frame):
+    _, df = _cases(frame, 6)
+    assert op.number_within(df.limit(0), "k", ["i"], {"number": None}).count() == 0
+    tied = op.number_within(df.withColumn("m", F.create_map("i", "k")), "k", ["d"], {"number": None})
+    assert "m" in tied.columns
+    for key, numbers in tied.groupBy("k").agg(F.collect_list(F.col("number").cast("int"))).collect():
+        assert sorted(numbers) == list(range(1, len(numbers) + 1))

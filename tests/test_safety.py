@@ -2,6 +2,7 @@ from datetime import date
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from studyloom.plans import records, safety
 
@@ -89,8 +90,12 @@ def test_lists(linked):
 
 
 def test_closure(linked, events, visits, forms):
+    both = safety.listed_and_every(events, visits, forms, ["Day 14"], [99], [], ORDER)
+    shown = ["subject", "ae_code", "first_entry", "outcome", "linked_visit", "entered_by"]
     everywhere = safety.link_unsolicited(events, records.visit_entries(visits, forms), AS_OF, [], ORDER, dated_only=False)
-    out = safety.closure_summary(safety.still_open(linked), everywhere, AS_OF, ["Ann", "Dee"])
+    for rule, expected in (("listed", linked), ("every", everywhere)):
+        assert rows(both.filter(F.col("rule") == rule), *shown) == rows(expected, *shown)
+    out = safety.closure_summary(both, AS_OF, ["Ann", "Dee"])
     # Closed events of owners without open ones are left out, here those entered by Dee.
     assert [tuple(r) for r in out.collect()] == [
         ("Ann", 1, 1, None), ("Pending Link", 1, 1, None), ("Chronic", 2, 1, None), ("Total", 4, 3, 0),

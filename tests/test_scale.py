@@ -4,11 +4,13 @@ import os
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from studyloom import operators as op
 from studyloom.plans import cohort_flow
 from studyloom.session import apply_settings
+from workload import registry
 from workload.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -130,16 +132,20 @@ def test_waterfall_counts_need_one_shuffle_by_subject(skewed):
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
 
 
-def test_numbering_does_not_gather_a_hot_key(skewed):
-    cases = op.number_within(
-        skewed, "subject", ["v"], [F.floor(F.col("v") / 1000)], {"number": None}
+def test_numbering_spreads_one_key_over_all_partitions(spark, skewed, conf):
+    conf(spark__sql__execution__rangeExchange__sampleSizePerPartition="1000")
+    # A million rows of one subject on one day: nothing but the last order column tells them apart.
+    rows = spark.range(0, 1_000_000, 1, 8).select(
+        F.lit(7).alias("subject"), F.lit("2021-01-05").cast("date").alias("day"), F.pmod(F.col("id") * 7919, F.lit(1_000_003)).alias("v")
     )
-    text = plan(cases)
-    # The window over rows is partitioned by key and piece, and the join after it reuses that.
-    assert text.count("SortMergeJoin") == 1
-    assert re.search(r"count\(.*windowspecdefinition\(__p0#\d+L?, __p1#\d+, __p2#\d+L?, __p3", text)
-    numbers = {r.subject: r.n for r in cases.groupBy("subject").agg(F.max(F.col("number").cast("long")).alias("n")).collect()}
-    assert numbers[7] == skewed.filter("subject = 7").count()
+    numbered = op.number_within(rows, "subject", ["day", "v"], {"number": None})
+    text = plan(numbered)
+    # Neither the numbering nor the offsets bring the rows of the subject together.
+    assert re.search(r"count\(.*windowspecdefinition\(subject#\d+, __part#\d+", text) and "BroadcastHashJoin" in text
+    sizes = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 400_000
+    wrong = numbered.withColumn("plain", F.dense_rank().over(Window.partitionBy("subject").orderBy("v"))).filter("plain <> cast(number as int)")
+    assert wrong.isEmpty()
 
 
 def test_share_shuffles_its_input_once(skewed):
@@ -154,3 +160,42 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "o_totalprice" not in text and "c_acctbal" not in text
     text = plan(QUERIES["lab_extract"](spark, FOLDER))
     assert "EqualTo(l_linestatus,F)" in text and "l_orderkey" not in text
+
+
+def test_long_band_lists_need_no_broadcast(spark, skewed):
+    """A hundred thousand bands: an equi join on key and cell, split on the hot key, and no row meets all bands of its key."""
+    bands = spark.range(100_000).select((F.col("id") % 500).alias("subject_"), (F.col("id") * 3).alias("low"), (F.col("id") * 3 + 2).alias("high"))
+    joined = op.band_join(skewed.select("subject", "v"), bands, [("subject", "subject_")], "v")
+    text = final_plan(joined).split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in text and "Broadcast" not in text and "NestedLoop" not in text
+    assert re.search(r"SortMergeJoin[^\n]*__cell", text)
+
+
+STUDY = ["eligibility", "vaccination", "participants", "randomisation"]
+
+
+@pytest.mark.parametrize(
+    ("query", "listings"),
+    [
+        ("required_eos", STUDY),
+        ("eos_pending", [*STUDY, "end_of_study"]),
+        ("eos_not_required", [*STUDY, "end_of_study"]),
+        ("closure_summary", ["unsolicited_ae", "clinic_visits", "clinic_forms"]),
+    ],
+)
+def test_each_listing_is_read_once(spark, monkeypatch, query, listings):
+    """Listings are marked as they are handed out; each mark occurs once in all that runs."""
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test data")
+
+    class Marked(registry.Listings):
+        def __getattr__(self, name):
+            listing = super().__getattr__(name)
+            return listing.observe(f"mark_{name}", F.count(F.lit(1)).alias("n")) if name in listings else listing
+
+    monkeypatch.setattr(registry, "Listings", Marked)
+    ran = []
+    kept = cohort_flow.steady
+    monkeypatch.setattr(cohort_flow, "steady", lambda df: ran.append(plan(df)) or kept(df))
+    ran.append(plan(QUERIES[query](spark, FOLDER)))
+    assert sorted(re.findall(r"CollectMetrics mark_(\w+)", "".join(ran))) == sorted(listings)

@@ -44,6 +44,10 @@ def quoted(values) -> str:
 # ------------------------------------------------------- participant flow
 
 
+def _required(L):
+    return cohort_flow.required_eos(L.eligibility, L.vaccination, L.participants, L.randomisation)
+
+
 def _base(L):
     return cohort_flow.analysis_base(L.eligibility, L.vaccination, L.participants, L.randomisation)
 
@@ -166,7 +170,7 @@ _REQUIRED = (
 
 @query("required_eos", _REQUIRED + "SELECT * FROM req")
 def required_eos(L):
-    return cohort_flow.required_eos(_base(L))
+    return _required(L)
 
 
 @query(
@@ -177,19 +181,19 @@ def required_eos(L):
         nullif(count(*) FILTER (WHERE time = 'After Enr'), 0) AS after_enr, count(*) AS total FROM t GROUP BY 1""",
 )
 def required_eos_summary(L):
-    return status.required_eos_summary(cohort_flow.required_eos(_base(L)))
+    return status.required_eos_summary(_required(L))
 
 
 @query("eos_pending", _REQUIRED + "SELECT * FROM req WHERE subject NOT IN (SELECT subject FROM {end_of_study})")
 def eos_pending(L):
-    return status.eos_pending(cohort_flow.required_eos(_base(L)), L.end_of_study)
+    return status.eos_pending(_required(L), L.end_of_study)
 
 
 @query(
     "eos_not_required", _REQUIRED + "SELECT * FROM {end_of_study} WHERE subject NOT IN (SELECT subject FROM req)"
 )
 def eos_not_required(L):
-    return status.eos_not_required(L.end_of_study, cohort_flow.required_eos(_base(L)))
+    return status.eos_not_required(L.end_of_study, _required(L))
 
 
 # ----------------------------------------------------------------- status
@@ -905,12 +909,10 @@ def grade_three_by_term(L):
         coalesce(sum(closed), 0)::BIGINT FROM j""",
 )
 def closure_summary(L):
-    opened = safety.still_open(_linked(L))
-    everywhere = records.visit_entries(L.clinic_visits, L.clinic_forms)
-    linked_all = safety.link_unsolicited(
-        L.unsolicited_ae, everywhere, EVENTS_AS_OF, [10040644], ORDER, dated_only=False
+    both = safety.listed_and_every(
+        L.unsolicited_ae, L.clinic_visits, L.clinic_forms, SKIPPED, CHRONIC, [10040644], ORDER
     )
-    return safety.closure_summary(opened, linked_all, EVENTS_AS_OF, ["Staff 1", "Staff 2", "Staff 3"])
+    return safety.closure_summary(both, EVENTS_AS_OF, ["Staff 1", "Staff 2", "Staff 3"])
 
 
 # ------------------------------------------------------------------ cases

@@ -498,9 +498,8 @@ _NUMBERED = """
 
 def _numbered(L):
     rows = L.events.filter(F.col("event_type") == "purchase")
-    split = [F.to_date("ts"), F.hour("ts")]
     numbers = {"case_number": None}
-    return op.number_within(rows, "user_id", ["ts", "event_id"], split, numbers, "MLR-").select(
+    return op.number_within(rows, "user_id", ["ts", "event_id"], numbers, "MLR-").select(
         "event_id", "user_id", "case_number"
     )
 
@@ -841,3 +840,70 @@ def not_all_null(L):
 def dose_share_table(L):
     names = {"1-URGENT": "Dose 1", "2-HIGH": "Dose 2", "3-MEDIUM": "Dose 3", "4-NOT SPECIFIED": "Booster"}
     return share_table(L.orders.withColumn("dose", fn.recode("o_orderpriority", names)), "dose", 0)
+
+
+# ------------------------------------------- categories from the data, bands, several picks
+
+# Priorities renamed so that values look like the names a table gives itself; one is missing.
+_MARKED = """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Total' WHEN '2-HIGH' THEN 'Other' WHEN '3-MEDIUM' THEN 'NA'
+        WHEN '5-LOW' THEN NULL ELSE o_orderpriority END AS grade, nullif(o_orderstatus, 'P') AS status FROM orders"""
+
+
+def _marked(L):
+    names = {"1-URGENT": "Total", "2-HIGH": "Other", "3-MEDIUM": "NA", "5-LOW": None}
+    grade = F.col("o_orderpriority")
+    for value, name in names.items():
+        grade = F.when(F.col("o_orderpriority") == value, F.lit(name)).otherwise(grade)
+    return L.orders.select(grade.alias("grade"), F.nullif("o_orderstatus", F.lit("P")).alias("status"))
+
+
+@query(
+    "crosstab_long",
+    f"""WITH m AS ({_MARKED}), t AS (SELECT grade, status, grouping(grade) = 1 AS row_total, grouping(status) = 1 AS col_total,
+        count(*) AS n FROM m GROUP BY CUBE (grade, status)),
+    w AS (SELECT status, col_total, n AS whole FROM t WHERE row_total)
+    SELECT grade, t.status, row_total, t.col_total, n, CAST(round(n * 100 / whole) AS BIGINT) AS percentage FROM t
+    JOIN w ON t.status IS NOT DISTINCT FROM w.status AND t.col_total = w.col_total""",
+)
+def crosstab_long(L):
+    return op.shares_long(op.crosstab_long(_marked(L), "grade", "status"), "grade", "status")
+
+
+@query(
+    "crosstab_taken_names",
+    f"""WITH m AS ({_MARKED}), t AS (SELECT coalesce(status, 'none') AS status, grade FROM m UNION ALL SELECT 'Total', grade FROM m),
+    c AS (SELECT status, count(*) FILTER (WHERE grade = 'Other') AS a, count(*) FILTER (WHERE grade = 'NA') AS b,
+        count(*) FILTER (WHERE grade = 'Total') AS c, count(*) FILTER (WHERE grade NOT IN ('Other', 'NA', 'Total')) AS d,
+        count(*) FILTER (WHERE grade IS NULL) AS e, count(*) AS n FROM t GROUP BY 1)
+    SELECT status, a AS "Other", b AS "NA", c AS "Total", d AS "Other*", e AS "NA*", n AS "Total*" FROM c""",
+)
+def crosstab_taken_names(L):
+    rows = _marked(L).withColumn("status", F.coalesce("status", F.lit("none")))
+    return op.crosstab(rows, "status", "grade", ["Other", "NA", "Total"])
+
+
+@query(
+    "band_join",
+    """WITH b AS (SELECT s_nationkey, s_suppkey, s_suppkey * 7 % 300 AS low, s_suppkey * 7 % 300 + s_suppkey % 40 - 2 AS high FROM supplier),
+    p AS (SELECT c_custkey, c_nationkey, nullif(c_custkey % 350, 11) AS place FROM customer)
+    SELECT c_custkey, place, s_suppkey, low, high FROM p LEFT JOIN b ON c_nationkey = s_nationkey AND place BETWEEN low AND high""",
+)
+def band_join(L):
+    low = F.col("s_suppkey") * 7 % 300
+    bands = L.supplier.select("s_nationkey", "s_suppkey", low.alias("low"), (low + F.col("s_suppkey") % 40 - 2).alias("high"))
+    points = L.customer.select("c_custkey", "c_nationkey", F.nullif(F.col("c_custkey") % 350, F.lit(11)).alias("place"))
+    return op.band_join(points, bands, [("c_nationkey", "s_nationkey")], "place").select("c_custkey", "place", "s_suppkey", "low", "high")
+
+
+@query(
+    "picks_per_rule",
+    """WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    p AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+        WHERE event_type = 'purchase')
+    SELECT r.user_id, r.event_id AS first_event, p.event_id AS first_purchase, p.ts AS purchase_ts
+    FROM r LEFT JOIN p ON r.user_id IS NOT DISTINCT FROM p.user_id AND p.k = 1 WHERE r.k = 1""",
+)
+def picks_per_rule(L):
+    rules = {"every": F.lit(True), "bought": F.col("event_type") == "purchase"}
+    picks = op.picks_per(L.events.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], rules)
+    return picks.select("user_id", F.col("every.event_id").alias("first_event"), F.col("bought.event_id").alias("first_purchase"), F.col("bought.ts").alias("purchase_ts"))
