@@ -84,12 +84,12 @@ GRADES = ["Grade 1", "Grade 2", "Grade 3"]
 COHORT_LABELS = {
     "full": "Screened",
     "screened": "screened",
-    "prevc_mal_vac": "Previous Malaria Vaccination",
-    "congenital_def": " Has Major congenital defects",
-    "malnourished": "Malnourished and requiring admission",
-    "chronic_illness": "Clinically significant Acute illnesses",
-    "vac_1mo": "Received a Vaccine within 30 days",
-    "disorder": "Significant Disease Disorder",
+    "earlier_vaccine": "Previous Malaria Vaccination",
+    "birth_defect": " Has Major congenital defects",
+    "underweight": "Malnourished and requiring admission",
+    "long_illness": "Clinically significant Acute illnesses",
+    "recent_vaccine": "Received a Vaccine within 30 days",
+    "immune_condition": "Significant Disease Disorder",
     "closure": "Closure of enrolment",
     "early_withdrawal": "Consent withdrawal pre-randomization",
     "randomized": "Randomized",

@@ -57,12 +57,12 @@ def exclusion_reasons(strict: bool = False, not_rand: Column | None = None) -> l
         return (yes | said) & not_rand if strict else yes | (said & not_rand)
 
     return [
-        ("prevc_mal_vac", (F.col("prev_mal_vac") == "Yes") & not_rand),
-        ("congenital_def", (F.col("congenital_def") == "Yes") & not_rand),
-        ("malnourished", (F.col("malnourished") == "Yes") & not_rand),
-        ("chronic_illness", (F.col("chronic_illness") == "Yes") & not_rand),
-        ("vac_1mo", either("vac_1mo", "vaccine")),
-        ("disorder", either("disorder", "HIV")),
+        ("earlier_vaccine", (F.col("earlier_vaccine") == "Yes") & not_rand),
+        ("birth_defect", (F.col("birth_defect") == "Yes") & not_rand),
+        ("underweight", (F.col("underweight") == "Yes") & not_rand),
+        ("long_illness", (F.col("long_illness") == "Yes") & not_rand),
+        ("recent_vaccine", either("recent_vaccine", "vaccine")),
+        ("immune_condition", either("immune_condition", "HIV")),
         ("closure", (F.col("other") == "Closure of enrolment") & not_rand),
         ("early_withdrawal", (F.col("other") == "Consent withdrawal") & not_rand),
     ]

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from studyloom.fixed_values import POST_DOSE_CODES, POST_DOSE_LABELS
 from studyloom.functions import blank_to_null, not_in, parse_date, recode, replace_first, to_number, with_level
 from studyloom.operators.reshape import first_per
+from studyloom.sources.quoted import read_quoted_csv
 
 # Date layouts of the extracts.
 ISO = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"]
@@ -62,6 +63,8 @@ class Listing:
     # Columns that must have a value, and columns limited to some values.
     required: tuple[str, ...] = ()
     keep: Mapping[str, str] = field(default_factory=dict)
+    # Whether people type text into it, which may hold line ends.
+    free_text: bool = False
 
 
 _ENTRY = (day("first_entry", "First Data Time", DAY_MONTH_NAME), day("last_entry", "Last Data Time", DAY_MONTH_NAME))
@@ -90,11 +93,12 @@ LISTINGS: dict[str, Listing] = {
     "eligibility": Listing(
         "Eligibility Assessment Listing.csv",
         (
-            whole("subject", 2), text("visit", 3), text("prev_mal_vac", 11), text("congenital_def", 15),
-            text("malnourished", 19), text("chronic_illness", 20), text("vac_1mo", 22), text("disorder", 24),
+            whole("subject", 2), text("visit", 3), text("earlier_vaccine", 11), text("birth_defect", 15),
+            text("underweight", 19), text("long_illness", 20), text("recent_vaccine", 22), text("immune_condition", 24),
             text("other", 25), text("details", 26),
         ),
         width=29,
+        free_text=True,
     ),
     "participants": Listing(
         "participants.csv",
@@ -118,6 +122,7 @@ LISTINGS: dict[str, Listing] = {
             text("reason", "Reason for completion or discontinuation"), *_ENTRY,
         ),
         required=("completion_date",),
+        free_text=True,
     ),
     "date_of_visit": Listing(
         "Date Of Visit Listing.csv",
@@ -142,6 +147,7 @@ LISTINGS: dict[str, Listing] = {
             text("field", "Field Name"), text("query_text", "Query Text"), text("query_type", "Query Type"),
             text("query_status", "Query Status"), text("query_id", "Query ID"),
         ),
+        free_text=True,
     ),
     "visit_forms": Listing(
         "Visit Completed v_s SDV_2.csv",
@@ -214,6 +220,7 @@ LISTINGS: dict[str, Listing] = {
             text("outcome", "Outcome"), *_ENTRY,
         ),
         required=("outcome",),
+        free_text=True,
     ),
     "medications": Listing(
         "Prior Or Concomitant Medications Listing.csv",
@@ -223,21 +230,16 @@ LISTINGS: dict[str, Listing] = {
             text("brand_name", 8), day("start_date", "Start date", SLASHED), text("ongoing", "Ongoing"),
             day("stop_date", "Stop date", SLASHED), text("frequency", 17), *_ENTRY,
         ),
+        free_text=True,
     ),
     "dosing": Listing("Dosing Summary.csv", (whole("subject", "Participant Id"), text("visit", "VISIT"))),
 }
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All columns as text. Files stay splittable unless `multi_line` is asked for."""
-    return (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+def read_csv(spark: SparkSession, path: str, quoted_lines: bool = False) -> DataFrame:
+    """All columns as text; large files are split either way. `quoted_lines` keeps line ends inside quotes, headers apart."""
+    plain = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
+    return read_quoted_csv(spark, path, plain.columns) if quoted_lines else plain
 
 
 def _typed(col: Column, source: T.DataType, wanted: Field) -> Column:
@@ -288,9 +290,11 @@ def load(
     site_merges: Mapping[str, str] | None = None,
     bad_symbol: str = "\ufffd",
     path: str | None = None,
+    quoted_lines: bool | None = None,
 ) -> DataFrame:
-    """One conformed listing with the cleaning that belongs to it."""
-    raw = read_csv(spark, path or f"{folder}/{LISTINGS[name].file}")
+    """One conformed listing with the cleaning that belongs to it; line ends inside quotes are looked for in listings of free text."""
+    quoted_lines = LISTINGS[name].free_text if quoted_lines is None else quoted_lines
+    raw = read_csv(spark, path or f"{folder}/{LISTINGS[name].file}", quoted_lines)
     return clean(conform(raw, LISTINGS[name]), name, test_subjects, site_merges, bad_symbol)
 
 

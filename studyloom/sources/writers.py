@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+from datetime import date, timedelta
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studyloom.operators.reshape import arrange
 from studyloom.sources.listings import LISTINGS
@@ -71,3 +77,105 @@ def write_extract(df: DataFrame, folder: str) -> str:
     path = f"{folder}/{LISTINGS['lab_system'].file}"
     extract_columns(df).write.mode("overwrite").option("header", True).csv(path)
     return path
+
+
+# ------------------------------------------------ all lists of a run at once
+
+
+def _line(columns: Sequence[Column]) -> Column:
+    return F.to_csv(F.struct(*columns), {"emptyValue": '""', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+
+
+def _place(df: DataFrame, order: Sequence[str]) -> Column:
+    """The reading order of a list as an array that sorts alike for all lists: missing values last, numbers as numbers."""
+    parts = []
+    for c in order:
+        number = isinstance(df.schema[c].dataType, T.NumericType)
+        n = F.col(f"`{c}`").cast("decimal(38,9)") if number else F.lit(None).cast("decimal(38,9)")
+        t = F.lit(None).cast("string") if number else F.col(f"`{c}`").cast("string")
+        parts.append(F.struct(F.col(f"`{c}`").isNull().alias("missing"), n.alias("n"), t.alias("t")))
+    return F.array(*parts) if parts else F.array().cast("array<struct<missing:boolean,n:decimal(38,9),t:string>>")
+
+
+def write_run(lists: Mapping[str, DataFrame], folder: str, run: str, team_col: str = "team", max_rows_per_file: int = 1_000_000) -> DataFrame:
+    """All worklists of a run in one job: folder/lists/run=../list=../team=../ holds CSV files of that list's own columns.
+
+    A list with the column `team_col` is kept by team, others under the team
+    "all". Rows come in the list's reading order. Once the files are written
+    their rows are counted, and the counts become the run's manifest. A run
+    without one is not finished and no reader sees it, so the lists of a run
+    that broke off are never mixed with older ones. Gives back the manifest:
+    list, team, columns, n.
+    """
+    if not lists:
+        raise ValueError("a run needs a list")
+    spark = next(iter(lists.values())).sparkSession
+    tagged, headers = [], []
+    for name, df in lists.items():
+        shown = [c for c in df.columns if c != team_col]
+        team = F.coalesce(F.col(team_col).cast("string"), F.lit("none")) if team_col in df.columns else F.lit("all")
+        order = [c for c in WORKLISTS.get(name, ()) if c in shown]
+        tagged.append(df.select(F.lit(name).alias("list"), team.alias("team"), _place(df, order).alias("place"), _line([F.col(f"`{c}`") for c in shown]).alias("value")))
+        headers.append((name, ",".join(shown)))
+    rows = reduce(DataFrame.union, tagged)
+    # A team's rows meet in as few tasks as their size asks for.
+    rows = rows.hint("rebalance", F.col("list"), F.col("team")).sortWithinPartitions("list", "team", "place")
+    path = f"{folder}/lists/run={run}"
+    rows.drop("place").write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).partitionBy("list", "team").text(path)
+    written = spark.read.schema("value string, list string, team string").text(path)
+    counts = written.groupBy("list", "team").agg(F.count(F.lit(1)).alias("n"))
+    known = spark.createDataFrame(headers, "list string, columns string")
+    counts.join(F.broadcast(known), "list").select("list", "team", "columns", "n").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest/run={run}")
+    return run_manifest(spark, folder, run)
+
+
+def run_manifest(spark: SparkSession, folder: str, run: str | None = None) -> DataFrame:
+    """Lists, teams, columns and rows of a finished run, the last by name unless one is given."""
+    every = spark.read.schema("list string, team string, columns string, n bigint, run string").json(f"{folder}/manifest")
+    last = every.agg(F.max("run")).scalar() if run is None else F.lit(run)
+    return every.filter(F.col("run") == last).drop("run")
+
+
+def read_run(spark: SparkSession, folder: str, name: str, run: str | None = None) -> DataFrame:
+    """One list of a finished run as text columns, with its team."""
+    found = run_manifest(spark, folder, run).filter(F.col("list") == name).first()
+    if found is None:
+        raise ValueError(f"no finished run holds the list {name}")
+    run = run or spark.read.schema("list string, run string").json(f"{folder}/manifest").agg(F.max("run")).first()[0]
+    names = found["columns"].split(",")
+    lines = spark.read.schema("value string, team string").text(f"{folder}/lists/run={run}/list={name}")
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"escape": '"'})
+    return lines.select(cells.alias("r"), "team").select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)], "team")
+
+
+# --------------------------------------------------- extract as a standing hand-over
+
+TAKEN = "lab_extract_taken"
+
+
+def last_taken(spark: SparkSession, folder: str) -> date | None:
+    """The latest sample date the standing extract holds, None before its first run."""
+    try:
+        return spark.read.schema("sample_date date").parquet(f"{folder}/{TAKEN}").agg(F.max("sample_date")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def update_extract(df: DataFrame, folder: str, late_days: int = 30) -> str:
+    """Bring the standing laboratory extract up to `df`; it lies by sample date where `load(.., "lab_system")` finds it.
+
+    Only dates from `late_days` before the last date taken on are read from
+    `df` and written, each date as a whole in place of the old one; samples
+    without a date are always among them. The date is noted after the files
+    are there, so a run that breaks off is simply done again.
+    """
+    spark = df.sparkSession
+    path, since = f"{folder}/{LISTINGS['lab_system'].file}", last_taken(spark, folder)
+    if since is not None:
+        df = df.filter(F.col("sample_date").isNull() | (F.col("sample_date") >= F.lit(since - timedelta(days=late_days))))
+    rows = extract_columns(df).hint("rebalance", F.col("sampledate"))
+    rows.write.mode("overwrite").option("header", True).option("partitionOverwriteMode", "dynamic").partitionBy("sampledate").csv(path)
+    df.agg(F.max("sample_date").alias("sample_date")).filter("sample_date is not null").write.mode("append").parquet(f"{folder}/{TAKEN}")
+    return path

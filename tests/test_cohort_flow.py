@@ -3,7 +3,7 @@ from conftest import rows
 
 from studyloom.plans import cohort_flow, status
 
-FLAGS = "prev_mal_vac string, congenital_def string, malnourished string, chronic_illness string, vac_1mo string, disorder string, other string, details string"
+FLAGS = "earlier_vaccine string, birth_defect string, underweight string, long_illness string, recent_vaccine string, immune_condition string, other string, details string"
 
 
 @pytest.fixture(scope="module")
@@ -14,19 +14,19 @@ def listings(frame):
 
     eligibility = frame(
         f"subject long, visit string, {FLAGS}",
-        row(1, prev_mal_vac="Yes"),
-        row(1, congenital_def="Yes", prev_mal_vac="Yes"),
-        row(1, congenital_def="Yes"),
-        row(2, prev_mal_vac="Yes"),                      # randomised: stays
-        row(3, vac_1mo="Yes"),                           # randomised, flag alone still excludes
+        row(1, earlier_vaccine="Yes"),
+        row(1, birth_defect="Yes", earlier_vaccine="Yes"),
+        row(1, birth_defect="Yes"),
+        row(2, earlier_vaccine="Yes"),                      # randomised: stays
+        row(3, recent_vaccine="Yes"),                           # randomised, flag alone still excludes
         row(4, details="had a vaccine"),                 # randomised, text does not exclude
         row(5, details="had a vaccine"),
-        row(6, disorder="Yes"),                          # randomised
+        row(6, immune_condition="Yes"),                          # randomised
         row(7, details="HIV care"),
         row(8, other="Closure of enrolment"),
         row(9, other="Consent withdrawal"),
         row(10), row(11), row(12, visit=None), row(13),
-        row(999, prev_mal_vac="Yes"),                    # test subject
+        row(999, earlier_vaccine="Yes"),                    # test subject
     )
     vaccination = frame(
         "subject long, visit string, dose_date date",
@@ -60,7 +60,7 @@ def test_flow(base):
     n = flow(base)
     assert n["full"] == 15 and n["screened"] == 14
     # Subject 1 leaves at the first reason; its third row is not counted for the second.
-    assert n["prevc_mal_vac"] == 2 and n["congenital_def"] == 0
+    assert n["earlier_vaccine"] == 2 and n["birth_defect"] == 0
     assert n["closure"] == 1 and n["early_withdrawal"] == 1
     assert n["excluded"] == 9 and n["randomized"] == 5
     assert n["excluded"] + n["randomized"] == n["screened"]
@@ -72,9 +72,9 @@ def test_flow(base):
 
 
 def test_yes_alone_excludes_even_when_randomised(base):
-    assert flow(base)["vac_1mo"] == 2 and flow(base)["disorder"] == 2
+    assert flow(base)["recent_vaccine"] == 2 and flow(base)["immune_condition"] == 2
     strict = flow(base, strict=True)
-    assert strict["vac_1mo"] == 1 and strict["disorder"] == 1
+    assert strict["recent_vaccine"] == 1 and strict["immune_condition"] == 1
     assert strict["randomized"] == 7
 
 

@@ -3,6 +3,7 @@ from datetime import date
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from studyloom.fixed_values import CHEMISTRY_COLUMNS, HAEMATOLOGY_COLUMNS
 from studyloom.plans.extract import lab_extract
@@ -10,11 +11,17 @@ from studyloom.sources import (
     LISTINGS,
     WORKLISTS,
     conform,
+    last_taken,
     load,
+    read_csv,
     read_lab_tables,
     read_lab_tables_jdbc,
+    read_run,
+    run_manifest,
+    update_extract,
     write_by_team,
     write_extract,
+    write_run,
     write_worklist,
 )
 
@@ -145,3 +152,88 @@ def test_lab_tables_and_extract(spark, frame, tmp_path):
 def test_a_jdbc_read_must_be_split(spark):
     with pytest.raises(ValueError):
         read_lab_tables_jdbc(spark, "jdbc:none", "s")
+
+
+TEXTS = ["plain", "two\nlines", 'a "quoted"\n\n"word"', "", "x,y", 'ends with "', "\n", "tail\r\nwith return", "é\n" * 40, '""', " padded "]
+
+
+@pytest.mark.parametrize("split", ["64b", "300b", "128m"])
+def test_quoted_line_ends_in_files_of_many_splits(spark, tmp_path, split):
+    """Every reading of a file gives Python's own records, however it is split."""
+    data = [[str(i), TEXTS[i % len(TEXTS)], f"k{i}"] for i in range(150)]
+    for name in ("a.csv", "b.csv"):
+        _write(tmp_path / name, ["id", "text", "key"], *data)
+    size, cost = (spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        df = read_csv(spark, str(tmp_path), quoted_lines=True)
+        assert df.columns == ["id", "text", "key"]
+        got = sorted((tuple(c or "" for c in r) for r in df.collect()), key=lambda r: (int(r[0]), r))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert got == [tuple(r) for r in data for _ in "ab"]
+
+
+def test_quotes_that_do_not_pair_up_do_not_swallow_the_file(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,5" pipe\n2,x\n')
+    assert rows(read_csv(spark, str(tmp_path), quoted_lines=True), "a") == [("1",), ("2",)]
+    (tmp_path / "q.csv").write_text("a,b\n")
+    assert read_csv(spark, str(tmp_path), quoted_lines=True).count() == 0
+
+
+def test_a_query_text_with_a_line_end_is_one_row(spark, tmp_path):
+    listing = LISTINGS["queries"]
+    header = _header(listing)
+    _write(tmp_path / listing.file, header, _row(listing, header, query_text="one\ntwo", query_status="Open Query"), _row(listing, header))
+    assert rows(load(spark, str(tmp_path), "queries"), "query_text", "query_status") == [("one\ntwo", "Open Query"), ("text", "text")]
+    assert load(spark, str(tmp_path), "queries", quoted_lines=False).count() == 3
+
+
+def test_lists_of_a_run_are_written_and_read_together(spark, frame, tmp_path):
+    a = frame("subject long, group string, other string, team string", (10, "B", 'x,"y"', "t1"), (9, None, "q", "t2"), (3, "A", None, "t1"), (4, "A", "", None))
+    b = frame("subject long, note string", (2, "n"), (1, None))
+    manifest = write_run({"required_eos": a, "open_events": b, "none": b.limit(0)}, str(tmp_path), "r1")
+    assert rows(manifest, "list", "team", "n") == [("open_events", "all", 2), ("required_eos", "none", 1), ("required_eos", "t1", 2), ("required_eos", "t2", 1)]
+    back = read_run(spark, str(tmp_path), "required_eos")
+    assert back.columns == ["subject", "group", "other", "team"]
+    assert rows(back) == [("10", "B", 'x,"y"', "t1"), ("3", "A", None, "t1"), ("4", "A", None, "none"), ("9", None, "q", "t2")]
+    # Lists keep their own columns and their reading order.
+    files = sorted((tmp_path / "lists/run=r1/list=required_eos/team=t1").glob("part*"))
+    assert "".join(f.read_text() for f in files).splitlines() == ["3,A,", '10,B,"x,""y"""']
+    with pytest.raises(ValueError, match="no finished run"):
+        read_run(spark, str(tmp_path), "other")
+
+
+def test_a_run_that_broke_off_is_not_seen(spark, frame, tmp_path):
+    b = frame("subject long, note string", (2, "n"), (1, None))
+    write_run({"open_events": b}, str(tmp_path), "r1")
+    broken = b.withColumn("note", F.when(F.col("subject") == 1, F.raise_error(F.lit("lost"))).otherwise("n"))
+    with pytest.raises(Exception, match="lost"):
+        write_run({"open_events": broken}, str(tmp_path), "r2")
+    assert read_run(spark, str(tmp_path), "open_events").count() == 2
+    write_run({"open_events": b.limit(1)}, str(tmp_path), "r3")
+    assert rows(run_manifest(spark, str(tmp_path)), "n") == [(1,)] and rows(run_manifest(spark, str(tmp_path), "r1"), "n") == [(2,)]
+
+
+def test_a_second_extract_rewrites_only_what_may_have_changed(spark, frame, tmp_path):
+    schema = "subject long, sample_date date, test string, result double"
+    old = [(1, "2021-01-01", "WBC", 1.0), (1, "2021-03-01", "WBC", 2.0), (2, "2021-03-05", "HGB", 3.0), (3, None, "HGB", 4.0)]
+    folder = str(tmp_path)
+    assert last_taken(spark, folder) is None
+    path = update_extract(frame(schema, *old), folder)
+    assert last_taken(spark, folder) == date(2021, 3, 5)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / path.split("/")[-1]).rglob("part*.csv")}
+    before = files()
+    new = [(1, "2021-01-01", "WBC", 9.0), (2, "2021-03-05", "HGB", 3.5), (2, "2021-03-05", "WBC", 6.0), (4, "2021-04-01", "WBC", 7.0), (3, None, "HGB", 4.5)]
+    update_extract(frame(schema, *new), folder, late_days=1)
+    kept = {f for f in before if files().get(f) == before[f]}
+    assert {f.split("sampledate=")[1].split("/")[0] for f in kept} == {"2021-01-01", "2021-03-01"}
+    back = load(spark, folder, "lab_system")
+    assert rows(back, "subject", "test", "result", "sample_date") == sorted(
+        [(1, "WBC", 1.0, date(2021, 1, 1)), (1, "WBC", 2.0, date(2021, 3, 1)), (2, "HGB", 3.5, date(2021, 3, 5)), (2, "WBC", 6.0, date(2021, 3, 5)), (3, "HGB", 4.5, None), (4, "WBC", 7.0, date(2021, 4, 1))],
+        key=lambda r: [(v is None, str(v)) for v in r],
+    )
+    update_extract(frame(schema, *new).limit(0), folder)
+    assert last_taken(spark, folder) == date(2021, 4, 1) and load(spark, folder, "lab_system").count() == 6

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from studyloom.fixed_values import (
@@ -29,6 +32,9 @@ from studyloom.plans import (
     status,
 )
 from studyloom.operators.joins import split_by_team
+from studyloom.session import shared_dir
+from studyloom.sources import load, read_lab_tables, read_run, update_extract, write_run
+from studyloom.sources.labdb import CHEMISTRY_TABLE, HAEMATOLOGY_TABLE
 from studyloom.sources.listings import LISTINGS, clean, conform
 from workload.registry import AS_OF, EVENTS_AS_OF, query
 
@@ -58,12 +64,12 @@ def _flow_sql(strict: bool = False) -> str:
         False: "{flag} = 'Yes' OR (contains(details, '{word}') AND rand IS NULL)",
     }[strict]
     reasons = {
-        "prevc_mal_vac": "prev_mal_vac = 'Yes' AND rand IS NULL",
-        "congenital_def": "congenital_def = 'Yes' AND rand IS NULL",
-        "malnourished": "malnourished = 'Yes' AND rand IS NULL",
-        "chronic_illness": "chronic_illness = 'Yes' AND rand IS NULL",
-        "vac_1mo": either.format(flag="vac_1mo", word="vaccine"),
-        "disorder": either.format(flag="disorder", word="HIV"),
+        "earlier_vaccine": "earlier_vaccine = 'Yes' AND rand IS NULL",
+        "birth_defect": "birth_defect = 'Yes' AND rand IS NULL",
+        "underweight": "underweight = 'Yes' AND rand IS NULL",
+        "long_illness": "long_illness = 'Yes' AND rand IS NULL",
+        "recent_vaccine": either.format(flag="recent_vaccine", word="vaccine"),
+        "immune_condition": either.format(flag="immune_condition", word="HIV"),
         "closure": "other = 'Closure of enrolment' AND rand IS NULL",
         "early_withdrawal": "other = 'Consent withdrawal' AND rand IS NULL",
     }
@@ -131,7 +137,7 @@ def _flow_counts_sql(strict: bool = False) -> str:
     sources |= {
         n: f"x_{n}"
         for n in (
-            "prevc_mal_vac", "congenital_def", "malnourished", "chronic_illness", "vac_1mo", "disorder", "closure",
+            "earlier_vaccine", "birth_defect", "underweight", "long_illness", "recent_vaccine", "immune_condition", "closure",
             "early_withdrawal",
         )
     }
@@ -1217,7 +1223,7 @@ def _loaded(name: str, listed: str, made: dict[str, tuple] | None = None, where:
 
 
 _loaded("vaccination", "subject visit dose_date")
-_loaded("eligibility", "subject visit prev_mal_vac congenital_def malnourished chronic_illness vac_1mo disorder other details")
+_loaded("eligibility", "subject visit earlier_vaccine birth_defect underweight long_illness recent_vaccine immune_condition other details")
 _loaded("participants", "subject group current_status site consent_v6 consent_v7 consent_v6_one consent_v6_two consent_v7_one consent_v7_two")
 _loaded(
     "randomisation", "subject rand",
@@ -1246,3 +1252,77 @@ _loaded(
 )
 _loaded("unsolicited_ae", "subject any_event ae_code term_code high_term onset resolution severity outcome first_entry last_entry")
 _loaded("dosing", "subject visit")
+
+
+# -------------------------------------------------- files written and read back
+
+
+def _folder(df) -> str:
+    return f"{shared_dir(df.sparkSession)}/job-{uuid.uuid4().hex}"
+
+
+@query(
+    "load_quoted_lines",
+    """SELECT subject, visit, module, field, query_text || chr(10) || '"_", then' || chr(10) || chr(10) || 'more' AS query_text,
+        query_type, query_status, query_id FROM {queries}""",
+)
+def load_quoted_lines(L):
+    """Query texts with line ends and quotes in them, through a file and back."""
+    raw = _raw(L.queries.withColumn("query_text", F.concat("query_text", F.lit('\n"\ufffd", then\n\nmore'))), "queries", {})
+    folder = _folder(raw)
+    raw.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{folder}/{LISTINGS['queries'].file}")
+    return load(raw.sparkSession, folder, "queries")
+
+
+def _consent_lists(L):
+    versions, answers = ("v6", "v7"), ("Yes", "No", "Pending")
+    return {f"consent_{v}_{a.lower()}": status.consent_list(L.participants, v, a).withColumn("team", F.col("site")) for v in versions for a in answers}
+
+
+_CONSENT_SQL = " UNION ALL ".join(
+    f"""SELECT 'consent_{v}_{a.lower()}' AS list, coalesce(site, 'none') AS team, count(*) AS n FROM {{participants}}
+        WHERE current_status = 'On Active Follow up' AND coalesce(consent_{v}, 'Pending') = '{a}' GROUP BY ALL"""
+    for v in ("v6", "v7")
+    for a in ("Yes", "No", "Pending")
+)
+
+
+def _run(L):
+    required = _required(L)
+    lists = {**_consent_lists(L), "required_eos": required, "pending_eos": status.eos_pending(required, L.end_of_study)}
+    folder = _folder(L.participants)
+    return folder, write_run(lists, folder, "2001-01-01")
+
+
+@query(
+    "worklist_run",
+    _REQUIRED
+    + f"""SELECT * FROM ({_CONSENT_SQL}) UNION ALL SELECT 'required_eos', 'all', count(*) FROM req
+    UNION ALL SELECT 'pending_eos', 'all', count(*) FROM req WHERE subject NOT IN (SELECT subject FROM {{end_of_study}})""",
+)
+def worklist_run(L):
+    """All lists of a run in one write; what is counted are the rows of its files."""
+    return _run(L)[1].select("list", "team", "n")
+
+
+@query(
+    "worklist_read_back",
+    _REQUIRED
+    + """SELECT CAST(subject AS VARCHAR) AS subject, "group", other, current_status, site, time, 'all' AS team FROM req
+    WHERE subject NOT IN (SELECT subject FROM {end_of_study})""",
+)
+def worklist_read_back(L):
+    return read_run(L.participants.sparkSession, _run(L)[0], "pending_eos")
+
+
+@query("lab_extract_in_steps", _extract_sql("FULL", "coalesce(h.{0}, c.{0})"))
+def lab_extract_in_steps(L):
+    """The laboratory tables as Parquet, their extract written up to a date, then brought up to all of it, and loaded."""
+    folder = _folder(L.haematology)
+    L.haematology.write.parquet(f"{folder}/{HAEMATOLOGY_TABLE}.parquet")
+    L.chemistry.write.parquet(f"{folder}/{CHEMISTRY_TABLE}.parquet")
+    spark = L.haematology.sparkSession
+    whole = extract.lab_extract(*read_lab_tables(spark, folder), 1)
+    update_extract(whole.filter(F.col("sample_date") <= date(1997, 6, 30)), folder)
+    update_extract(whole, folder)
+    return load(spark, folder, "lab_system")

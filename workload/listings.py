@@ -48,12 +48,12 @@ LISTINGS = {
     "eligibility": """
         SELECT o_custkey AS subject, o_orderkey AS record_id,
                CASE WHEN o_orderkey % 97 <> 0 THEN 'Screening' END AS visit,
-               CASE WHEN o_orderkey % 101 = 0 THEN 'Yes' ELSE 'No' END AS prev_mal_vac,
-               CASE WHEN o_orderkey % 103 = 0 THEN 'Yes' ELSE 'No' END AS congenital_def,
-               CASE WHEN o_orderkey % 107 = 0 THEN 'Yes' ELSE 'No' END AS malnourished,
-               CASE WHEN o_orderkey % 79 = 0 THEN 'Yes' WHEN o_orderkey % 3 = 0 THEN 'No' END AS chronic_illness,
-               CASE WHEN o_orderkey % 113 = 0 THEN 'Yes' ELSE 'No' END AS vac_1mo,
-               CASE WHEN o_orderkey % 127 = 0 THEN 'Yes' WHEN o_orderkey % 2 = 0 THEN 'No' END AS disorder,
+               CASE WHEN o_orderkey % 101 = 0 THEN 'Yes' ELSE 'No' END AS earlier_vaccine,
+               CASE WHEN o_orderkey % 103 = 0 THEN 'Yes' ELSE 'No' END AS birth_defect,
+               CASE WHEN o_orderkey % 107 = 0 THEN 'Yes' ELSE 'No' END AS underweight,
+               CASE WHEN o_orderkey % 79 = 0 THEN 'Yes' WHEN o_orderkey % 3 = 0 THEN 'No' END AS long_illness,
+               CASE WHEN o_orderkey % 113 = 0 THEN 'Yes' ELSE 'No' END AS recent_vaccine,
+               CASE WHEN o_orderkey % 127 = 0 THEN 'Yes' WHEN o_orderkey % 2 = 0 THEN 'No' END AS immune_condition,
                CASE WHEN o_orderkey % 61 = 0 THEN 'Closure of enrolment'
                     WHEN o_orderkey % 67 = 0 THEN 'Consent withdrawal' END AS other,
                CASE WHEN o_orderkey % 59 = 0 THEN 'another vaccine given'
@@ -157,7 +157,7 @@ LISTINGS = {
         SELECT l_suppkey AS subject, concat('Visit ', CAST(l_linenumber AS STRING)) AS visit,
                'Blood film for Plasmodium species' AS sample_type,
                CASE l_returnflag WHEN 'A' THEN 'Negative' WHEN 'N' THEN 'Positive' END AS film_result
-        FROM {lineitem} WHERE l_linestatus = 'F'""",
+        FROM {lineitem}""",
     "extra_samples": """
         SELECT o_custkey AS subject, CASE WHEN o_orderkey % 3 <> 0 THEN 'Yes' ELSE 'No' END AS collected,
                CASE WHEN o_orderkey % 12 <> 5 THEN CAST(o_orderdate AS DATE) END AS sample_date,
