@@ -94,7 +94,7 @@ def _seed_counts(window: int):
 
 
 def _occurrences(window: int):
-    fields = pa.schema([("seed", pa.int64()), ("block", pa.int64()), ("id", pa.int64()), ("tag", pa.int64())])
+    fields = pa.schema([("seed", pa.int64()), ("block", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("tag", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -106,7 +106,7 @@ def _occurrences(window: int):
             text = np.repeat(np.arange(len(counts)), counts)[first] if len(first) else np.empty(0, np.int64)
             at = first - (np.cumsum(counts) - counts)[text]
             tag = np.asarray(batch.column("hash"))[text] << np.int64(AT_BITS + N_BITS) | at << N_BITS | n
-            yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), pa.array(signed(block)), pa.array(np.asarray(batch.column("id"))[text]), pa.array(tag)], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(seeds)), pa.array(signed(block)), *(pa.array(np.asarray(batch.column(c))[text]) for c in ("id", "key")), pa.array(tag)], schema=fields)
 
     return work
 
@@ -135,9 +135,21 @@ def _windows(window: int):
     return work
 
 
+#: What names a text: its id and two hashes of it, 64 and 32 bits, which tell rows of one id, or without any, apart.
+NAME = ["id", "key", "hash"]
+
+
+def _short_hash(text: Column) -> Column:
+    return F.xxhash64(text, F.lit("short")).bitwiseAND(0xFFFFFFFF)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    text = F.col("text")
+    return rows.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "key": F.xxhash64(text), "hash": _short_hash(text)})
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    """id, text, and 32 bits of the text's hash, which tell rows of one id apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text", F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("hash"))
+    return _named(docs.select("doc_id", "text")).select("id", "text", "key", "hash")
 
 
 def _hash_of(tag: Column) -> Column:
@@ -145,21 +157,20 @@ def _hash_of(tag: Column) -> Column:
 
 
 def matched_blocks(docs: DataFrame, window: int) -> DataFrame:
-    """Per text (id, hash) the blocks with windows that occur elsewhere: at, mask of windows, and for whole blocks another place (ref_id, ref_at)."""
+    """Per text (id, key, hash) the blocks with windows that occur elsewhere: at, mask of windows, and for whole blocks another place (ref_id, ref_at)."""
     texts = _texts(docs)
     seeds = texts.mapInArrow(_seed_counts(window), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
     seeds = staged(seeds, "seeds")  # a table of its own, so that the join is one Spark can split
-    found = texts.mapInArrow(_occurrences(window), "seed long, block long, id long, tag long")
+    found = texts.mapInArrow(_occurrences(window), "seed long, block long, id long, key long, tag long")
     found = staged(found.join(seeds, "seed", "left_semi"), "blocks")
-    place = F.struct("id", "tag")
+    place = F.struct("id", "key", "tag")
     index = found.groupBy("seed", "block").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("last"))
     index = staged(index, "index")
     # Seeds with several blocks: their windows are compared one by one.
     several = index.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
-    reps = index.join(several, "seed", "left_semi").select("seed", "block", F.col("one.id").alias("id"), F.col("one.tag").alias("tag"))
-    reps = reps.groupBy("id", _hash_of(F.col("tag")).alias("hash")).agg(F.collect_list(F.struct("seed", "block", "tag")).alias("blocks"))
-    # Repeated rows of one id have one text.
-    windows = texts.join(reps, ["id", "hash"]).mapInArrow(_windows(window), "seed long, block long, bit int, far int, w long").distinct()
+    reps = index.join(several, "seed", "left_semi").select("seed", "block", F.col("one.id").alias("id"), F.col("one.key").alias("key"), F.col("one.tag").alias("tag"))
+    reps = reps.groupBy("id", "key", _hash_of(F.col("tag")).alias("hash")).agg(F.collect_list(F.struct("seed", "block", "tag")).alias("blocks"))
+    windows = texts.join(reps, NAME).mapInArrow(_windows(window), "seed long, block long, bit int, far int, w long").distinct()
     windows = staged(windows, "windows")
     shared = windows.groupBy("seed", "far", "w").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     partial = windows.join(shared, ["seed", "far", "w"]).groupBy("seed", "block").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("part"))
@@ -167,10 +178,11 @@ def matched_blocks(docs: DataFrame, window: int) -> DataFrame:
     masks = index.join(partial, ["seed", "block"], "left").withColumn("mask", F.when(F.col("n") > 1, full).otherwise(F.col("part")))
     masks = masks.where("mask is not null").select("seed", "block", "mask", F.when(F.col("n") > 1, F.col("one")).alias("one"), F.when(F.col("n") > 1, F.col("last")).alias("last"))
     pieces = found.join(staged(masks, "masks"), ["seed", "block"])
-    ref = F.when(F.col("one") == F.struct("id", "tag"), F.col("last")).otherwise(F.col("one"))
+    ref = F.when(F.col("one") == place, F.col("last")).otherwise(F.col("one"))
     at = lambda tag: F.shiftright(tag, N_BITS).bitwiseAND((1 << AT_BITS) - 1)
     piece = F.struct(at(F.col("tag")).alias("at"), "mask", ref["id"].alias("ref_id"), at(ref["tag"]).alias("ref_at"))
-    return pieces.groupBy("id", _hash_of(F.col("tag")).alias("hash")).agg(F.collect_list(piece).alias("pieces"))
+    # Repeated rows have the same pieces, which are kept once.
+    return pieces.groupBy("id", "key", _hash_of(F.col("tag")).alias("hash")).agg(F.collect_set(piece).alias("pieces"))
 
 
 def factors_of(pieces: list[dict], window: int) -> list[tuple[int, int, int | None, int | None]]:
@@ -254,8 +266,7 @@ def cut_repeats(docs: DataFrame, window: int = 35, keep: Sequence[str] = ()) ->
     pieces = matched_blocks(docs, window)
     carried = F.struct(*keep) if keep else F.lit(None).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried.alias("kept_columns"))
-    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "hash": F.xxhash64("text").bitwiseAND(0xFFFFFFFF)})
-    joined = rows.join(pieces, ["id", "hash"], "left").select("doc_id", "text", "kept_columns", "pieces")
+    joined = _named(rows).join(pieces, NAME, "left").select("doc_id", "text", "kept_columns", "pieces")
     types = f"doc_id long, text string, kept_columns {rows.schema['kept_columns'].dataType.simpleString()}, {_CUT_TYPES}"
     out = joined.mapInArrow(_cut(window), types)
     return out.select("doc_id", "text", *(F.col("kept_columns")[c].alias(c) for c in keep), "n_words", "n_removed", "kept_text", "factors")

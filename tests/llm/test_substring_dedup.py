@@ -65,3 +65,15 @@ def test_run_hashes_do_not_depend_on_the_place():
     runs = substring_dedup.Runs(twice)
     assert (runs.of(np.arange(40), 10) == runs.of(np.arange(50, 90), 10)).all()
     assert runs.of(np.array([3]), 5)[0] != runs.of(np.array([4]), 5)[0]
+
+
+@pytest.mark.parametrize("short", [True, False])
+def test_texts_without_an_id_are_told_apart(documents, prose, monkeypatch, short):
+    """Null ids, repeated ids and repeated rows, also where the short hashes of all texts collide."""
+    if short:
+        monkeypatch.setattr(substring_dedup, "_short_hash", lambda text: substring_dedup.F.lit(5).cast("long"))
+    a, b = prose(60, 1), prose(40, 2)
+    rows = [(None, a), (None, b), (1, a), (1, b + " " + prose(40, 3)), *[(2, prose(20, 4) + " " + a)] * 30]
+    out = substring_dedup.cut_repeats(documents(rows), 35).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in out), key=repr) == sorted([x[:3] for x in brute(rows, 35)], key=repr)
+    assert max(len(r.factors) for r in out) < 10
