@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,7 +137,8 @@ def _normaliser(most: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for path, own in itertools.groupby(lines(batches), key=lambda x: x[0]):
-            name = re.sub(r"[^A-Za-z0-9-]", "-", path.rsplit("/", 1)[-1].split(".")[0])
+            # Streams of one file name in two folders, or of names alike but for their dots, get archives of their own.
+            name = re.sub(r"[^A-Za-z0-9-]", "-", path.rsplit("/", 1)[-1]) + "-" + xxhash.xxh3_64_hexdigest(path)
             for row in members(name, (x for _, x in own)):
                 held.append(row)
                 size += len(row[3])

@@ -91,3 +91,21 @@ def test_a_damaged_stream_fails(spark, tmp_path, size):
     warc.write_streams(bad, f"{tmp_path}/s")
     with pytest.raises(Exception, match="bytes where its header says|the stream ends within"):
         warc.normalise(spark, f"{tmp_path}/s", f"{tmp_path}/a")
+
+
+def test_streams_of_like_names_stay_apart(spark, rows, tmp_path):
+    """Names alike up to a dot, and one name in two folders."""
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_streams(warc.to_records(pages).coalesce(1), f"{tmp_path}/made")
+    stream = next(Path(tmp_path, "made").glob("part-*.gz")).read_bytes()
+    for name in ("a/crawl.0001.warc.gz", "a/crawl.0002.warc.gz", "b/crawl.0001.warc.gz"):
+        path = Path(tmp_path, "streams", name)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(stream)
+    warc.normalise(spark, f"{tmp_path}/streams/*", f"{tmp_path}/archives")
+    index = warc.read_index(spark, f"{tmp_path}/archives").collect()
+    assert len(index) == 3 * len(rows) and len({r.archive for r in index}) == 3
+    for name in {r.archive for r in index}:
+        data = next(Path(tmp_path, "archives", f"archive={name}", "kind=data").glob("part-*")).read_bytes()
+        assert gzip.decompress(data) == gzip.decompress(stream)
+        assert max(r.offset + r.length for r in index if r.archive == name) <= len(data) + 1
