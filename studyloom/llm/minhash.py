@@ -165,9 +165,10 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("set_id").cast(pa.binary()).take(pa.array(at)), pa.array(np.concatenate(packed))], schema=fields)
 
     nodes = staged(members.select("set_id", "root", F.col("n_shingles").alias("n")).distinct(), "nodes")
-    own = sets.join(sized(nodes.select("set_id")), "set_id", "left_semi").dropDuplicates(["set_id"])
+    own = sets.join(sized(nodes.select("set_id")), "set_id", "left_semi")
     rows = staged(own.mapInArrow(spread, "set_id binary, x long"), "shingles")
-    counts = rows.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    # A table of its own, so that Spark can split the join with it on a common shingle.
+    counts = staged(rows.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"), "shingle-counts")
     # Shingles of one set only come first in its order and match nothing.
     ordered = rows.join(counts, "x").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o")).join(nodes, "set_id")
     skip = F.col("n") - F.size("o")
@@ -202,7 +203,8 @@ def set_components(classes: DataFrame, texts: DataFrame, width: int, percent: in
     ids = members.select("set_id").distinct()
     ids = staged(classes.join(ids, "set_id", "left_semi").select(F.col("first_doc").alias("doc_id")), "member-ids")
     sets = texts.join(sized(ids), "doc_id", "left_semi").mapInArrow(_pack(width), "set_id binary, elements binary")
-    sets = staged(sets, "sets")
+    # Rows that repeat a document are one set, which is compared once.
+    sets = staged(sets.dropDuplicates(["set_id"]), "sets")
     # Central members first: those that meet most others over all their buckets.
     rank = members.groupBy("set_id").agg(F.sum("met").alias("rank"))
     members = staged(members.drop("met").join(rank, "set_id"), "members")

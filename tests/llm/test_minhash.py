@@ -87,3 +87,14 @@ def test_components(spark):
     got = {r.id: r.root for r in components(df).collect()}
     assert got == {**{i: 1 for i in range(1, 21)}, 30: 1, 40: 40, 41: 40}
     assert components(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_one_set(documents, prose, monkeypatch):
+    """Copies of a row are compared as one, so pairs do not grow with the square of the copies."""
+    held, kept = {}, minhash.staged
+    monkeypatch.setattr(minhash, "staged", lambda df, name: held.setdefault(name, kept(df, name)))
+    text = prose(200, 1)
+    rows = [(1, text)] * 120 + [(2, text + " more")] * 120 + [(3, prose(200, 2))]
+    got = minhash.near_duplicates(documents(rows), 4).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)} and len(got) == 241
+    assert held["sets"].count() == 2
