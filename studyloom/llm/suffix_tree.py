@@ -2,25 +2,31 @@
 
 A text is its words, A-Z lowered, each followed by a space, and one end symbol;
 the tree's symbols are the bytes of that. Contexts are up to DEPTH symbols. A
-context is a candidate if it makes up at least MIN_SHARE of all training
-positions, and is kept if its next-symbol distribution diverges from that of
-its parent (the context without its first symbol): its share times the
-Kullback-Leibler divergence reaches MIN_GAIN nats per symbol. Kept contexts
-bring their suffixes along. A kept context's distribution is smoothed towards
-its parent's, the root's towards all byte values alike. Each symbol of a text
-is scored by the longest kept suffix of what stands before it.
-
-Counts cover every training text and are made by the executors. Both limits are
-shares, so the tree has at most DEPTH / MIN_SHARE contexts however large the
-corpus is, and it is this bounded table that is broadcast. For scoring the tree
-becomes an automaton: its states are the kept contexts and their substrings,
-so the longest suffix follows from state and symbol by one look-up.
+context is a candidate from a number of occurrences on that grows with the
+square root of the training text, so its share falls and ever more contexts
+qualify as the corpus grows. It is kept if its next-symbol distribution
+diverges from that of its parent (the context without its first symbol): twice
+the log-likelihood ratio must reach DIVERGENCE for each next symbol but one.
+Kept contexts bring their suffixes along. A kept context's distribution is
+smoothed towards its parent's, the more the more different symbols follow it,
+the root's towards all byte values alike. Each symbol of a text is scored by
+the longest kept suffix of what stands before it.
+
+Counts cover every training text and are made by the executors. The tree falls
+apart by the symbol right before the scored one: nothing else of it is needed
+there. It is fitted and broadcast in parts of such symbols, of PART_ROWS rows
+at most unless one symbol alone has more, and each part scores the places that
+are its own in a pass over the texts. So neither the driver nor a task holds a
+tree that grows without bound; common corpora need one pass. A task scores
+each different run of DEPTH + 1 symbols of a chunk of text once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +36,17 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.common import in_fold, signed, staged, text_chunks, word_hashes
 
-DEPTH, MIN_SHARE, MIN_GAIN = 5, 2e-6, 3e-7
-#: Weight of the parent's distribution, in observations.
-PRIOR = 8.0
+DEPTH = 6
+#: Occurrences a context needs: this share of the square root of all training symbols, LEAST at least.
+GROWTH, LEAST = 1 / 700, 2
+#: Twice the log-likelihood ratio against the parent that a kept context needs per degree of freedom.
+DIVERGENCE = 2.0
+#: Weight of the parent's distribution, in observations per different next symbol.
+PRIOR = 6.0
+#: Rows (context, next symbol) of one part of the tree, 32 bytes each.
+PART_ROWS = 4_000_000
 #: Tokens of at least this share of the training tokens are looked up in a broadcast table: 5 million at most.
 FREQUENT = 2e-7
-#: Symbols of one scored segment; each is preceded by DEPTH symbols that set its state.
-SEGMENT = 256
 END = b"\n"
 END_HASH = xxhash.xxh3_64_intdigest(END)
 _MERGE = 1_000_000
@@ -50,6 +60,20 @@ def symbols_of(tokens: list[bytes]) -> bytes:
     return b" ".join(tokens) if len(tokens) > 1 else END
 
 
+def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol of the texts with the `depth` before it, packed, and the text it is in; end symbols stand before a text."""
+    joined = np.frombuffer(b"".join(END * depth + t for t in texts), np.uint8)
+    gram = np.zeros(max(len(joined) - depth, 0), np.uint64)
+    for i in range(depth + 1):
+        gram = gram << np.uint64(8) | joined[i : i + len(gram)]
+    lengths = np.array([len(t) + depth for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    within = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # Grams that begin before a text's own end symbols are none of its.
+    own = within[depth:] >= depth
+    return gram[own].view(np.int64), owner[depth:][own]
+
+
 class _Tally:
     """Counts of 64-bit keys, kept merged."""
 
@@ -76,23 +100,13 @@ class _Tally:
 def _count(depth: int):
     """Token hashes (kind 0) and depth + 1 symbols long grams (kind 1), counted per task."""
     fields = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-    pad = END * depth
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = _Tally(), _Tally()
         for _, texts in text_chunks(batches):
             tokens = [tokens_of(t) for t in texts]
             tallies[0].add(word_hashes([w for t in tokens for w in t]))
-            # Every text after `depth` end symbols; grams of these alone are left out.
-            own = [symbols_of(t) for t in tokens]
-            joined = np.frombuffer(b"".join(pad + s for s in own), np.uint8)
-            gram = np.zeros(len(joined) - depth, np.uint64)
-            for i in range(depth + 1):
-                gram = gram << np.uint64(8) | joined[i : i + len(gram)]
-            lengths = np.array([len(s) for s in own])
-            starts = np.cumsum(lengths + depth) - lengths - depth
-            within = np.arange(len(joined)) - np.repeat(starts, lengths + depth)
-            tallies[1].add(gram[within[depth:] >= depth])
+            tallies[1].add(grams_of([symbols_of(t) for t in tokens], depth)[0].view(np.uint64))
         for kind, tally in enumerate(tallies):
             tally.merge()
             for at in range(0, len(tally.keys), 100_000):
@@ -104,97 +118,88 @@ def _count(depth: int):
 
 @dataclass(frozen=True)
 class Tree:
-    """The tree as an automaton over byte values, DEPTH included for the warm-up of segments."""
+    """The part of the tree for places after one of `before` (a flag per byte value)."""
+
+    before: np.ndarray
+    root: np.ndarray  # probability of each byte value after the empty context
+    # By length: contexts, what is left to the parent, (context, next symbol) packed, and what that adds.
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-    depth: int
-    column: np.ndarray  # of each byte value
-    step: np.ndarray  # states x columns: next state
-    log10: np.ndarray  # states x columns
-    contexts: list[np.ndarray]  # kept contexts by length, as packed bytes
+    def arrays(self) -> tuple:
+        """The tree as plain arrays, which workers can read without this package."""
+        return self.before, self.root, self.levels
 
+    def contexts(self) -> int:
+        return 1 + sum(len(names) for names, *_ in self.levels)
 
-def build_tree(level: np.ndarray, key: np.ndarray, count: np.ndarray, depth: int = DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN, prior: float = PRIOR) -> Tree:
-    """From counts of (context, next symbol): level is the context's length, key its bytes and the next one packed."""
+
+def build_tree(level: np.ndarray, key: np.ndarray, count: np.ndarray, depth: int = DEPTH, divergence: float = DIVERGENCE, prior: float = PRIOR, before: np.ndarray | None = None) -> Tree:
+    """From counts of (context, next symbol) of candidate contexts: level is the context's length, key its bytes and the next one packed."""
     tables = []
     for k in range(depth + 1):
         own = level == k
         order = np.argsort(key[own])
         tables.append((key[own][order], count[own][order].astype(np.float64)))
     total = tables[0][1].sum()
-    # Smoothed probabilities of the seen symbols, and which contexts diverge.
-    smooth = [(tables[0][1] + 0.5) / (total + 128)]
-    sums: list = [None]
-    kept: list[set] = [{0}]
+    root = np.full(256, 0.5 / (total + 128))
+    root[tables[0][0]] = (tables[0][1] + 0.5) / (total + 128)
+    above, kept, found = root, [], []
     for k in range(1, depth + 1):
         keys, n = tables[k]
-        context = keys >> 8
-        names, owner = np.unique(context, return_inverse=True)
-        whole = np.bincount(owner, n, len(names))
-        above_keys = tables[k - 1][0]
-        mask = (1 << 8 * k) - 1
-        at = np.searchsorted(above_keys, keys & mask)
-        parent = smooth[k - 1][at]
-        smooth.append((n + prior * parent) / (whole[owner] + prior))
-        gain = np.bincount(owner, n / max(total, 1) * np.log(n / whole[owner] / parent), len(names))
-        kept.append(set(names[(whole >= min_share * total) & (gain >= min_gain)].tolist()))
-        sums.append(dict(zip(names.tolist(), whole.tolist(), strict=True)))
-    for k in range(depth, 1, -1):
-        kept[k - 1] |= {c & (1 << 8 * (k - 1)) - 1 for c in kept[k]}
-    states: list[set] = [set(s) for s in kept]
-    for k in range(depth, 1, -1):
-        states[k - 1] |= {c >> 8 for c in states[k]} | {c & (1 << 8 * (k - 1)) - 1 for c in states[k]}
-    names = [np.array(sorted(s), np.int64) for s in states]
-    offset = np.cumsum([0, *map(len, names)])
-    seen = tables[0][0].astype(int)
-    width = len(seen) + 1  # the last column: byte values never seen
-    column = np.full(256, width - 1, np.int32)
-    column[seen] = np.arange(width - 1)
-    prob = np.zeros((offset[-1], width))
-    step = np.zeros((offset[-1], width), np.int32)
-    prob[0, :-1], prob[0, -1] = smooth[0], 0.5 / (total + 128)
-    for k in range(depth + 1):
-        rows = np.arange(offset[k], offset[k + 1])
-        if k and len(rows):
-            parent = offset[k - 1] + np.searchsorted(names[k - 1], names[k] & (1 << 8 * (k - 1)) - 1)
-            prob[rows], step[rows] = prob[parent], step[parent]
-            own = np.array([c in kept[k] for c in names[k].tolist()])
-            whole = np.array([sums[k].get(c, 0.0) if o else 0.0 for c, o in zip(names[k].tolist(), own, strict=True)])
-            prob[rows] *= np.where(own, prior / (whole + prior), 1)[:, None]
-            keys, n = tables[k]
-            at = np.minimum(np.searchsorted(names[k], keys >> 8), len(rows) - 1)
-            hit = (names[k][at] == keys >> 8) & own[at]
-            np.add.at(prob, (rows[at[hit]], column[keys[hit] & 255]), n[hit] / (whole[at[hit]] + prior))
-        if k < depth and len(names[k + 1]):
-            at = offset[k] + np.searchsorted(names[k], names[k + 1] >> 8)
-            step[at, column[names[k + 1] & 255]] = np.arange(offset[k + 1], offset[k + 2])
-    return Tree(depth, column, step, np.log10(prob).astype(np.float32), names[:1] + [np.array(sorted(s), np.int64) for s in kept[1:]])
-
-
-def score_symbols(texts: list[bytes], tree: Tree) -> np.ndarray:
-    """log10 probability of each symbol string."""
-    depth, width = tree.depth, tree.step.shape[1]
-    step, log10 = tree.step.ravel(), tree.log10.ravel()
-    lengths = np.array([len(t) for t in texts])
-    joined = tree.column[np.frombuffer(b"".join(END * depth + t for t in texts), np.uint8)]
-    starts = np.cumsum(lengths + depth) - lengths  # of each text's first symbol
-    segments = -(-lengths // SEGMENT)
-    owner = np.repeat(np.arange(len(texts)), segments)
-    first = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(segments) - segments, segments)) * SEGMENT
-    left = np.minimum(starts[owner] + lengths[owner] - first, SEGMENT)
-    # Longest segments first, so that those still running are a prefix.
-    order = np.argsort(-left, kind="stable")
-    first, left, owner = first[order], left[order], owner[order]
-    state, total = np.zeros(len(first), np.int64), np.zeros(len(first))
-    running = np.searchsorted(-left, -np.arange(1, SEGMENT + 1), side="right")
-    for i in range(-depth, SEGMENT):
-        live = len(first) if i < 0 else running[i]
-        if not live:
+        names, owner = np.unique(keys >> 8, return_inverse=True)
+        whole, kinds = np.bincount(owner, n, len(names)), np.bincount(owner, minlength=len(names))
+        tail = keys & (1 << 8 * k) - 1
+        parent = above[tail] if k == 1 else above[np.searchsorted(tables[k - 1][0], tail)]
+        ratio = 2 * np.bincount(owner, n * np.log(n / whole[owner] / parent), len(names))
+        weight = prior * kinds
+        above = (n + weight[owner] * parent) / (whole + weight)[owner]
+        kept.append(ratio >= divergence * np.maximum(kinds - 1, 1))
+        found.append((names, weight / np.maximum(whole + weight, 1), keys, n / (whole + weight)[owner], owner))
+    for k in range(depth - 1, 0, -1):
+        names, below = found[k - 1][0], found[k][0][kept[k]]
+        kept[k - 1][np.searchsorted(names, np.unique(below & (1 << 8 * k) - 1))] = True
+    levels = [(names[k], left[k], keys[k[owner]], part[k[owner]]) for k, (names, left, keys, part, owner) in zip(kept, found, strict=True)]
+    return Tree(np.ones(256, bool) if before is None else before, root, levels)
+
+
+def _log10_of(grams: np.ndarray, root: np.ndarray, levels: list) -> np.ndarray:
+    """log10 probability of each gram's last symbol after the longest kept suffix of those before it."""
+    prob, live = root[grams & 255], np.arange(len(grams))
+    for k, (names, left, keys, part) in enumerate(levels, 1):
+        if not len(names):
             break
-        at = state[:live] * width + joined[first[:live] + i]
-        if i >= 0:
-            total[:live] += log10[at]
-        state[:live] = step[at]
-    return np.bincount(owner, total, len(texts))
+        gram = grams[live] & (1 << 8 * (k + 1)) - 1
+        at = np.minimum(np.searchsorted(names, gram >> 8), len(names) - 1)
+        hit = names[at] == gram >> 8
+        live, at, gram = live[hit], at[hit], gram[hit]
+        # Kept contexts are closed under suffixes: who fails here has no longer one.
+        new = prob[live] * left[at]
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        hit = keys[at] == gram
+        new[hit] += part[at[hit]]
+        prob[live] = new
+    return np.log10(prob)
+
+
+def score_symbols(texts: list[bytes], before: np.ndarray, root: np.ndarray, levels: list) -> np.ndarray:
+    """log10 probability of each symbol string, places before which none of `before` stands left out."""
+    grams, owner = grams_of(texts, len(levels))
+    if not before.all():
+        own = before[grams >> 8 & 255]
+        grams, owner = grams[own], owner[own]
+    grams, place = np.unique(grams, return_inverse=True)
+    return np.bincount(owner, _log10_of(grams, root, levels)[place], len(texts))
+
+
+def _add(tree):
+    """Texts with their score so far, to which a further part of the tree adds its own."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            more = score_symbols([symbols_of(tokens_of(t)) for t in texts], *tree.value)
+            yield batch.set_column(batch.schema.get_field_index("score"), "score", pa.array(np.asarray(batch.column("score")) + more))
+
+    return work
 
 
 def _score(tree, frequent):
@@ -208,7 +213,7 @@ def _score(tree, frequent):
         for batch, texts in text_chunks(batches):
             tokens = [tokens_of(t) for t in texts]
             lengths = np.array([len(t) for t in tokens])
-            scores = score_symbols([symbols_of(t) for t in tokens], tree.value)
+            scores = np.asarray(batch.column("score")) + score_symbols([symbols_of(t) for t in tokens], *tree.value)
             hashes = word_hashes([w for t in tokens for w in t])
             owner = np.repeat(np.arange(len(texts)), lengths)
             at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
@@ -234,18 +239,37 @@ def counts_of(train: DataFrame, depth: int = DEPTH) -> DataFrame:
     return staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def fit_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN) -> Tree:
-    """The tree of counts_of()'s grams; only rows of candidate contexts come to the driver."""
-    grams = counts.where("kind = 1")
-    levels = grams.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), "key", "n")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), 8 * (F.col("level") + 1)) - 1
-    levels = staged(levels.groupBy("level", F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")), "levels")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    context = F.shiftright("key", 8).alias("context")
-    often = levels.groupBy("level", context).agg(F.sum("n").alias("whole")).where(F.col("whole") >= min_share * total)
-    rows = levels.withColumn("context", context).join(often, ["level", "context"], "left_semi")
-    got = rows.select("level", "key", "n").toArrow()
-    return build_tree(*(got.column(c).to_numpy().astype(np.int64) for c in ("level", "key", "n")), depth, min_share, min_gain)
+def candidate_rows(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH, least: int = LEAST) -> DataFrame:
+    """(level, key, n) of the contexts of counts_of()'s grams that occur often enough."""
+    level = counts.where("kind = 1").select("key", "n")
+    total = level.agg(F.sum("n")).first()[0] or 0
+    tables = [level]
+    # Each level comes from the one below, which is far shorter than all grams.
+    for k in range(depth - 1, -1, -1):
+        shorter = F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")
+        tables.append(staged(tables[-1].groupBy(shorter).agg(F.sum("n").alias("n")), "level"))
+    levels = reduce(DataFrame.union, [t.select(F.lit(depth - i).alias("level"), "key", "n") for i, t in enumerate(tables)])
+    levels = levels.withColumn("context", F.shiftright("key", 8))
+    often = levels.groupBy("level", "context").agg(F.sum("n").alias("whole")).where(F.col("whole") >= max(least, math.ceil(growth * math.sqrt(total))))
+    return staged(levels.join(often, ["level", "context"], "left_semi").select("level", "key", "n"), "candidates")
+
+
+def fit_trees(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH, least: int = LEAST, divergence: float = DIVERGENCE, part_rows: int = PART_ROWS) -> Iterator[Tree]:
+    """The parts of the tree one by one; the rows of one part come to the driver at a time."""
+    rows = candidate_rows(counts, depth, growth, least)
+    previous = F.shiftright("key", 8).bitwiseAND(255)
+    sizes = dict(rows.where("level > 0").groupBy(previous.alias("b")).agg(F.count("*").alias("n")).collect())
+    parts, held = [[]], 0
+    for b in range(256):
+        if parts[-1] and held + sizes.get(b, 0) > part_rows:
+            parts.append([])
+            held = 0
+        parts[-1].append(b)
+        held += sizes.get(b, 0)
+    for own in parts:
+        got = rows.where((F.col("level") == 0) | previous.isin(own)).toArrow()
+        before = np.isin(np.arange(256), own)
+        yield build_tree(*(got.column(c).to_numpy().astype(np.int64) for c in ("level", "key", "n")), depth, divergence, before=before)
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -259,16 +283,19 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     counts = counts_of(train)
-    tree = fit_tree(counts)
     tokens = counts.where("kind = 0").select(F.col("key").alias("token"), F.col("n").alias("c"))
     total, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     often = tokens.where(F.col("c") >= FREQUENT * total).toArrow()
     keys, number = often.column("token").to_numpy().astype(np.int64).view(np.uint64), often.column("c").to_numpy().astype(np.float64)
     order = np.argsort(keys)
     share = spark.sparkContext.broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.lit(0.0).alias("score"))
+    trees = fit_trees(counts)
+    first = next(trees)
+    for tree in trees:
+        rows = staged(rows.mapInArrow(_add(share(tree.arrays())), rows.schema), "part-scores")
     scored = rows.mapInArrow(
-        _score(share(tree), share((keys[order], number[order]))),
+        _score(share(first.arrays()), share((keys[order], number[order]))),
         "doc_id long, hash long, n_tokens long, score double, known long, base double, rare array<struct<token:long,n:long>>",
     )
     scored = staged(scored, "scored")
