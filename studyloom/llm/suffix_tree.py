@@ -61,11 +61,17 @@ def symbols_of(tokens: list[bytes]) -> bytes:
 
 
 def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol of the texts with the `depth` before it, packed, and the text it is in; end symbols stand before a text."""
+    """Each symbol of the texts with the `depth` before it, and the text it is in; end symbols stand before a text.
+
+    A gram holds the nearest symbol before it highest, the farthest next to
+    last, the symbol itself lowest: grams in order are in order by any suffix.
+    """
     joined = np.frombuffer(b"".join(END * depth + t for t in texts), np.uint8)
-    gram = np.zeros(max(len(joined) - depth, 0), np.uint64)
-    for i in range(depth + 1):
-        gram = gram << np.uint64(8) | joined[i : i + len(gram)]
+    n = max(len(joined) - depth, 0)
+    gram = np.zeros(n, np.uint64)
+    for i in range(depth - 1, -1, -1):
+        gram = gram << np.uint64(8) | joined[i : i + n]
+    gram = gram << np.uint64(8) | joined[depth : depth + n]
     lengths = np.array([len(t) + depth for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)
     within = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -133,32 +139,31 @@ class Tree:
         return 1 + sum(len(names) for names, *_ in self.levels)
 
 
-def build_tree(level: np.ndarray, key: np.ndarray, count: np.ndarray, depth: int = DEPTH, divergence: float = DIVERGENCE, prior: float = PRIOR, before: np.ndarray | None = None) -> Tree:
-    """From counts of (context, next symbol) of candidate contexts: level is the context's length, key its bytes and the next one packed."""
-    tables = []
-    for k in range(depth + 1):
-        own = level == k
-        order = np.argsort(key[own])
-        tables.append((key[own][order], count[own][order].astype(np.float64)))
-    total = tables[0][1].sum()
+def build_tree(tables: Iterator[tuple[np.ndarray, np.ndarray]], divergence: float = DIVERGENCE, prior: float = PRIOR, before: np.ndarray | None = None) -> Tree:
+    """From (key, count) of candidate contexts of length 0, 1, and so on; a key packs context and next symbol as grams do."""
+    key, count = next(tables)
+    total = count.sum()
     root = np.full(256, 0.5 / (total + 128))
-    root[tables[0][0]] = (tables[0][1] + 0.5) / (total + 128)
-    above, kept, found = root, [], []
-    for k in range(1, depth + 1):
-        keys, n = tables[k]
+    root[key] = (count + 0.5) / (total + 128)
+    above, above_keys, kept, found = root, None, [], []
+    for keys, n in tables:
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order].astype(np.float64)
         names, owner = np.unique(keys >> 8, return_inverse=True)
         whole, kinds = np.bincount(owner, n, len(names)), np.bincount(owner, minlength=len(names))
-        tail = keys & (1 << 8 * k) - 1
-        parent = above[tail] if k == 1 else above[np.searchsorted(tables[k - 1][0], tail)]
+        parent = above[keys & 255] if above_keys is None else above[np.searchsorted(above_keys, keys >> 16 << 8 | keys & 255)]
         ratio = 2 * np.bincount(owner, n * np.log(n / whole[owner] / parent), len(names))
         weight = prior * kinds
-        above = (n + weight[owner] * parent) / (whole + weight)[owner]
+        part = n / (whole + weight)[owner]
+        above, above_keys = part + (weight / np.maximum(whole + weight, 1))[owner] * parent, keys
         kept.append(ratio >= divergence * np.maximum(kinds - 1, 1))
-        found.append((names, weight / np.maximum(whole + weight, 1), keys, n / (whole + weight)[owner], owner))
-    for k in range(depth - 1, 0, -1):
-        names, below = found[k - 1][0], found[k][0][kept[k]]
-        kept[k - 1][np.searchsorted(names, np.unique(below & (1 << 8 * k) - 1))] = True
-    levels = [(names[k], left[k], keys[k[owner]], part[k[owner]]) for k, (names, left, keys, part, owner) in zip(kept, found, strict=True)]
+        found.append((names, weight / np.maximum(whole + weight, 1), keys, part, owner.astype(np.int32)))
+    for k in range(len(found) - 1, 0, -1):
+        kept[k - 1][np.searchsorted(found[k - 1][0], np.unique(found[k][0][kept[k]] >> 8))] = True
+    levels = []
+    for k, (names, left, keys, part, owner) in zip(kept, found, strict=True):
+        rows = k[owner]
+        levels.append((names[k], left[k], keys[rows], part[rows]))
     return Tree(np.ones(256, bool) if before is None else before, root, levels)
 
 
@@ -168,7 +173,8 @@ def _log10_of(grams: np.ndarray, root: np.ndarray, levels: list) -> np.ndarray:
     for k, (names, left, keys, part) in enumerate(levels, 1):
         if not len(names):
             break
-        gram = grams[live] & (1 << 8 * (k + 1)) - 1
+        gram = grams[live]
+        gram = gram >> 8 * (len(levels) - k + 1) << 8 | gram & 255
         at = np.minimum(np.searchsorted(names, gram >> 8), len(names) - 1)
         hit = names[at] == gram >> 8
         live, at, gram = live[hit], at[hit], gram[hit]
@@ -185,7 +191,7 @@ def score_symbols(texts: list[bytes], before: np.ndarray, root: np.ndarray, leve
     """log10 probability of each symbol string, places before which none of `before` stands left out."""
     grams, owner = grams_of(texts, len(levels))
     if not before.all():
-        own = before[grams >> 8 & 255]
+        own = before[grams >> 8 * len(levels)]
         grams, owner = grams[own], owner[own]
     grams, place = np.unique(grams, return_inverse=True)
     return np.bincount(owner, _log10_of(grams, root, levels)[place], len(texts))
@@ -240,25 +246,25 @@ def counts_of(train: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def candidate_rows(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH, least: int = LEAST) -> DataFrame:
-    """(level, key, n) of the contexts of counts_of()'s grams that occur often enough."""
+    """(level, nearest, key, n) of the contexts of counts_of()'s grams that occur often enough; nearest is a context's last symbol."""
     level = counts.where("kind = 1").select("key", "n")
     total = level.agg(F.sum("n")).first()[0] or 0
     tables = [level]
     # Each level comes from the one below, which is far shorter than all grams.
-    for k in range(depth - 1, -1, -1):
-        shorter = F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")
+    shorter = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(255)).alias("key")
+    for _ in range(depth):
         tables.append(staged(tables[-1].groupBy(shorter).agg(F.sum("n").alias("n")), "level"))
-    levels = reduce(DataFrame.union, [t.select(F.lit(depth - i).alias("level"), "key", "n") for i, t in enumerate(tables)])
+    nearest = lambda k: F.shiftright("key", 8 * k).cast("int") if k else F.lit(0)
+    levels = reduce(DataFrame.union, [t.select(F.lit(k).alias("level"), nearest(k).alias("nearest"), "key", "n") for k, t in zip(range(depth, -1, -1), tables, strict=True)])
     levels = levels.withColumn("context", F.shiftright("key", 8))
     often = levels.groupBy("level", "context").agg(F.sum("n").alias("whole")).where(F.col("whole") >= max(least, math.ceil(growth * math.sqrt(total))))
-    return staged(levels.join(often, ["level", "context"], "left_semi").select("level", "key", "n"), "candidates")
+    return staged(levels.join(often, ["level", "context"], "left_semi").select("level", "nearest", "key", "n"), "candidates")
 
 
 def fit_trees(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH, least: int = LEAST, divergence: float = DIVERGENCE, part_rows: int = PART_ROWS) -> Iterator[Tree]:
-    """The parts of the tree one by one; the rows of one part come to the driver at a time."""
+    """The parts of the tree one by one; the rows of one level of one part come to the driver at a time."""
     rows = candidate_rows(counts, depth, growth, least)
-    previous = F.shiftright("key", 8).bitwiseAND(255)
-    sizes = dict(rows.where("level > 0").groupBy(previous.alias("b")).agg(F.count("*").alias("n")).collect())
+    sizes = dict(rows.where("level > 0").groupBy("nearest").agg(F.count("*").alias("n")).collect())
     parts, held = [[]], 0
     for b in range(256):
         if parts[-1] and held + sizes.get(b, 0) > part_rows:
@@ -266,10 +272,13 @@ def fit_trees(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH, lea
             held = 0
         parts[-1].append(b)
         held += sizes.get(b, 0)
+
+    def table(level, own):
+        got = rows.where((F.col("level") == level) & (F.lit(level == 0) | F.col("nearest").isin(own))).select("key", "n").toArrow()
+        return tuple(got.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+
     for own in parts:
-        got = rows.where((F.col("level") == 0) | previous.isin(own)).toArrow()
-        before = np.isin(np.arange(256), own)
-        yield build_tree(*(got.column(c).to_numpy().astype(np.int64) for c in ("level", "key", "n")), depth, divergence, before=before)
+        yield build_tree((table(k, own) for k in range(depth + 1)), divergence, before=np.isin(np.arange(256), own))
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:

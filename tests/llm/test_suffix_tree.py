@@ -95,7 +95,8 @@ def test_divergence_and_count_prune_the_tree(documents, rows):
 
 def test_distributions_sum_to_one(documents, rows):
     tree = next(suffix_tree.fit_trees(suffix_tree.counts_of(documents(rows))))
-    contexts = np.concatenate([np.zeros(1, np.int64), *(names for names, *_ in tree.levels)])
+    depth = len(tree.levels)
+    contexts = np.concatenate([np.zeros(1, np.int64), *(names << 8 * (depth - k) for k, (names, *_) in enumerate(tree.levels, 1))])
     grams = (contexts[:, None] << 8 | np.arange(256)).ravel()
     mass = (10 ** suffix_tree._log10_of(grams, tree.root, tree.levels)).reshape(-1, 256).sum(axis=1)
     assert np.allclose(mass, 1)
