@@ -216,10 +216,8 @@ def _covered(width: int, what: str) -> str:
     with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t, {WORDS.format("text")} as w from documents),
     u as materialized (select k, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) as i from d),
     l as (select k, x, row_number() over (partition by k, x order by i) as n from (select k, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as i from d)),
-    r as (select k, count(*) as n, sum(length(regexp_replace(x, '[ 	-
-]+', '', 'g'))) as c from l
-          where n > 1 and regexp_matches(x, '[^ 	-
-]') group by k),
+    r as (select k, count(*) as n, sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) as c from l
+          where n > 1 and regexp_matches(x, '[^\x20\x09-\x0D]') group by k),
     b as (select d.k, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
                  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(r.n, 0)::bigint as n_dup_lines,
                  coalesce(g.c, 0)::bigint as n_repeat_words, coalesce(r.c, 0) as line_chars
