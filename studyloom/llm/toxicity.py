@@ -7,9 +7,11 @@ text gets 1 to 3 by thirds of how many of its words mark toxic text in the
 training rows.
 
 Features are words (letters only, lower case) and their beginnings of 4 to 7
-letters, kept if they occur in toxic training texts clearly more often than
-chance, plus the log length. The model is fitted on a bounded sample of
-labelled rows, at most TRAIN_ROWS; scoring reads every whole text.
+letters, kept if they recur in toxic training texts and occur there more often
+than chance, plus the log length. A prior holds weights of little evidence
+near 0, so that rare words may be kept in samples of every size. The model is
+fitted on a bounded sample of labelled rows, at most TRAIN_ROWS; scoring reads
+every whole text.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from studyloom.llm.common import in_fold, staged, text_chunks
 
 #: Bounds of the model: labelled rows it is fitted on, and features it keeps.
-TRAIN_ROWS, FEATURES = 20_000, 2048
-#: A feature must be in this many toxic training texts, and this many standard deviations above chance.
-LEAST_TEXTS, LEAST_Z = 5, 5.0
+TRAIN_ROWS, FEATURES = 20_000, 16_384
+#: A feature must be in several toxic training texts, and this many standard deviations above chance.
+LEAST_TEXTS, LEAST_Z = 2, 3.0
+#: Inverse variance of the Gaussian prior of the weights.
+PRIOR = 0.03
 GRADES = 4
 #: Words whose features are remembered between texts.
 MEMO = 500_000
@@ -93,9 +97,10 @@ def _vectors(features: dict[str, int]):
     return work
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, grades: int = GRADES, l2: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adam on the log-likelihood; x is given as (row, col, value)."""
+def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, grades: int = GRADES, prior: float = PRIOR, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by Adam on the log-likelihood and the weights' prior; x is given as (row, col, value)."""
     n = max(len(grade), 1)
+    l2 = prior / n
     w, raw = np.zeros(width), np.zeros(grades - 1)  # thresholds: raw[0], then steps of exp(raw)
     raw[0] = 1.0
     params = np.concatenate([w, raw])
@@ -125,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
 
     `hold_out` leaves those out whose crc32(doc_id as text) mod 3 is 1.
     Labels other than 0 and 1 and rows without a text or id are not used. With
-    no toxic or no clean row left the model calls everything clean.
+    no toxic or no clean row left the model calls everything clean. Rows that
+    repeat an id count as texts of their own; other columns are ignored.
     """
     rows = labels.where("toxic in (0, 1) and doc_id is not null")
     if hold_out:

@@ -89,6 +89,62 @@ def test_ordinal_regression_finds_order_and_weights():
     assert np.allclose(weights, [2, -1, 0], atol=0.2) and np.allclose(cuts, [0, 1.5, 3], atol=0.2)
 
 
+def test_ordinal_fit_against_a_plain_maximiser():
+    rng = np.random.default_rng(4)
+    x = rng.poisson(0.7, (150, 3)).astype(float)
+    grade = np.digitize(x @ [1.0, -0.5, 0.8] + rng.logistic(size=150), [0.5, 1.5, 3.0])
+    grade[:10] = 3
+    weights, cuts = toxicity.fit_ordinal(*np.nonzero(x), x[np.nonzero(x)], grade, 3, prior=0.5, steps=4000)
+
+    def loss(w, t):
+        """Minus the log posterior, text by text."""
+        total = 0.25 * sum(v * v for v in w)
+        for one, g in zip(x, grade, strict=True):
+            z = sum(a * b for a, b in zip(one, w, strict=True))
+            above = [1.0, *(1 / (1 + np.exp(c - z)) for c in t), 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total
+
+    # Coordinates in turn, by ever smaller steps.
+    best, size = [np.zeros(3), np.array([0.0, 1.0, 2.0])], 1.0
+    least = loss(*best)
+    while size > 1e-4:
+        moved = False
+        for part, k, sign in itertools.product((0, 1), range(3), (size, -size)):
+            tried = [best[0].copy(), best[1].copy()]
+            tried[part][k] += sign
+            if (np.diff(tried[1]) > 0).all() and (value := loss(*tried)) < least:
+                best, least, moved = tried, value, True
+        size = size if moved else size / 2
+    assert loss(weights, cuts) < least + 1e-3
+    assert np.allclose(weights, best[0], atol=0.02) and np.allclose(cuts, best[1], atol=0.02)
+
+
+def test_severity_against_a_plain_scorer(spark, documents, awkward):
+    names = {"foul": 0, "foul*": 1, "word": 2, "no": 3}
+    model = toxicity.Model(names, np.array([1.5, 0.7, -0.4, 0.2, 0.3]), np.array([0.5, 1.4, 2.2]))
+    texts = [*awkward, "Foul word, FOULER word no!", "foul " * 300 + "no", "foulest foulest\nno-no"]
+    out = {r.doc_id: r for r in toxicity.severity(documents(list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        z = 0.3 * np.log1p(len(words)) / 10
+        for name, k in names.items():
+            n = sum(w == name or name.endswith("*") and len(w) > len(name) - 1 and w.startswith(name[:-1]) for w in words)
+            z += model.weights[k] * (1 + np.log(n)) if n else 0.0
+        above = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert np.isclose(out[i].severity, sum(above)) and np.isclose(out[i].p_toxic, above[0])
+        assert out[i].grade == sum(a >= 0.5 for a in above)
+
+
+def test_few_toxic_texts_are_enough_for_their_words(spark, documents, prose):
+    rows = [(i, prose(60, i) + (" wretch" if i < 4 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i < 4), "x") for i in range(60)], "doc_id long, quality int, toxic int, text string")
+    model = toxicity.train(documents(rows), labels)
+    got = toxicity.severity(documents([(1, prose(60, 500) + " Wretch!"), (2, prose(60, 501))]), model).collect()
+    p = {r.doc_id: r.p_toxic for r in got}
+    assert p[1] >= 0.5 > p[2]
+
+
 @needs_data
 def test_toxic_documents_are_caught_and_clean_ones_left(spark):
     scored = QUERIES["op9_toxicity"](spark, FOLDER.replace("0.01", "0.1")).toPandas()
