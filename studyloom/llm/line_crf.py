@@ -4,8 +4,8 @@ Every line is labelled good or bad from features of itself and of its two
 neighbours; transitions tie neighbouring labels. Forward-backward gives each
 line's marginal, and the quality of a document is their mean weighted by line
 length. Labels exist for documents only, so in training every line carries its
-document's label. The model is fitted on a bounded sample of labelled rows, at
-most TRAIN_ROWS whole texts.
+document's label. The model is fitted on a bounded sample of labelled rows: at
+most TRAIN_ROWS texts, cut into slices, and about TRAIN_LINES lines of those.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import in_fold, text_chunks
+from studyloom.llm.common import in_fold, staged, text_chunks
 
-TRAIN_ROWS = 4000
+#: Bounds of the sample the model is fitted on: labelled texts, and lines (240 bytes each on the driver).
+TRAIN_ROWS, TRAIN_LINES = 4000, 300_000
+#: Lines of one slice of a text in training; scoring runs over whole texts.
+SLICE = 256
 #: Byte classes counted per line: letters by case, digits, spaces, and kinds of punctuation.
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:", b"!?", b"|", b"#$%&*", b"<>{}[]()=/\\_", bytes(range(128, 256))]
 _CLASS_OF = np.full(256, len(_CLASSES), np.uint8)
@@ -154,31 +157,48 @@ def fit(features: np.ndarray, per_text: np.ndarray, label: np.ndarray, steps: in
     return Model(mean, scale, params[:-4], params[-4:].reshape(2, 2))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = pa.schema([("label", pa.int32()), ("lines", pa.int64()), ("features", pa.binary())])
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of texts of SLICE lines at most: label, id, number in the text, lines, their features with those of neighbours."""
+    fields = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("slice", pa.int64()), ("lines", pa.int64()), ("features", pa.binary())])
     for batch, texts in text_chunks(batches):
         own, _, per_text = line_features(texts)
-        parts = np.split(own, np.cumsum(per_text)[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.int32()), pa.array(per_text), pa.array([p.astype(np.float16).tobytes() for p in parts], pa.binary())], schema=fields)
-
-
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+        starts = np.cumsum(per_text) - per_text
+        columns = [np.asarray(batch.column(c)) for c in ("label", "doc_id")]
+        at = [(i, k) for i, n in enumerate(per_text) for k in range(0, n, SLICE)]
+        x = with_neighbours(own.astype(np.float16), per_text)
+        for part in (at[k : k + 2000] for k in range(0, len(at), 2000)):
+            text, first = np.array(part).T
+            n = np.minimum(per_text[text] - first, SLICE)
+            packed = [x[starts[i] + k : starts[i] + k + m].tobytes() for (i, k), m in zip(part, n, strict=True)]
+            arrays = [pa.array(columns[0][text], pa.int32()), pa.array(columns[1][text], pa.int64()), pa.array(first // SLICE, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=fields)
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_lines: int = TRAIN_LINES) -> Model:
     """Fit on documents labelled 0 or 1 whose crc32(doc_id as text) mod 3 is not 1, `train_rows` at most by hash order.
 
-    Rows without a label, text or id are not used. Without any row left, or with
-    one class only, the model scores every line by that class's share.
+    Long texts are cut into slices, and if the slices have over `train_lines`
+    lines, about so many of them are drawn by hash; no line is left out for its
+    place in a text. Rows without a label, text or id are not used. Without any
+    row left, or with one class only, the model scores every line by that
+    class's share. Other columns are ignored.
     """
     rows = labels.where("quality in (0, 1) and doc_id is not null").where(~in_fold(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    # TRAIN_ROWS bounds the broadcast list.
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("label", "text")
-    got = sample.mapInArrow(_lines, "label int, lines long, features binary").toPandas()
-    label, per_text = got["label"].to_numpy(), got["lines"].to_numpy()
+    # TRAIN_ROWS bounds the broadcast list, TRAIN_LINES what reaches the driver.
+    sample = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("label", "doc_id", "text")
+    slices = staged(sample.mapInArrow(_slices, "label int, doc_id long, slice long, lines long, features binary"), "crf-lines")
+    total = slices.agg(F.sum("lines")).first()[0] or 0
+    if total > train_lines:
+        slices = slices.where(F.pmod(F.xxhash64("doc_id", "slice", "features"), F.lit(1 << 30)) < int((1 << 30) * train_lines / total))
+    # Order decides nothing but the last digits of sums; with it they are the same every time.
+    got = slices.select("label", "lines", "features").orderBy("doc_id", "slice", "features").toPandas()
+    label, lines = got["label"].to_numpy(), got["lines"].to_numpy()
     if len(set(label)) < 2:
         width, bias = 3 * OWN, {0: 0.0, 1: float(np.mean(label) * 8 - 4) if len(label) else 0.0}[min(len(label), 1)]
         return Model(np.zeros(width), np.ones(width), np.eye(width)[OWN - 1] * bias, np.zeros((2, 2)))
-    own = np.frombuffer(b"".join(got["features"]), np.float16).reshape(-1, OWN).astype(np.float32)
-    return fit(with_neighbours(own, per_text).astype(np.float64), per_text, label)
+    x = np.frombuffer(b"".join(got["features"]), np.float16).reshape(-1, 3 * OWN)
+    return fit(x.astype(np.float64), lines, label)
 
 
 def score_texts(texts: list[bytes | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

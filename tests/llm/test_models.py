@@ -66,6 +66,19 @@ def test_quality_of_held_out_documents(spark):
     assert len(scored) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
 
 
+def test_training_on_very_long_texts_is_bounded(spark, documents, monkeypatch):
+    good, bad = "A clear sentence follows here.\n", "|| 00 ##\n"
+    rows = [(1, good * 100_000), (2, bad * 100_000), *((i, (good, bad)[i % 2] * 3) for i in range(3, 40))]
+    labels = spark.createDataFrame([(i, int(good in t), 0) for i, t in rows], "doc_id long, quality int, toxic int")
+    fitted = []
+    fit = line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda x, lines, label: fitted.append((len(x), lines.max())) or fit(x, lines, label, steps=40))
+    model = line_crf.train(documents(rows), labels, train_lines=20_000)
+    assert 5_000 < fitted[0][0] < 40_000 and fitted[0][1] <= line_crf.SLICE
+    scores = line_crf.score_texts([good.encode() * 50, bad.encode() * 50], model)[0]
+    assert scores[0] > 0.9 and scores[1] < 0.1
+
+
 def test_quality_of_odd_tables(spark, documents, awkward):
     docs = documents([*enumerate(awkward), (None, "x"), (0, None)])
     labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(8)] + [(None, 1, 0, "x"), (3, None, 0, "x"), (4, 7, 0, "x")], "doc_id long, quality int, toxic int, text string")
