@@ -14,11 +14,12 @@ the longest kept suffix of what stands before it.
 
 Counts cover every training text and are made by the executors. The tree falls
 apart by the symbol right before the scored one: nothing else of it is needed
-there. It is fitted and broadcast in parts of such symbols, of PART_ROWS rows
-at most unless one symbol alone has more, and each part scores the places that
-are its own in a pass over the texts. So neither the driver nor a task holds a
-tree that grows without bound; common corpora need one pass. A task scores
-each different run of DEPTH + 1 symbols of a chunk of text once.
+there. It is fitted in parts of such symbols, of PART_ROWS candidate rows at
+most, and broadcast in parts of PASS_ROWS kept rows at most, unless one symbol
+alone has more; each broadcast part scores the places that are its own in a
+pass over the texts. So neither the driver nor a task holds a tree that grows
+without bound; common corpora need one pass. A task scores each different run
+of DEPTH + 1 symbols of a chunk of text once, from the longest suffix on.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ GROWTH, LEAST = 1 / 700, 2
 DIVERGENCE = 2.0
 #: Weight of the parent's distribution, in observations per different next symbol.
 PRIOR = 6.0
-#: Rows (context, next symbol) of one part of the tree, 32 bytes each.
+#: Rows (context, next symbol) of candidates that are fitted at a time, 32 bytes each.
 PART_ROWS = 4_000_000
+#: Kept rows that one pass over the texts scores with, 16 bytes each.
+PASS_ROWS = 6_000_000
 #: Tokens of at least this share of the training tokens are looked up in a broadcast table: 5 million at most.
 FREQUENT = 2e-7
 END = b"\n"
@@ -128,7 +131,7 @@ class Tree:
 
     before: np.ndarray
     root: np.ndarray  # probability of each byte value after the empty context
-    # By length: contexts, what is left to the parent, (context, next symbol) packed, and what that adds.
+    # By length: contexts, what is left to the parent, (context, next symbol) packed, and its probability.
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     def arrays(self) -> tuple:
@@ -138,6 +141,14 @@ class Tree:
     def contexts(self) -> int:
         return 1 + sum(len(names) for names, *_ in self.levels)
 
+    def rows(self) -> int:
+        return sum(len(keys) for _, _, keys, _ in self.levels)
+
+    def joined(self, after: Tree) -> Tree:
+        """This part and another whose symbols all come after its own."""
+        levels = [tuple(map(np.concatenate, zip(a, b, strict=True))) for a, b in zip(self.levels, after.levels, strict=True)]
+        return Tree(self.before | after.before, self.root, levels)
+
 
 def build_tree(tables: Iterator[tuple[np.ndarray, np.ndarray]], divergence: float = DIVERGENCE, prior: float = PRIOR, before: np.ndarray | None = None) -> Tree:
     """From (key, count) of candidate contexts of length 0, 1, and so on; a key packs context and next symbol as grams do."""
@@ -157,33 +168,38 @@ def build_tree(tables: Iterator[tuple[np.ndarray, np.ndarray]], divergence: floa
         part = n / (whole + weight)[owner]
         above, above_keys = part + (weight / np.maximum(whole + weight, 1))[owner] * parent, keys
         kept.append(ratio >= divergence * np.maximum(kinds - 1, 1))
-        found.append((names, weight / np.maximum(whole + weight, 1), keys, part, owner.astype(np.int32)))
+        found.append((names, weight / np.maximum(whole + weight, 1), keys, above, owner.astype(np.int32)))
     for k in range(len(found) - 1, 0, -1):
         kept[k - 1][np.searchsorted(found[k - 1][0], np.unique(found[k][0][kept[k]] >> 8))] = True
     levels = []
-    for k, (names, left, keys, part, owner) in zip(kept, found, strict=True):
+    for k, (names, left, keys, prob, owner) in zip(kept, found, strict=True):
         rows = k[owner]
-        levels.append((names[k], left[k], keys[rows], part[rows]))
+        levels.append((names[k], left[k], keys[rows], prob[rows]))
     return Tree(np.ones(256, bool) if before is None else before, root, levels)
 
 
 def _log10_of(grams: np.ndarray, root: np.ndarray, levels: list) -> np.ndarray:
-    """log10 probability of each gram's last symbol after the longest kept suffix of those before it."""
-    prob, live = root[grams & 255], np.arange(len(grams))
-    for k, (names, left, keys, part) in enumerate(levels, 1):
-        if not len(names):
-            break
-        gram = grams[live]
-        gram = gram >> 8 * (len(levels) - k + 1) << 8 | gram & 255
-        at = np.minimum(np.searchsorted(names, gram >> 8), len(names) - 1)
-        hit = names[at] == gram >> 8
-        live, at, gram = live[hit], at[hit], gram[hit]
-        # Kept contexts are closed under suffixes: who fails here has no longer one.
-        new = prob[live] * left[at]
-        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-        hit = keys[at] == gram
-        new[hit] += part[at[hit]]
-        prob[live] = new
+    """log10 probability of each gram's last symbol after the longest kept suffix of those before it; fastest on grams in order."""
+    prob, live = np.ones(len(grams)), np.arange(len(grams))
+    for k in range(len(levels), 0, -1):
+        names, left, keys, probs = levels[k - 1]
+        if not (len(names) and len(live)):
+            continue
+        context = grams[live] >> 8 * (len(levels) - k + 1)
+        # Grams in order have equal contexts side by side: each is looked up once.
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        heads = context[new]
+        at = np.minimum(np.searchsorted(names, heads), len(names) - 1)
+        lengths = np.diff(np.flatnonzero(np.concatenate([new, [True]])))
+        own = np.flatnonzero(np.repeat(names[at] == heads, lengths))
+        gram = context[own] << 8 | grams[live[own]] & 255
+        row = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        seen = keys[row] == gram
+        prob[live[own[seen]]] *= probs[row[seen]]
+        # A symbol not seen after a context gets what that leaves to its parent, which is kept too.
+        prob[live[own[~seen]]] *= np.repeat(left[at], lengths)[own[~seen]]
+        live = np.delete(live, own[seen])
+    prob[live] *= root[grams[live] & 255]
     return np.log10(prob)
 
 
@@ -193,8 +209,11 @@ def score_symbols(texts: list[bytes], before: np.ndarray, root: np.ndarray, leve
     if not before.all():
         own = before[grams >> 8 * len(levels)]
         grams, owner = grams[own], owner[own]
-    grams, place = np.unique(grams, return_inverse=True)
-    return np.bincount(owner, _log10_of(grams, root, levels)[place], len(texts))
+    order = np.argsort(grams)
+    grams = grams[order]
+    new = np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)]
+    logs = _log10_of(grams[new], root, levels)
+    return np.bincount(owner[order], logs[np.cumsum(new) - 1], len(texts))
 
 
 def _add(tree):
@@ -261,8 +280,8 @@ def candidate_rows(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH
     return staged(levels.join(often, ["level", "context"], "left_semi").select("level", "nearest", "key", "n"), "candidates")
 
 
-def fit_trees(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH, least: int = LEAST, divergence: float = DIVERGENCE, part_rows: int = PART_ROWS) -> Iterator[Tree]:
-    """The parts of the tree one by one; the rows of one level of one part come to the driver at a time."""
+def fit_trees(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH, least: int = LEAST, divergence: float = DIVERGENCE, part_rows: int = PART_ROWS, pass_rows: int = PASS_ROWS) -> Iterator[Tree]:
+    """The parts of the tree that a pass scores with, one by one; the candidates of one level of one fitted part come to the driver at a time."""
     rows = candidate_rows(counts, depth, growth, least)
     sizes = dict(rows.where("level > 0").groupBy("nearest").agg(F.count("*").alias("n")).collect())
     parts, held = [[]], 0
@@ -277,8 +296,15 @@ def fit_trees(counts: DataFrame, depth: int = DEPTH, growth: float = GROWTH, lea
         got = rows.where((F.col("level") == level) & (F.lit(level == 0) | F.col("nearest").isin(own))).select("key", "n").toArrow()
         return tuple(got.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
 
+    held = None
     for own in parts:
-        yield build_tree((table(k, own) for k in range(depth + 1)), divergence, before=np.isin(np.arange(256), own))
+        tree = build_tree((table(k, own) for k in range(depth + 1)), divergence, before=np.isin(np.arange(256), own))
+        if held is None or held.rows() + tree.rows() <= pass_rows:
+            held = tree if held is None else held.joined(tree)
+        else:
+            yield held
+            held = tree
+    yield held
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:

@@ -59,12 +59,12 @@ def rows(prose, awkward):
     return [*((i, t) for i, t in enumerate(texts)), (None, "no id"), (7, texts[7]), (8, "another text")]
 
 
-@pytest.mark.parametrize("part_rows", [suffix_tree.PART_ROWS, 900])
-def test_scores_are_those_of_the_plain_tree(documents, rows, monkeypatch, part_rows):
-    """In one pass, and in parts of the tree that add up."""
+@pytest.mark.parametrize("part_rows, pass_rows", [(suffix_tree.PART_ROWS, suffix_tree.PASS_ROWS), (900, 900), (300, suffix_tree.PASS_ROWS)])
+def test_scores_are_those_of_the_plain_tree(documents, rows, monkeypatch, part_rows, pass_rows):
+    """In one pass, in parts of the tree that add up, and in one pass with a tree joined from parts."""
     fit = suffix_tree.fit_trees
     parts = []
-    monkeypatch.setattr(suffix_tree, "fit_trees", lambda counts: iter(parts.append(t) or t for t in fit(counts, part_rows=part_rows)))
+    monkeypatch.setattr(suffix_tree, "fit_trees", lambda counts: iter(parts.append(t) or t for t in fit(counts, part_rows=part_rows, pass_rows=pass_rows)))
     monkeypatch.setattr(suffix_tree, "FREQUENT", 0.004)  # so that both look-ups are used
     docs = documents(rows)
     out = suffix_tree.score(docs, suffix_tree.training_texts(docs))
@@ -84,7 +84,7 @@ def test_scores_are_those_of_the_plain_tree(documents, rows, monkeypatch, part_r
         assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-6, atol=1e-4)
     assert len(kept) > 100 and {len(k) for k in kept} == set(range(suffix_tree.DEPTH + 1))
     assert sum(t.contexts() - 1 for t in parts) == len(kept) - 1
-    assert (len(parts) > 2) == (part_rows == 900) and sum(t.before.sum() for t in parts) == 256
+    assert (len(parts) > 2) == (pass_rows == 900) and sum(t.before.sum() for t in parts) == 256
 
 
 def test_divergence_and_count_prune_the_tree(documents, rows):
