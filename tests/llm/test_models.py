@@ -56,6 +56,55 @@ def test_a_text_scores_alike_in_any_company():
     assert ((together >= 0) & (together <= 1)).all() and together[1] == together[2]
 
 
+def test_line_features_against_plain_counts(awkward):
+    texts = [t if t is None else t.encode() for t in awkward]
+    texts += [b"One two two.\nOne two two.\n\n | 3 #\t\n", "é Ü\x00 x!".encode(), b"a" * 300 + b"\nEnd?  "]
+    got, lengths, per_text = line_crf.line_features(texts)
+    want = []
+    for text in texts:
+        lines = (text or b"").split(b"\n")
+        for line in lines:
+            shares = [sum(c in kind for c in line) / max(len(line), 1) for kind in line_crf._CLASSES]
+            shares.append(sum(not any(c in kind for kind in line_crf._CLASSES) for c in line) / max(len(line), 1))
+            words = line.split()
+            n = len(words)
+            told = [len(set(words)) / n, max(words.count(w) for w in words) / n, sum(w[:1].isupper() for w in words) / n, line.split()[-1][-1:] in (b".", b"!", b"?")] if n else [0] * 4
+            want.append([*shares, np.log1p(len(line)), np.log1p(n), min(len(line) / max(n, 1), 50), *told, np.log(lines.count(line)), 1])
+    assert per_text.tolist() == [(t or b"").count(b"\n") + 1 for t in texts] and lengths.sum() + per_text.sum() - len(texts) == sum(len(t or b"") for t in texts)
+    assert np.allclose(got, np.array(want, float), atol=1e-5)
+    wide = line_crf.with_neighbours(got, per_text)
+    at = 0
+    for n in per_text:
+        for k in range(n):
+            zero = np.zeros(line_crf.OWN)
+            before, after = got[at + k - 1] if k else zero, got[at + k + 1] if k + 1 < n else zero
+            assert np.allclose(wide[at + k], np.concatenate([got[at + k], before, after]))
+        at += n
+
+
+def test_crf_fit_is_the_top_of_the_plain_likelihood():
+    rng = np.random.default_rng(8)
+    per_text = rng.integers(1, 5, 24)
+    label = np.arange(24) % 2
+    x = rng.standard_normal((per_text.sum(), 3)) + 0.6 * np.repeat(label, per_text)[:, None] * [1, -1, 0]
+    model = line_crf.fit(x, per_text, label, steps=3000, l2=0.05)
+    own = np.split((x - model.mean) / model.scale, np.cumsum(per_text)[:-1])
+
+    def loss(params):
+        """Minus the mean log-likelihood over all labellings, and the penalty."""
+        w, links = params[:3], params[3:].reshape(2, 2)
+        weight = lambda odds, y: np.exp(sum(o for o, v in zip(odds, y) if v) + sum(links[a, b] for a, b in itertools.pairwise(y)))
+        total = 0.05 / 2 * (params @ params)
+        for rows, y in zip(own, label, strict=True):
+            odds = rows @ w
+            total -= np.log(weight(odds, [y] * len(odds)) / sum(weight(odds, other) for other in itertools.product((0, 1), repeat=len(odds)))) / len(own)
+        return total
+
+    top = np.concatenate([model.weights, model.links.ravel()])
+    slopes = [(loss(top + 1e-4 * e) - loss(top - 1e-4 * e)) / 2e-4 for e in np.eye(7)]
+    assert np.abs(slopes).max() < 1e-3 and loss(top) < loss(np.zeros(7)) - 0.1
+
+
 @needs_data
 def test_quality_of_held_out_documents(spark):
     scored = QUERIES["op6_line_crf"](spark, FOLDER).toPandas()
@@ -202,6 +251,41 @@ def test_rates_against_a_plain_solver(spark):
     assert np.allclose(brought / brought.sum(), share, atol=0.02)
 
 
+def test_posteriors_against_a_plain_classifier(spark, awkward):
+    rng = np.random.default_rng(9)
+    model = mixing.Classifier(["a", "b", "c"], rng.random(257) / 20, rng.random(257) + 0.1, rng.standard_normal((258, 3)))
+    texts = [t if t is None else t.encode() for t in awkward] + [b"x", "Ünï ".encode() * 400]
+    got = mixing.posteriors(texts, model)
+    for text, row in zip(texts, got, strict=True):
+        features = [np.sqrt(text.count(bytes([b])) / len(text)) if text else 0.0 for b in range(256)] + [np.log1p(len(text or b""))]
+        z = [model.weights[257, d] + sum(min(max((f - m) / s, -6), 6) * w for f, m, s, w in zip(features, model.mean, model.scale, model.weights[:, d])) for d in range(3)]
+        assert np.allclose(row, [np.exp(v - max(z)) / sum(np.exp(u - max(z)) for u in z) for v in z], atol=1e-4)
+
+
+def test_classifier_fit_against_plain_descent(spark):
+    """Its penalised loss is as low as that of plain gradient steps, many of them."""
+    rng = np.random.default_rng(10)
+    words = {"en": "the of and that with", "fr": "le des et que avec", "low": "## || 00 $$ %%"}
+    rows = [(i, " ".join(rng.choice(words[d].split(), 30)), d) for i, d in enumerate(sorted(words) * 12)]
+    rows += [(900, None, "en"), (901, "of no domain", "xx")]
+    model = mixing.train(spark.createDataFrame(rows, "doc_id long, text string, domain string"), sorted(words))
+    known = [r for r in rows if r[1] is not None and r[2] in words]
+    x = np.clip((mixing.text_features([r[1].encode() for r in known]) - model.mean) / model.scale, -6, 6)
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    y = np.eye(3)[[sorted(words).index(r[2]) for r in known]]
+
+    def loss(w):
+        z = x @ w
+        z = z - z.max(axis=1, keepdims=True)
+        return -(y * (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))).sum() / len(x) + 1e-3 / 2 * (w * w).sum()
+
+    w = np.zeros_like(model.weights)
+    for _ in range(4000):
+        e = np.exp(x @ w - (x @ w).max(axis=1, keepdims=True))
+        w -= 0.02 * (x.T @ (e / e.sum(axis=1, keepdims=True) - y) / len(x) + 1e-3 * w)
+    assert loss(model.weights) < loss(w) + 5e-3
+
+
 @needs_data
 def test_mixing_reaches_its_targets(spark):
     got = QUERIES["op3_mixing"](spark, FOLDER).toPandas()
