@@ -13,6 +13,7 @@ from studyloom.sources import (
     conform,
     last_taken,
     load,
+    quoted_records,
     read_csv,
     read_lab_tables,
     read_lab_tables_jdbc,
@@ -237,3 +238,13 @@ def test_a_second_extract_rewrites_only_what_may_have_changed(spark, frame, tmp_
     )
     update_extract(frame(schema, *new).limit(0), folder)
     assert last_taken(spark, folder) == date(2021, 4, 1) and load(spark, folder, "lab_system").count() == 6
+
+
+def test_records_are_pieced_together_without_shuffling_whole_lines(spark, tmp_path):
+    """One split a file: no shuffle at all; many splits: only the records over their ends are."""
+    _write(tmp_path / "a.csv", ["id", "text"], *[[str(i), "one\n\ntwo"] for i in range(50)])
+    records = quoted_records(spark, str(tmp_path))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert rows(records, "number", "record") == sorted([(1, "id,text"), *[(i + 2, f'{i},"one\n\ntwo"') for i in range(50)]], key=lambda r: str(r[0]))
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
