@@ -9,6 +9,7 @@ left, semi and anti joins are used.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -20,6 +21,10 @@ Key = str | tuple[str, str]
 
 #: Parameter lists up to this length are broadcast.
 BROADCAST_ROWS = 10_000
+#: Pairs of a point and a band filed under its cell that one task of a band join goes through, about.
+TASK_PAIRS = 2_000_000
+#: Tasks for each such share of the work, so that cells that meet in a task by chance make it little longer; and tasks at most.
+TASKS_PER_SHARE, MOST_TASKS = 2, 20_000
 
 
 def _pairs(on: Key | Sequence[Key]) -> list[tuple[str, str]]:
@@ -185,6 +190,11 @@ def band_join(
     the bands is taken: then they are filed three times each at most on
     average. Overlapping bands give a row each; a missing key, point or bound
     matches nothing. Columns of both sides must differ in name, keys apart.
+
+    Where the pairs to go through are too many for a task, they are counted by
+    key and cell, and the points of a cell with many of them are dealt out, by a
+    hash of the row, over several tasks that all get the cell's bands. Equal
+    rows stay together.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type {how}")
@@ -198,9 +208,50 @@ def band_join(
         return F.floor(F.col(c) / width).cast("long")
 
     filed = bands.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high)))).withColumnsRenamed({r: f"__k{i}" for i, (_, r) in enumerate(pairs)})
-    same = [df[l] == filed[f"__k{i}"] for i, (l, _) in enumerate(pairs)]
-    same += [cell(point) == filed["__cell"], F.col(point).between(F.col(low), F.col(high))]
-    return df.join(filed, reduce(Column.__and__, same), how).drop("__cell", *[f"__k{i}" for i in range(len(pairs))])
+    keys = [f"__k{i}" for i in range(len(pairs))]
+    near = F.col(point).between(F.col(low), F.col(high))
+    work = _band_work(df.select(*[F.col(f"`{l}`").alias(k) for k, (l, _) in zip(keys, pairs)], cell(point).alias("__cell")), filed.select(*keys, "__cell"))
+    tasks, cut = work.agg(F.sum(F.col("__work") / TASK_PAIRS), F.count_if(F.col("__pieces") > 1)).first()
+    if not tasks or tasks <= 1:
+        same = [df[l] == filed[k] for k, (l, _) in zip(keys, pairs)] + [cell(point) == filed["__cell"], near]
+        return df.join(filed, reduce(Column.__and__, same), how).drop("__cell", *keys)
+
+    # The pairs of a cell come from few rows: tasks of equal bytes would leave them all to a few tasks.
+    place = [df[l] for l, _ in pairs] + [cell(point)]
+    number = F.lit(0)
+    if cut:
+        heavy = work.filter("__pieces > 1").select(*[F.col(c).alias(f"{c}_h") for c in (*keys, "__cell")], F.col("__pieces"))
+        at = [c.eqNullSafe(heavy[f"{k}_h"]) for c, k in zip(place, (*keys, "__cell"))]
+        df = df.join(heavy, reduce(Column.__and__, at), "left").drop(*[f"{k}_h" for k in (*keys, "__cell")])
+        hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name != "__pieces" and not _has_map(f.dataType)]
+        number = F.pmod(F.xxhash64(*hashed), F.coalesce("__pieces", F.lit(1)))
+        at = [filed[k] == heavy[f"{k}_h"] for k in (*keys, "__cell")]
+        filed = filed.join(heavy, reduce(Column.__and__, at), "left").drop(*[f"{k}_h" for k in (*keys, "__cell")])
+        filed = filed.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
+    else:
+        filed = filed.withColumn("__piece", F.lit(0).cast("long"))
+    n = min(math.ceil(tasks) * TASKS_PER_SHARE, MOST_TASKS)
+    placed = df.withColumns({**{f"__p{i}": F.col(f"`{l}`") for i, (l, _) in enumerate(pairs)}, "__at": cell(point), "__number": number.cast("long")}).drop("__pieces")
+    on_left = [*[f"__p{i}" for i in range(len(pairs))], "__at", "__number"]
+    on_right = [*keys, "__cell", "__piece"]
+    placed, filed = placed.repartition(n, *on_left), filed.repartition(n, *on_right)
+    same = [placed[l] == filed[r] for l, r in zip(on_left, on_right)] + [near]
+    return placed.join(filed, reduce(Column.__and__, same), how).drop(*on_left, *on_right)
+
+
+def _has_map(data_type: T.DataType) -> bool:
+    return "map<" in data_type.simpleString() or "variant" in data_type.simpleString()
+
+
+def _band_work(points: DataFrame, filed: DataFrame) -> DataFrame:
+    """Per key and cell of the points: the rows a band join reads and pairs there, and in how many pieces its points are dealt out."""
+    names = points.columns
+    bands = filed.groupBy(*[F.col(c).alias(f"{c}_b") for c in names]).agg(F.count(F.lit(1)).alias("__bands"))
+    counted = points.groupBy(*names).agg(F.count(F.lit(1)).alias("__points"))
+    same = [counted[c] == bands[f"{c}_b"] for c in names]
+    work = F.col("__points") * (1 + F.coalesce("__bands", F.lit(0)))
+    out = counted.join(bands, reduce(Column.__and__, same), "left").select(*names, work.alias("__work"))
+    return out.withColumn("__pieces", F.ceil(F.col("__work") / TASK_PAIRS))
 
 
 def inline_table(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:

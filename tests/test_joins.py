@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from studyloom import operators as op
+from studyloom.operators import joins
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +126,17 @@ def test_band_join_is_the_join_with_between(frame, width):
         assert rows(got, "i", "name") == rows(points.join(bands, both, how), "i", "name")
         assert got.columns == ["i", "k", "x", "lo", "hi", "name"]
     assert op.band_join(points, bands.limit(0), [("k", "kk")], "x", "lo", "hi").count() == 200
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_pairs_of_a_busy_cell_are_dealt_out(frame, monkeypatch, how):
+    """Three points in four and most bands share a key and a cell: tasks go through a part of the pairs, points without bands kept once."""
+    monkeypatch.setattr(joins, "TASK_PAIRS", 500)
+    points = frame("i int, k string, x int", *[(i, None if i % 9 == 0 else "a" if i % 4 else "b", None if i % 11 == 0 else i % 10) for i in range(600)], *[(i, "c", 3) for i in range(700, 900)])
+    bands = frame("kk string, lo int, hi int, name int", *[("a", n % 7, n % 7 + 3, n) for n in range(60)], ("b", 2, 4, 100), (None, 0, 9, 101))
+    both = (points.k == bands.kk) & points.x.between(bands.lo, bands.hi)
+    got = op.band_join(points, bands, [("k", "kk")], "x", "lo", "hi", 10, how)
+    assert got.columns == ["i", "k", "x", "lo", "hi", "name"]
+    assert rows(got, "i", "k", "x", "name", "lo", "hi") == rows(points.join(bands, both, how), "i", "k", "x", "name", "lo", "hi")
+    sizes = [r["count"] for r in got.where("name is not null").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 4
