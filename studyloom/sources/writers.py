@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studyloom.operators.reshape import arrange
+from studyloom.session import shared_dir
 from studyloom.sources.listings import LISTINGS
 
 # Worklist name -> reading order. Lists kept per staff member are one list
@@ -41,6 +43,10 @@ WORKLISTS: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Rows of a run that one task sorts and writes, about.
+ROWS_PER_TASK = 400_000
+
+
 def write_worklist(df: DataFrame, folder: str, name: str, max_rows_per_file: int = 1_000_000) -> str:
     """One named CSV list in its reading order, as a folder of header files."""
     order = [c for c in WORKLISTS.get(name, ()) if c in df.columns]
@@ -117,9 +123,14 @@ def write_run(lists: Mapping[str, DataFrame], folder: str, run: str, team_col: s
         order = [c for c in WORKLISTS.get(name, ()) if c in shown]
         tagged.append(df.select(F.lit(name).alias("list"), team.alias("team"), _place(df, order).alias("place"), _line([F.col(f"`{c}`") for c in shown]).alias("value")))
         headers.append((name, ",".join(shown)))
-    rows = reduce(DataFrame.union, tagged)
-    # A team's rows meet in as few tasks as their size asks for.
-    rows = rows.hint("rebalance", F.col("list"), F.col("team")).sortWithinPartitions("list", "team", "place")
+    # Bytes of a shuffle say little about the memory a sort takes, as lists compress well: tasks are cut by rows, which are written once to be counted.
+    kept, all_rows = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}", reduce(DataFrame.union, tagged)
+    all_rows.write.parquet(kept)
+    rows = spark.read.schema(all_rows.schema).parquet(kept)
+    tasks = -(-rows.count() // ROWS_PER_TASK)
+    # A team's rows meet in as few tasks as their number asks for; equal places are told apart by the row.
+    order = "list", "team", "place"
+    rows = rows.repartitionByRange(max(tasks, 1), *order, F.xxhash64("value")).sortWithinPartitions(*order)
     path = f"{folder}/lists/run={run}"
     rows.drop("place").write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).partitionBy("list", "team").text(path)
     written = spark.read.schema("value string, list string, team string").text(path)

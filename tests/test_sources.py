@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studyloom.fixed_values import CHEMISTRY_COLUMNS, HAEMATOLOGY_COLUMNS
 from studyloom.plans.extract import lab_extract
+from studyloom.sources import writers
 from studyloom.sources import (
     LISTINGS,
     WORKLISTS,
@@ -248,3 +249,15 @@ def test_records_are_pieced_together_without_shuffling_whole_lines(spark, tmp_pa
     assert "Exchange" not in plan and "Window" not in plan
     assert rows(records, "number", "record") == sorted([(1, "id,text"), *[(i + 2, f'{i},"one\n\ntwo"') for i in range(50)]], key=lambda r: str(r[0]))
     assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_a_list_of_many_rows_is_sorted_by_several_tasks(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "ROWS_PER_TASK", 100)
+    long = frame("subject long, note string", *[(i * 7 % 1000, "n") for i in range(1000)])
+    manifest = write_run({"open_events": long, "open_queries": long.limit(5)}, str(tmp_path), "r1")
+    assert rows(manifest, "list", "n") == [("open_events", 1000), ("open_queries", 5)]
+    files = [f.read_text().splitlines() for f in (tmp_path / "lists/run=r1/list=open_events/team=all").glob("part*")]
+    assert len(files) > 5 and max(map(len, files)) <= 400
+    # Files follow on each other in the reading order.
+    assert [int(line.split(",")[0]) for f in sorted(files, key=lambda f: int(f[0].split(",")[0])) for line in f] == list(range(1000))
+    assert read_run(spark, str(tmp_path), "open_events").count() == 1000
