@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,7 +186,12 @@ def update_extract(df: DataFrame, folder: str, late_days: int = 30) -> str:
     path, since = f"{folder}/{LISTINGS['lab_system'].file}", last_taken(spark, folder)
     if since is not None:
         df = df.filter(F.col("sample_date").isNull() | (F.col("sample_date") >= F.lit(since - timedelta(days=late_days))))
+    # The latest date is taken down as the rows are written: the extract is not worked out a second time for it.
+    latest = Observation()
+    df = df.observe(latest, F.max("sample_date").alias("sample_date"))
     rows = extract_columns(df).hint("rebalance", F.col("sampledate"))
     rows.write.mode("overwrite").option("header", True).option("partitionOverwriteMode", "dynamic").partitionBy("sampledate").csv(path)
-    df.agg(F.max("sample_date").alias("sample_date")).filter("sample_date is not null").write.mode("append").parquet(f"{folder}/{TAKEN}")
+    taken = latest.get.get("sample_date")
+    if taken is not None:
+        spark.createDataFrame([(taken,)], "sample_date date").write.mode("append").parquet(f"{folder}/{TAKEN}")
     return path

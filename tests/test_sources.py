@@ -261,3 +261,17 @@ def test_a_list_of_many_rows_is_sorted_by_several_tasks(spark, frame, tmp_path,
     # Files follow on each other in the reading order.
     assert [int(line.split(",")[0]) for f in sorted(files, key=lambda f: int(f[0].split(",")[0])) for line in f] == list(range(1000))
     assert read_run(spark, str(tmp_path), "open_events").count() == 1000
+
+
+def test_the_extract_is_worked_out_once_per_update(spark, frame, tmp_path):
+    """What an update reads is read by one job: the latest date comes from the rows as they are written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    data = frame("subject long, sample_date date, test string, result double", *[(i, f"2021-01-{i:02}", "WBC", 1.0) for i in range(1, 29)], (3, None, "HGB", 4.0))
+    update_extract(data.mapInArrow(mark, data.schema), str(tmp_path))
+    assert seen.value == 29 and last_taken(spark, str(tmp_path)) == date(2021, 1, 28)
