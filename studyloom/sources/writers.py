@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from datetime import date, timedelta
 from functools import reduce
 
@@ -174,13 +175,32 @@ def last_taken(spark: SparkSession, folder: str) -> date | None:
         return None
 
 
-def update_extract(df: DataFrame, folder: str, late_days: int = 30) -> str:
+#: Dates that one task of the extract writes side by side; rows of further ones are sorted first.
+OPEN_DATES = 100
+
+
+@contextmanager
+def _lean_write(spark: SparkSession):
+    """Less disk for a write by dates: a task writes a file per date at a time, so that its rows need no sorting, and what was shuffled for the write goes with its end."""
+    ours = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_DATES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {key: spark.conf.get(key, None) for key in ours}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def update_extract(df: DataFrame, folder: str, late_days: int = 30, by_date: bool = False) -> str:
     """Bring the standing laboratory extract up to `df`; it lies by sample date where `load(.., "lab_system")` finds it.
 
     Only dates from `late_days` before the last date taken on are read from
     `df` and written, each date as a whole in place of the old one; samples
     without a date are always among them. The date is noted after the files
-    are there, so a run that breaks off is simply done again.
+    are there, so a run that breaks off is simply done again. `by_date` says
+    that the rows of a date lie together already; else they are brought together.
     """
     spark = df.sparkSession
     path, since = f"{folder}/{LISTINGS['lab_system'].file}", last_taken(spark, folder)
@@ -189,8 +209,10 @@ def update_extract(df: DataFrame, folder: str, late_days: int = 30) -> str:
     # The latest date is taken down as the rows are written: the extract is not worked out a second time for it.
     latest = Observation()
     df = df.observe(latest, F.max("sample_date").alias("sample_date"))
-    rows = extract_columns(df).hint("rebalance", F.col("sampledate"))
-    rows.write.mode("overwrite").option("header", True).option("partitionOverwriteMode", "dynamic").partitionBy("sampledate").csv(path)
+    rows = extract_columns(df)
+    rows = rows if by_date else rows.hint("rebalance", F.col("sampledate"))
+    with _lean_write(spark):
+        rows.write.mode("overwrite").option("header", True).option("partitionOverwriteMode", "dynamic").partitionBy("sampledate").csv(path)
     taken = latest.get.get("sample_date")
     if taken is not None:
         spark.createDataFrame([(taken,)], "sample_date date").write.mode("append").parquet(f"{folder}/{TAKEN}")

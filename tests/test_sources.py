@@ -275,3 +275,34 @@ def test_the_extract_is_worked_out_once_per_update(spark, frame, tmp_path):
     data = frame("subject long, sample_date date, test string, result double", *[(i, f"2021-01-{i:02}", "WBC", 1.0) for i in range(1, 29)], (3, None, "HGB", 4.0))
     update_extract(data.mapInArrow(mark, data.schema), str(tmp_path))
     assert seen.value == 29 and last_taken(spark, str(tmp_path)) == date(2021, 1, 28)
+
+
+def test_the_extract_is_dealt_out_by_date_before_it_is_long(spark, frame, monkeypatch):
+    """Only wide rows are shuffled to put dates together, and the long ones are written as they come, unsorted."""
+    from types import SimpleNamespace
+
+    from workload.job_queries import lab_extract_in_steps
+
+    def table(columns, *keys):
+        schema = "serial_study_id long, date_collect date, fk_study int, " + ", ".join(f"{c} double" for c in columns)
+        return frame(schema, *[(i, d, 1, *[float(n)] * len(columns)) for n, (i, d) in enumerate(keys)])
+
+    haem = table(HAEMATOLOGY_COLUMNS, (1, "1997-05-20"), (2, "1997-06-30"), (3, "1998-01-01"), (None, "1997-01-01"), (4, None))
+    chem = table(CHEMISTRY_COLUMNS, (2, "1997-06-30"), (5, "1996-01-01"), (3, "1998-01-01"), (6, "1999-01-01"))
+    seen = []
+    made = writers.extract_columns
+    monkeypatch.setattr(writers, "extract_columns", lambda df: seen.append(made(df)) or seen[-1])
+    back = rows(lab_extract_in_steps(SimpleNamespace(haematology=haem, chemistry=chem)))
+    assert back == rows(lab_extract(haem, chem, 1)) and len(back) == 7 * 16
+    for df in seen:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Expand") < plan.index("RebalancePartitions") and plan.count("RebalancePartitions") == 1
+    assert len(seen) == 2 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_a_task_with_more_dates_than_it_writes_side_by_side(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "OPEN_DATES", 3)
+    data = frame("subject long, sample_date date, test string, result double", *[(i, f"2021-01-{i % 28 + 1:02}", "WBC", float(i)) for i in range(200)], (1, None, "WBC", 5.0))
+    update_extract(data.coalesce(1), str(tmp_path), by_date=True)
+    assert rows(load(spark, str(tmp_path), "lab_system"), "subject", "sample_date", "test", "result") == rows(data)
+    assert len(list(tmp_path.rglob("part*.csv"))) == 29

@@ -1322,7 +1322,7 @@ def lab_extract_in_steps(L):
     L.haematology.write.parquet(f"{folder}/{HAEMATOLOGY_TABLE}.parquet")
     L.chemistry.write.parquet(f"{folder}/{CHEMISTRY_TABLE}.parquet")
     spark = L.haematology.sparkSession
-    whole = extract.lab_extract(*read_lab_tables(spark, folder), 1)
-    update_extract(whole.filter(F.col("sample_date") <= date(1997, 6, 30)), folder)
-    update_extract(whole, folder)
+    whole = extract.lab_extract(*read_lab_tables(spark, folder), 1, by_date=True)
+    update_extract(whole.filter(F.col("sample_date") <= date(1997, 6, 30)), folder, by_date=True)
+    update_extract(whole, folder, by_date=True)
     return load(spark, folder, "lab_system")
